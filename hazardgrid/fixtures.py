@@ -90,7 +90,7 @@ SELECT o_orderkey + 1 AS seq, CAST(o_custkey % 5 AS INT) AS fire_id,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST((o_orderkey * 7) % 150 - 10 AS DOUBLE) END
            AS lead_time_min,
        CAST((o_orderkey * 7) % 101 AS DOUBLE) / 100 AS confidence,
-       CAST((o_orderkey * 13) % 1000 AS DOUBLE) / 1000 AS urgency,
+       CAST((o_orderkey * 13) % 1000 + 0.2 AS DOUBLE) / 1000 AS urgency,
        concat('reason ', o_orderpriority) AS rationale
 FROM {orders}"""
 

@@ -182,33 +182,56 @@ def ring_area(ring, x="x", y="y") -> Column:
     return F.abs(_shoelace(ring, lambda a, b: a[x] * b[y] - b[x] * a[y])) / 2.0
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside array functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ring_centroid(ring) -> Column:
     """Area centroid of a lon/lat ring, taken relative to its first vertex; mean point if flat."""
     ring = _col(ring)
-    lon0, lat0 = ring[0]["lon"], ring[0]["lat"]
-    local = F.transform(
-        ring, lambda p: F.struct((p["lon"] - lon0).alias("x"), (p["lat"] - lat0).alias("y"))
-    )
-    twice = _shoelace(local, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    mx = _shoelace(local, lambda a, b: (a["x"] + b["x"]) * (a["x"] * b["y"] - b["x"] * a["y"]))
-    my = _shoelace(local, lambda a, b: (a["y"] + b["y"]) * (a["x"] * b["y"] - b["x"] * a["y"]))
-    n = F.size(ring)
-    mean_x = F.aggregate(local, F.lit(0.0), lambda acc, p: acc + p["x"]) / n
-    mean_y = F.aggregate(local, F.lit(0.0), lambda acc, p: acc + p["y"]) / n
-    flat = F.abs(twice) < 1e-15
-    return F.struct(
-        (lon0 + F.when(flat, mean_x).otherwise(mx / (twice * 3.0))).alias("lon"),
-        (lat0 + F.when(flat, mean_y).otherwise(my / (twice * 3.0))).alias("lat"),
-    )
+
+    def cross(a, b):
+        return a["x"] * b["y"] - b["x"] * a["y"]
+
+    def moments(local):
+        return F.struct(
+            _shoelace(local, cross).alias("twice"),
+            _shoelace(local, lambda a, b: (a["x"] + b["x"]) * cross(a, b)).alias("mx"),
+            _shoelace(local, lambda a, b: (a["y"] + b["y"]) * cross(a, b)).alias("my"),
+            (F.aggregate(local, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(local)).alias("ax"),
+            (F.aggregate(local, F.lit(0.0), lambda s, p: s + p["y"]) / F.size(local)).alias("ay"),
+        )
+
+    def centre(origin, m):
+        flat = F.abs(m["twice"]) < 1e-15
+        return F.struct(
+            (origin["lon"] + F.when(flat, m["ax"]).otherwise(m["mx"] / (m["twice"] * 3.0))).alias("lon"),
+            (origin["lat"] + F.when(flat, m["ay"]).otherwise(m["my"] / (m["twice"] * 3.0))).alias("lat"),
+        )
+
+    def relative(o):
+        return F.transform(
+            ring, lambda p: F.struct((p["lon"] - o["lon"]).alias("x"), (p["lat"] - o["lat"]).alias("y"))
+        )
+
+    origin = F.get(ring, F.lit(0))
+    return let(origin, lambda o: let(let(relative(o), moments), lambda m: centre(o, m)))
 
 
 def polygon_area_m2(ring, lon0=None, lat0=None) -> Column:
     """Area of a lon/lat ring in square metres, in the local frame at its centroid by default."""
     ring = _col(ring)
-    c = ring_centroid(ring)
-    lon0 = c["lon"] if lon0 is None else _col(lon0)
-    lat0 = c["lat"] if lat0 is None else _col(lat0)
-    return ring_area(F.transform(ring, lambda p: to_local(p["lon"], p["lat"], lon0, lat0)))
+    if lon0 is None or lat0 is None:
+        centre = ring_centroid(ring)
+    else:
+        centre = F.struct(_col(lon0).alias("lon"), _col(lat0).alias("lat"))
+
+    def area(c):
+        local = F.transform(ring, lambda p: to_local(p["lon"], p["lat"], c["lon"], c["lat"]))
+        return let(local, ring_area)
+
+    return let(centre, area)
 
 
 def compass_8(bearing) -> Column:
