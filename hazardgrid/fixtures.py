@@ -35,11 +35,13 @@ SELECT CAST(p_partkey % 5 AS INT) AS fire_id, CAST(floor(p_partkey / 100) AS INT
        CAST(0.04 AS DOUBLE) + (p_partkey % 10) * CAST(0.01 AS DOUBLE) AS moisture
 FROM {part}"""
 
+# Arrivals grow with the distance from the ignition cell (3, 10).
 VIEWS["member_arrival"] = """
-SELECT CAST(l_partkey % 5 AS INT) AS fire_id, CAST(l_suppkey % 20 AS INT) AS member_id,
-       CAST(floor(l_partkey / 100) AS INT) AS i, CAST(floor(l_partkey / 5) % 20 AS INT) AS j,
-       MIN(l_quantity * 6) AS arrival_min
-FROM {lineitem} GROUP BY l_partkey, l_suppkey % 20"""
+SELECT fire_id, member_id, i, j, MIN(q * 6) + MAX(abs(i - 3) + abs(j - 10)) * 8 AS arrival_min
+FROM (SELECT CAST(l_partkey % 5 AS INT) AS fire_id, CAST(l_suppkey % 20 AS INT) AS member_id,
+             CAST(floor(l_partkey / 100) AS INT) AS i, CAST(floor(l_partkey / 5) % 20 AS INT) AS j,
+             l_quantity AS q FROM {lineitem}) l
+GROUP BY fire_id, member_id, i, j"""
 
 VIEWS["member"] = """
 SELECT DISTINCT CAST(l_partkey % 5 AS INT) AS fire_id, CAST(l_suppkey % 20 AS INT) AS member_id,
@@ -47,10 +49,10 @@ SELECT DISTINCT CAST(l_partkey % 5 AS INT) AS fire_id, CAST(l_suppkey % 20 AS IN
 FROM {lineitem}"""
 
 VIEWS["truth"] = """
-SELECT CAST(p_partkey % 5 AS INT) AS fire_id, CAST(floor(p_partkey / 100) AS INT) AS i,
-       CAST(floor(p_partkey / 5) % 20 AS INT) AS j,
-       CASE WHEN p_size % 11 = 0 THEN NULL ELSE CAST(p_size * 6 AS DOUBLE) END AS truth_min
-FROM {part}"""
+SELECT fire_id, i, j, CASE WHEN size % 11 = 0 THEN NULL
+       ELSE CAST(size * 4 + (abs(i - 3) + abs(j - 10)) * 9 AS DOUBLE) END AS truth_min
+FROM (SELECT CAST(p_partkey % 5 AS INT) AS fire_id, CAST(floor(p_partkey / 100) AS INT) AS i,
+             CAST(floor(p_partkey / 5) % 20 AS INT) AS j, p_size AS size FROM {part}) t"""
 
 VIEWS["observation"] = """
 SELECT event_id AS obs_id, CAST(user_id % 5 AS INT) AS fire_id,

@@ -216,7 +216,7 @@ def ring_centroid(ring) -> Column:
         )
 
     origin = F.get(ring, F.lit(0))
-    return let(origin, lambda o: let(let(relative(o), moments), lambda m: centre(o, m)))
+    return let(origin, lambda o: let(let(relative(o), lambda v: moments(v)), lambda m: centre(o, m)))
 
 
 def polygon_area_m2(ring, lon0=None, lat0=None) -> Column:
@@ -229,9 +229,9 @@ def polygon_area_m2(ring, lon0=None, lat0=None) -> Column:
 
     def area(c):
         local = F.transform(ring, lambda p: to_local(p["lon"], p["lat"], c["lon"], c["lat"]))
-        return let(local, ring_area)
+        return let(local, lambda v: ring_area(v))
 
-    return let(centre, area)
+    return let(centre, lambda c: area(c))
 
 
 def compass_8(bearing) -> Column:

@@ -1,6 +1,8 @@
 """Loads every query module; the flagship is the decision slice."""
 
 from hazardgrid.plans import (  # noqa: F401
+    assimilate_queries,
+    decide_queries,
     ensemble_queries,
     geo_queries,
     log_queries,
