@@ -50,7 +50,7 @@ FROM {lineitem}"""
 
 VIEWS["truth"] = """
 SELECT fire_id, i, j, CASE WHEN size % 11 = 0 THEN NULL
-       ELSE CAST(size * 4 + (abs(i - 3) + abs(j - 10)) * 9 AS DOUBLE) END AS truth_min
+       ELSE CAST(size * 4 + (abs(i - 3) + abs(j - 10)) * 16 AS DOUBLE) END AS truth_min
 FROM (SELECT CAST(p_partkey % 5 AS INT) AS fire_id, CAST(floor(p_partkey / 100) AS INT) AS i,
              CAST(floor(p_partkey / 5) % 20 AS INT) AS j, p_size AS size FROM {part}) t"""
 

@@ -78,7 +78,7 @@ def distance_to_burned(cells: DataFrame, arrivals: DataFrame, members: DataFrame
         "arrival_min",
     )
     out = nearest_distance(
-        asked, burned, ["fire_id", "member_id"], query_t="minutes", point_t="arrival_min"
+        asked, burned, ["fire_id", "member_id"], query_t="minutes", point_t="arrival_min", unique_points=True
     )
     return out.select(
         "fire_id", "member_id", "minutes", "i", "j", (F.col("distance") * float(cell_m)).alias("dist_m")
@@ -136,7 +136,7 @@ def area_mismatch(
     targets = area_cells.select(
         "fire_id", *report, F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y")
     )
-    back = nearest_distance(asked, targets, ["fire_id", *report])
+    back = nearest_distance(asked, targets, ["fire_id", *report], unique_points=True)
     over = (
         back.select("fire_id", *report, "minutes", "i", "j", "distance")
         .join(arrivals, ["fire_id", "i", "j"])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardgrid.operators.common import as_list, salted_join
+from hazardgrid.session import cut_lineage
 
 
 def _gap(v, lo, hi):
@@ -31,37 +32,47 @@ def nearest_distance(
     factor: int = 8,
     query_t: str | None = None,
     point_t: str | None = None,
+    unique_points: bool = False,
     out: str = "distance",
 ) -> DataFrame:
     """Queries with ``out``: the Euclidean distance in ``(x, y)`` to the nearest point of the key.
 
     With ``query_t`` and ``point_t`` only points with ``point_t <= query_t`` count. NULL when there
-    is none.
+    is none. ``unique_points`` says that no point of a key repeats, which saves an aggregate.
     """
     keys = as_list(keys)
     q_cols = [*keys, "x", "y"] + ([query_t] if query_t else [])
     q = queries.select(*q_cols).distinct().withColumnsRenamed({"x": "qx", "y": "qy"})
     q_id = [*keys, "qx", "qy"] + ([query_t] if query_t else [])
-    t = F.min(point_t) if point_t else F.lit(0)
     bucket = {c: F.floor(F.col(v) / size) for c, v in (("bx", "x"), ("by", "y"))}
-    pts = points.groupBy(*keys, F.col("x").cast("double"), F.col("y").cast("double")).agg(t.alias("_t"))
+    pts = points.select(
+        *keys, F.col("x").cast("double"), F.col("y").cast("double"),
+        (F.col(point_t) if point_t else F.lit(0)).alias("_t"),
+    )
+    if not unique_points:
+        pts = pts.groupBy(*keys, "x", "y").agg(F.min("_t").alias("_t"))
     pts = pts.withColumns(bucket)
     live = F.col("_t") <= F.col(query_t) if query_t else F.lit(True)
 
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = q.withColumn("bx", F.floor(F.col("qx") / size) + F.explode(step))
-    around = around.withColumn("by", F.floor(F.col("qy") / size) + F.explode(step))
+    around = q
+    for b, v in (("bx", "qx"), ("by", "qy")):
+        own = F.floor(F.col(v) / size)
+        around = around.withColumn(b, F.explode(F.array(own - 1, own, own + 1)))
     d = F.when(live, F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")))
     near = (
         around.join(pts, [*keys, "bx", "by"], "left").groupBy(*q_id).agg(F.min(d).alias("_near"))
     )
+    # Written once: both branches below read it, and the pyramid is skipped when nothing is open.
+    near = cut_lineage(near)
     settled = near.filter(F.col("_near") <= size).withColumnRenamed("_near", out)
     open_q = near.filter(F.col("_near").isNull() | (F.col("_near") > size))
 
     box = [F.min("_t").alias("_t")]
     box += [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
     edges = {"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")}
-    blocks = [pts.withColumns(edges).groupBy(*keys, "bx", "by").agg(*box)]
+    if open_q.isEmpty():
+        return queries.join(settled.withColumnsRenamed({"qx": "x", "qy": "y"}), q_cols, "left")
+    blocks = [cut_lineage(pts.withColumns(edges).groupBy(*keys, "bx", "by").agg(*box))]
     for _ in range(levels):
         up = blocks[-1].withColumns({c: F.floor(F.col(c) / factor) for c in ("bx", "by")})
         blocks.append(up.groupBy(*keys, "bx", "by").agg(*box))
