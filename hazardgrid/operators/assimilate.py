@@ -70,9 +70,10 @@ def distance_to_burned(cells: DataFrame, arrivals: DataFrame, members: DataFrame
 
     NULL when the member has burned nothing by then.
     """
-    asked = cells.select("fire_id", "minutes", "i", "j").distinct()
-    asked = salted_join(asked, members.select("fire_id", "member_id"), "fire_id", ["i", "j"])
-    asked = asked.withColumns({"x": F.col("j").cast("double"), "y": F.col("i").cast("double")})
+    asked = cells.select(
+        "fire_id", "minutes", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y")
+    ).distinct()
+    asked = salted_join(asked, members.select("fire_id", "member_id"), "fire_id", ["x", "y"])
     burned = arrivals.select(
         "fire_id", "member_id", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y"),
         "arrival_min",
@@ -81,8 +82,9 @@ def distance_to_burned(cells: DataFrame, arrivals: DataFrame, members: DataFrame
         asked, burned, ["fire_id", "member_id"], query_t="minutes", point_t="arrival_min", unique_points=True
     )
     return out.select(
-        "fire_id", "member_id", "minutes", "i", "j", (F.col("distance") * float(cell_m)).alias("dist_m")
-    )
+        "fire_id", "member_id", "minutes", F.col("y").cast("int").alias("i"), F.col("x").cast("int").alias("j"),
+        (F.col("distance") * float(cell_m)).alias("dist_m"),
+    )
 
 
 def _per_member(reports: DataFrame, members: DataFrame, report) -> DataFrame:
@@ -131,14 +133,18 @@ def area_mismatch(
     # The distance of a cell from the report does not depend on the member: find it once per cell.
     heads = area_cells.select("fire_id", *report, "minutes").distinct()
     earliest = arrivals.groupBy("fire_id", "i", "j").agg(F.min("arrival_min").alias("_t"))
-    asked = salted_join(earliest, heads, "fire_id", ["i", "j"]).filter(F.col("_t") <= F.col("minutes"))
-    asked = asked.withColumns({"x": F.col("j").cast("double"), "y": F.col("i").cast("double")})
+    earliest = earliest.select(
+        "fire_id", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y"), "_t"
+    )
+    asked = salted_join(earliest, heads, "fire_id", ["x", "y"]).filter(F.col("_t") <= F.col("minutes"))
     targets = area_cells.select(
         "fire_id", *report, F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y")
     )
     back = nearest_distance(asked, targets, ["fire_id", *report], unique_points=True)
+    back = back.withColumns({"i": F.col("y").cast("int"), "j": F.col("x").cast("int")})
     over = (
-        back.select("fire_id", *report, "minutes", "i", "j", "distance")
+        back.join(heads, ["fire_id", *report])
+        .select("fire_id", *report, "minutes", "i", "j", "distance")
         .join(arrivals, ["fire_id", "i", "j"])
         .filter(F.col("arrival_min") <= F.col("minutes"))
         .groupBy("fire_id", *report, "member_id")

@@ -35,7 +35,7 @@ def nearest_distance(
     unique_points: bool = False,
     out: str = "distance",
 ) -> DataFrame:
-    """Queries with ``out``: the Euclidean distance in ``(x, y)`` to the nearest point of the key.
+    """Distinct ``(keys, x, y)`` with ``out``: the distance to the nearest point of the key.
 
     With ``query_t`` and ``point_t`` only points with ``point_t <= query_t`` count. NULL when there
     is none. ``unique_points`` says that no point of a key repeats, which saves an aggregate.
@@ -71,7 +71,7 @@ def nearest_distance(
     box += [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
     edges = {"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")}
     if open_q.isEmpty():
-        return queries.join(settled.withColumnsRenamed({"qx": "x", "qy": "y"}), q_cols, "left")
+        return settled.withColumnsRenamed({"qx": "x", "qy": "y"})
     blocks = [cut_lineage(pts.withColumns(edges).groupBy(*keys, "bx", "by").agg(*box))]
     for _ in range(levels):
         up = blocks[-1].withColumns({c: F.floor(F.col(c) / factor) for c in ("bx", "by")})
@@ -107,5 +107,4 @@ def nearest_distance(
     far = open_q.alias("o").join(far_hit.alias("f"), same, "left").select(
         *[F.col(f"o.{c}") for c in q_id], F.col(f"f.{out}")
     )
-    answer = settled.unionByName(far).withColumnsRenamed({"qx": "x", "qy": "y"})
-    return queries.join(answer, q_cols, "left")
+    return settled.unionByName(far).withColumnsRenamed({"qx": "x", "qy": "y"})
