@@ -2,6 +2,7 @@
 
 from hazardgrid.plans import (  # noqa: F401
     assimilate_queries,
+    calibrate_queries,
     decide_queries,
     ensemble_queries,
     geo_queries,
