@@ -78,6 +78,13 @@ SELECT event_id AS point_id, CAST(user_id % 5 AS INT) AS fire_id, event_type AS
        CAST(4000 AS DOUBLE) AS sigma_m
 FROM {events}"""
 
+# Detections of 37 frames per event, about three kilometres apart.
+VIEWS["hotspot"] = """
+SELECT event_id AS point_id, CAST(user_id % 5 AS INT) AS fire_id, CAST((event_id * 7) % 37 * 10 AS DOUBLE) AS t_min,
+       CAST(-122.9 AS DOUBLE) + (user_id * 17 % 40) * CAST(0.03 AS DOUBLE) + (event_id % 3) * CAST(0.004 AS DOUBLE) AS lon,
+       CAST(38.2 AS DOUBLE) + (event_id * 13 % 37) * CAST(0.03 AS DOUBLE) AS lat
+FROM {events}"""
+
 VIEWS["object_version"] = """
 SELECT event_id + 1 AS seq, event_type AS kind, CAST(user_id AS STRING) AS obj_id,
        date_trunc('hour', ts) AS valid_t, ts AS tx_t, props AS data, value

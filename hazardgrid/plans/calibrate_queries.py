@@ -165,7 +165,7 @@ def _skill(x):
 
 @query(
     "C10_horizon_skill",
-    f"""WITH {SKILL_CTE} SELECT fire_id, arm, horizon_min, {r('iou')} AS iou, {r('dice')} AS dice, {r('brier')} AS brier,
+    f"""WITH {SKILL_CTE} SELECT fire_id, arm, horizon_min, {r('iou')} AS iou, {r('dice')} AS dice, {r('brier', 9)} AS brier,
           {r('cov')} AS coverage_90, {r('area')} AS region90_area_km2 FROM sk""",
 )
 def c10(x):

@@ -7,6 +7,7 @@ from hazardgrid.plans import (  # noqa: F401
     ensemble_queries,
     geo_queries,
     log_queries,
+    track_queries,
 )
 
 FLAGSHIP = "V2_state_as_of"
