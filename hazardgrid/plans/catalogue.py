@@ -7,6 +7,8 @@ from hazardgrid.plans import (  # noqa: F401
     ensemble_queries,
     geo_queries,
     log_queries,
+    source_queries,
+    spread_queries,
     track_queries,
 )
 

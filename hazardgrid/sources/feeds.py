@@ -250,8 +250,10 @@ def nearest_weather(places: DataFrame, grid: DataFrame, bucket_deg: float = 0.05
     for c, v in (("_bx", "lon"), ("_by", "lat")):
         own = F.floor(F.col(v) / F.col("_w"))
         asked = asked.withColumn(c, F.explode(F.array(own - 1, own, own + 1)))
-    levels = near.select(level.alias("_lv")).distinct()
-    tiles = g.join(F.broadcast(levels)).withColumn("_w", F.pow(F.lit(2.0), F.col("_lv")))
+    # At most one level per power of two between the bucket width and the whole earth.
+    levels = [row[0] for row in near.select(level.alias("_lv")).distinct().collect()]
+    tiles = g.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])))
+    tiles = tiles.withColumn("_w", F.pow(F.lit(2.0), F.col("_lv")))
     tiles = tiles.select(
         "_lv", F.floor(F.col("lon") / F.col("_w")).alias("_bx"), F.floor(F.col("lat") / F.col("_w")).alias("_by"),
         F.col("lon").alias("glon"), F.col("lat").alias("glat"), "wind_u", "wind_v",
