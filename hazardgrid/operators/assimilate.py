@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,6 @@ from hazardgrid.functions.draws import clip, hash_normal, hash_uniform
 from hazardgrid.functions.lookup import sigma_for_kind
 from hazardgrid.operators.common import as_list, attach_group_stats, salted_join
 from hazardgrid.operators.nearest import nearest_distance
-from hazardgrid.session import cut_lineage
 
 LOG_FLOOR = math.log(K.LIKELIHOOD_FLOOR)
 
@@ -273,44 +274,39 @@ def jitter(children: DataFrame, parents: DataFrame, seed: int = 99, round_no: in
     return out.join(n, "fire_id").withColumn("weight", 1 / F.col("_n")).drop("_n")
 
 
-def assimilate_with_resampling(
-    members: DataFrame, loglik: DataFrame, seed: int = 99, checkpoint_every: int = 4
-) -> DataFrame:
+def _filter_event(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Run one event's instants in order. Rows hold ``member_id, weight, minutes, loglik, u``."""
+    members = np.sort(pdf["member_id"].unique())
+    prior = pdf.drop_duplicates("member_id").set_index("member_id")["weight"].reindex(members).to_numpy()
+    slot_of, w = np.arange(len(members)), prior / prior.sum()
+    n = len(members)
+    table = pdf.dropna(subset=["minutes"])
+    for _, batch in table.groupby("minutes", sort=True):
+        ll = batch.set_index("member_id")["loglik"].reindex(members).fillna(0.0).to_numpy()[slot_of]
+        with np.errstate(divide="ignore"):
+            logw = np.log(w) + ll
+        w = np.exp(logw - logw.max())
+        w /= w.sum()
+        if 1.0 / np.sum(w * w) < K.ESS_FRACTION * n:
+            at = (batch["u"].iloc[0] + np.arange(n)) / n
+            pick = np.minimum(np.searchsorted(np.cumsum(w), at), n - 1)
+            slot_of, w = slot_of[pick], np.full(n, 1.0 / n)
+    return pd.DataFrame(
+        {"fire_id": pdf["fire_id"].iloc[0], "slot": np.arange(n), "member_id": members[slot_of], "weight": w}
+    )
+
+
+def assimilate_with_resampling(members: DataFrame, loglik: DataFrame, seed: int = 99) -> DataFrame:
     """Final slots ``(fire_id, slot, member_id, weight)`` after every instant, with resampling.
 
-    A resampled slot keeps its parent's arrival rows (``member_id``). All events advance together,
-    one round per rank of instant; the state has one row per slot and its lineage is cut every few
-    rounds.
+    A resampled slot keeps its parent's arrival rows (``member_id``). The observations have already
+    been reduced to one log-likelihood per member and instant, so an event's group holds members
+    times instants however many observations it has, and events run side by side.
     """
-    ranked = batches(loglik)
-    rounds = ranked.agg(F.max("batch")).first()[0] or 0
-    ranked = cut_lineage(ranked.select("fire_id", "member_id", "batch", "loglik"))
-    state = members.withColumn("w0", F.col("weight")).select(
-        "fire_id", F.col("member_id").alias("slot"), "member_id", F.col("w0").alias("weight")
+    rows = members.select("fire_id", "member_id", "weight").join(
+        loglik.select("fire_id", "member_id", "minutes", "loglik"), ["fire_id", "member_id"], "left"
+    )
+    rows = rows.withColumn("u", hash_uniform(seed, "fire_id", "minutes"))
+    return rows.groupBy("fire_id").applyInPandas(
+        _filter_event, "fire_id int, slot int, member_id int, weight double"
     )
-    for k in range(1, int(rounds) + 1):
-        now = ranked.filter(F.col("batch") == k).select("fire_id", "member_id", "loglik")
-        logw = state.join(now, ["fire_id", "member_id"], "left").withColumn(
-            "logw", F.log("weight") + F.coalesce("loglik", F.lit(0.0))
-        )
-        logw = logw.withColumn("logw", F.coalesce("logw", F.lit(-1e300)))
-        scored = normalise_log_weights(logw, "fire_id").select("fire_id", "slot", "member_id", "w")
-        touched = now.select("fire_id").distinct().withColumn("_hit", F.lit(True))
-        judged = (
-            scored.join(needs_resampling(scored).select("fire_id", "resample"), "fire_id")
-            .join(touched, "fire_id", "left")
-            .withColumn("resample", F.col("resample") & F.col("_hit").isNotNull())
-        )
-        kept = judged.filter(~F.col("resample")).select("fire_id", "slot", "member_id", F.col("w").alias("weight"))
-        pick = judged.filter("resample").select("fire_id", "slot", "member_id", "w")
-        kids = systematic_resample(pick, hash_uniform(seed, "fire_id", F.lit(k)), slot="slot")
-        n = pick.groupBy("fire_id").agg(F.count("*").alias("_n"))
-        drawn = (
-            kids.join(pick.select("fire_id", "slot", "member_id"), ["fire_id", "slot"])
-            .join(n, "fire_id")
-            .select("fire_id", F.col("child").alias("slot"), "member_id", (1 / F.col("_n")).alias("weight"))
-        )
-        state = kept.unionByName(drawn)
-        if k % checkpoint_every == 0:
-            state = cut_lineage(state)
-    return state
