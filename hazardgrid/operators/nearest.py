@@ -28,8 +28,8 @@ def nearest_distance(
     points: DataFrame,
     keys,
     size: float = 2.0,
-    levels: int = 3,
-    factor: int = 8,
+    levels: int = 2,
+    factor: int = 16,
     query_t: str | None = None,
     point_t: str | None = None,
     unique_points: bool = False,
