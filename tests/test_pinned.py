@@ -100,7 +100,7 @@ def test_isotonic_matches_pooling_over_many_ranges(spark):
     y = (rng.random(600) < p * 0.6 + 0.2 * np.sin(p * 9) ** 2).astype(int)
     df = spark.createDataFrame(pd.DataFrame({"k": 0, "p": p, "y": y}))
     a = calibrate.isotonic_fit(df, "k").toPandas().sort_values("x")
-    b = calibrate.isotonic_fit(df, "k", rows_per_task=40).toPandas().sort_values("x")
+    b = calibrate.isotonic_fit(df, "k", rows_per_task=200).toPandas().sort_values("x")
     assert np.allclose(a.x, b.x) and np.allclose(a.fitted, b.fitted)
     assert (np.diff(a.fitted) >= -1e-12).all()
 
