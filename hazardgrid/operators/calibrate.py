@@ -122,9 +122,9 @@ def isotonic_fit(df: DataFrame, keys, p: str = "p", y: str = "y", rows_per_task:
     """Knots ``(keys, x, fitted)`` of the non-decreasing least-squares map from p to outcome.
 
     Rows are first reduced to counts per distinct p. When those are many, p is cut at quantiles and
-    each range pooled on its own; pooling repeats with the cuts moved by half a range until no two
-    neighbouring ranges violate the order. Pooling does not depend on its order, so the result is
-    exact.
+    each range pooled on its own. Where two neighbouring ranges still violate the order the cut
+    between them is dropped and pooling repeats on the blocks that are left. Pooling does not depend
+    on its order, so the result is exact.
     """
     keys = as_list(keys)
     blocks = df.groupBy(*keys, F.col(p).cast("double").alias("lo")).agg(
@@ -132,7 +132,9 @@ def isotonic_fit(df: DataFrame, keys, p: str = "p", y: str = "y", rows_per_task:
     )
     blocks = cut_lineage(blocks)
     parts = max(1, math.ceil(blocks.count() / rows_per_task))
-    cuts = blocks.approxQuantile("lo", [k / (2 * parts) for k in range(1, 2 * parts)], 0.001) if parts > 1 else []
+    use: list[float] = []
+    if parts > 1:
+        use = sorted(set(blocks.approxQuantile("lo", [k / parts for k in range(1, parts)], 0.001)))
     schema = blocks.select(*keys, "lo", "n", "s").schema
 
     def pool_group(key, pdf):
@@ -141,9 +143,7 @@ def isotonic_fit(df: DataFrame, keys, p: str = "p", y: str = "y", rows_per_task:
             out[name] = value
         return out[[*keys, "lo", "n", "s"]]
 
-    even = True
     while True:
-        use = sorted(set(cuts[1::2] if even else cuts[0::2]))
         bucket = F.size(F.filter(literal_array(use, "double"), lambda c: F.col("lo") >= c)) if use else F.lit(0)
         pooled = blocks.withColumn("_b", bucket).groupBy(*keys, "_b").applyInPandas(pool_group, schema)
         blocks = cut_lineage(pooled)
@@ -153,10 +153,15 @@ def isotonic_fit(df: DataFrame, keys, p: str = "p", y: str = "y", rows_per_task:
             F.min_by(F.col("s") / F.col("n"), "lo").alias("_first"),
             F.max_by(F.col("s") / F.col("n"), "lo").alias("_last"),
         )
-        before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))
-        if ends.withColumn("_prev", before).filter(F.col("_prev") > F.col("_first")).isEmpty():
+        along = Window.partitionBy(*keys).orderBy("_b")
+        ends = ends.withColumn("_prev", F.lag("_last").over(along)).withColumn("_pb", F.lag("_b").over(along))
+        broken = ends.filter(F.col("_prev") > F.col("_first"))
+        dropped = broken.select(F.explode(F.sequence(F.col("_pb"), F.col("_b") - 1)).alias("cut")).distinct()
+        # At most one row per cut.
+        gone = {row.cut for row in dropped.collect()}
+        if not gone:
             break
-        even = not even
+        use = [c for k, c in enumerate(use) if k not in gone]
     return blocks.select(*keys, F.col("lo").alias("x"), (F.col("s") / F.col("n")).alias("fitted"))
 
 
