@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,22 @@ def build_session(app: str = "hazardgrid", master: str | None = None, **conf: st
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run in Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hazardgrid_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    path = os.path.join(tempfile.mkdtemp(prefix="hazardgrid-code-"), "hazardgrid.zip")
+    pathlib.Path(path).write_bytes(held.getvalue())
+    sc.addPyFile(path)  # served by the driver; nothing else reads the local copy
+    sc._hazardgrid_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
