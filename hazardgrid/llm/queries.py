@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import bpe, simhash, warc
+from hazardgrid.llm import ann, bpe, html, quality, rules, simhash, toxic, warc
 from hazardgrid.llm.common import table
 from hazardgrid.session import work_path
 
@@ -64,3 +64,45 @@ def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op4_ann_projected_kdtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest by cosine of every vector whose id is divisible by 50, against all others."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query
+def op7_html_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract_main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op8_decision_list_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the learned list's verdict on every document."""
+    found, _ = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"
+    )
+
+
+@_query
+def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; every third crc32 remainder is held out of training."""
+    out = quality.held_out(1, 3)
+    found = toxic.score(table(spark, folder, "documents"), table(spark, folder, "labels"), ~out)
+    return found.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= toxic.THRESHOLD).cast("int").alias("predicted"), "n_passages"
+    )
+
+
+@_query
+def op10_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; every fourth crc32 remainder is held out of training."""
+    out = quality.held_out(2, 4)
+    found, _ = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), ~out)
+    return found.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )

@@ -102,6 +102,19 @@ def route(tree, fps: np.ndarray, home: np.ndarray, at: str, rows: np.ndarray) ->
     yield from route(outer, fps, (home & (d > cut))[far], at + "1", rows[far])
 
 
+def gathered(batches: Iterator[np.ndarray], rows: int = 50_000) -> Iterator[np.ndarray]:
+    """Larger batches, since the walk down a tree costs the same for a few rows as for many."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def leaf_forest(fps: np.ndarray, home: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Edges ``(fp, root)`` of a spanning forest of the links between rows and home rows."""
     label = np.arange(len(fps))
@@ -135,8 +148,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     trees = [grow_tree(sample, b, total / max(1, len(sample)), rng) for b in range(BLOCKS)]
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = batch.fp.to_numpy("<i8").view("<u8")
+        for fps in gathered(b.fp.to_numpy("<i8").view("<u8") for b in batches):
             for b, tree in enumerate(trees):
                 for at, rows, home in route(tree, fps, np.ones(len(fps), bool), f"{b}:", np.arange(len(fps))):
                     yield pd.DataFrame({"leaf": at, "fp": fps[rows].view("<i8"), "home": home})
@@ -146,7 +158,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
         u, v = leaf_forest(fps, group.home.to_numpy(bool))
         return pd.DataFrame({"u": u.view("<i8"), "v": v.view("<i8")})
 
-    sent = distinct_fps.select("fp").mapInPandas(send, "leaf string, fp long, home boolean")
+    # The rows are few bytes each but fan out: deal them to all tasks, whatever their size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = distinct_fps.select("fp").repartition(parts, "fp").mapInPandas(send, "leaf string, fp long, home boolean")
     return sent.groupBy("leaf").applyInPandas(meet, "u long, v long")
 
 
