@@ -40,6 +40,11 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANKS_RE))
 
 
+def text_print() -> Column:
+    """Hash of the text, which tells documents apart that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Least node of each connected component: ``(node, label)`` for every node of an edge ``(u, v)``.
 

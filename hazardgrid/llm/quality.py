@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardgrid.llm.textstats import features, with_counts
-from hazardgrid.session import cut_lineage
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
@@ -124,20 +123,36 @@ def held_out(part: int, of: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == part
 
 
-def train(counts: DataFrame, positives: DataFrame) -> Model:
-    """``counts`` of all documents; ``positives``: ids of trusted good documents."""
+def _picked(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Inputs of at most ``MAX_ROWS`` documents, chosen by a hash of their ids."""
     cols = inputs()
-    rows = counts.select("doc_id", *[c.alias(n) for n, c in cols.items()])
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id", F.lit(7)), *cols).limit(MAX_ROWS).select(*cols).collect()
-    pos = pick(rows.join(positives.select("doc_id").distinct(), "doc_id", "left_semi"))
-    mix = pick(rows)
-    to = lambda got: np.array([list(r) for r in got], float).reshape(-1, len(cols))
-    return fit(to(pos), to(mix), list(cols))
+    some = ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    some = some.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(MAX_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    got = with_counts(rows, repeats=False).orderBy("doc_id").select(*[c.alias(n) for n, c in cols.items()]).collect()
+    return np.array([list(r) for r in got], float).reshape(-1, len(cols))
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> tuple[DataFrame, Model]:
-    """Every document's counts, ``held_out`` and ``score``; labels are used where ``learn_from`` holds."""
-    counts = cut_lineage(with_counts(docs.select("doc_id", "text"), repeats=False))
+def train(docs: DataFrame, positives: DataFrame) -> Model:
+    """``positives``: ids of trusted good documents; ``docs`` is the unlabelled mixture."""
+    known = positives.select("doc_id").distinct()
+    pos = _picked(docs, docs.select("doc_id").join(known, "doc_id", "left_semi"))
+    return fit(pos, _picked(docs, docs), list(inputs()))
+
+
+def trusted(labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL")
-    model = train(counts, good if learn_from is None else good.filter(learn_from))
-    return counts.withColumn("score", model.score()), model
+    return good if learn_from is None else good.filter(learn_from)
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> tuple[DataFrame, Model]:
+    """Every document's counts and ``score``; labels are used where ``learn_from`` holds."""
+    model = train(docs, trusted(labels, learn_from))
+    return with_counts(docs.select("doc_id", "text"), repeats=False).withColumn("score", model.score()), model
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` that score at least ``threshold``, with all their columns."""
+    model = train(docs, trusted(labels))
+    rows = with_counts(docs.select(F.struct(*docs.columns).alias("row"), "text"), repeats=False)
+    return rows.filter(model.score() >= threshold).select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import ann, bpe, html, quality, rules, simhash, toxic, warc
+from hazardgrid.llm import ann, bpe, html, lines, mixing, quality, rules, simhash, toxic, warc
 from hazardgrid.llm.common import table
 from hazardgrid.session import work_path
 
@@ -106,3 +106,49 @@ def op10_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@_query
+def op2_line_edit_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every different line with its class of near-equal lines and its number of links."""
+    found = lines.line_classes(table(spark, folder, "documents"))
+    return found.select(
+        F.lower(F.hex("name")).alias("line_md5"), F.col("n").alias("n_chars"), "n_rows",
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"),
+        F.lower(F.hex("class")).alias("class_md5"), "n_links",
+    )
+
+
+CHECK_SQL["op2_line_edit_join"] = """
+WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM split),
+d AS (SELECT md5(line) AS name, any_value(line) AS line, CAST(length(any_value(line)) AS INTEGER) AS n, count(*) AS n_rows,
+             min(doc_id) AS first_doc_id, CAST(arg_min(pos, doc_id * 1000000000 + pos) AS INTEGER) AS first_pos
+      FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY md5(line)),
+place AS (SELECT name, line, n, unnest(range(n)) AS p FROM d WHERE n >= 20),
+spare AS (SELECT name, n, p, left(line, p) AS head, substr(line, p + 2) AS tail FROM place),
+rest AS (SELECT name, n, p, md5(head || chr(10) || tail) AS k, md5(head || tail) AS shorter FROM spare),
+link AS (SELECT a.name AS a, b.name AS b FROM rest a JOIN rest b ON a.n = b.n AND a.p = b.p AND a.k = b.k AND a.name <> b.name
+         UNION SELECT r.name, d.name FROM rest r JOIN d ON r.shorter = d.name AND d.n >= 20
+         UNION SELECT d.name, r.name FROM rest r JOIN d ON r.shorter = d.name AND d.n >= 20),
+reach AS (SELECT name, name AS other FROM d UNION SELECT reach.name, link.b FROM reach JOIN link ON link.a = reach.other),
+class AS (SELECT name, min(other) AS class FROM reach GROUP BY name),
+degree AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT d.name AS line_md5, n AS n_chars, n_rows, first_doc_id, first_pos, class AS class_md5, coalesce(n_links, 0) AS n_links
+FROM d JOIN class ON class.name = d.name LEFT JOIN degree ON degree.a = d.name"""
+
+#: Domains of the mix, as the labels name them, and the wanted shares of the tokens.
+TARGETS = {"clean": 0.90, "junk": 0.05, "toxic": 0.05}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain``: junk for low quality, else toxic or clean."""
+    name = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", name.alias("domain"))
+
+
+@_query
+def op5_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Memberships, rate and drawn copies of every document."""
+    found = mixing.mix(table(spark, folder, "documents"), domains_of(table(spark, folder, "labels")), TARGETS)
+    return found.withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))

@@ -15,33 +15,32 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
 
 
-def _held(text: Column, letters: str) -> Column:
+def held(text: Column, letters: str) -> Column:
     """How many characters of ``text`` are among ``letters``."""
     return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
 
 
 def with_counts(docs: DataFrame, repeats: bool) -> DataFrame:
-    """``docs`` without ``text``, plus the counts; ``repeats`` adds ``n_repeat_words``.
+    """``docs`` without ``text``, plus the counts; give it only the columns that are needed; ``repeats`` adds ``n_repeat_words``.
 
     Three-word windows are compared by a 64-bit hash. Sorting them with their places puts equal
     windows side by side, so a text of n words costs n log n, and only texts whose windows are not
     all different are sorted.
     """
-    clash = [c for c in docs.columns if c.startswith("_")]
     text = F.coalesce("text", F.lit(""))
-    out = docs.drop(*clash).withColumn("_t", text).withColumn("_w", words(F.col("text")))
+    out = docs.withColumn("_t", text).withColumn("_w", words(F.col("text")))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
     out = out.withColumn("_l", lines)
     counts = {
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.length(F.translate("_t", BLANK, "")).cast("long"),
-        "n_symbols": _held(F.col("_t"), SYMBOLS),
+        "n_symbols": held(F.col("_t"), SYMBOLS),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
-        "n_capitals": _held(F.col("_t"), CAPITALS),
-        "n_bangs": _held(F.col("_t"), "!?"),
-        "n_digits": _held(F.col("_t"), "0123456789"),
+        "n_capitals": held(F.col("_t"), CAPITALS),
+        "n_bangs": held(F.col("_t"), "!?"),
+        "n_digits": held(F.col("_t"), "0123456789"),
     }
     out = out.withColumns(counts)
     if repeats:
