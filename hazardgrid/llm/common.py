@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.session import cut_lineage, ship_package
+from hazardgrid.session import ship_package, work_path
 
 #: Largest number of slim rows that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
@@ -45,30 +45,38 @@ def text_print() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder, for the rounds of iterative joins.
+
+    A checkpoint would keep what the optimizer knew of partitioning and order, and over rounds of
+    self-joins that knowledge doubles; a table that is read again carries none.
+    """
+    at = work_path(df.sparkSession, "round")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Least node of each connected component: ``(node, label)`` for every node of an edge ``(u, v)``.
 
-    Each round hooks every node to its least neighbour, shortens the resulting chains twice, and
-    contracts the edges to the chain heads, so the edge table shrinks until it is empty. Rounds are
-    written to the shared folder.
+    Each round hooks every node to its least neighbour, follows the hooks to their roots by doubling,
+    and contracts the edges to the roots. A root is less than all its neighbours, so at most half of the nodes
+    are roots, and the edge table shrinks until it is empty. Rounds are written to the shared folder.
     """
-    edges = cut_lineage(
+    edges = settle(
         edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
     )
     held = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("head"))
-        for _ in range(2):
-            over = up.select(F.col("node").alias("head"), F.col("head").alias("next"))
-            up = up.join(over, "head").select("node", F.col("next").alias("head"))
-        up = cut_lineage(up)
+        up = _roots(settle(up))
         if held is None:
             held = up.withColumnRenamed("head", "label")
         else:
             moved = up.select(F.col("node").alias("label"), "head")
             held = held.join(moved, "label", "left").select("node", F.coalesce("head", "label").alias("label"))
-            held = cut_lineage(held)
+            held = settle(held)
         edges = (
             edges.join(up.select(F.col("node").alias("u"), F.col("head").alias("hu")), "u")
             .join(up.select(F.col("node").alias("v"), F.col("head").alias("hv")), "v")
@@ -76,7 +84,22 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("u < v")
             .distinct()
         )
-        edges = cut_lineage(edges)
+        edges = settle(edges)
     if held is None:
         held = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return held
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """``(node, head)`` with every hook followed to its end; two doublings per written round."""
+    while True:
+        far = up
+        for _ in range(2):
+            over = far.select(F.col("node").alias("head"), F.col("head").alias("next"))
+            far = far.join(over, "head").select("node", F.col("next").alias("head"))
+        far = settle(far)
+        same = up.select("node", F.col("head").alias("was")).join(far, "node").filter("was <> head").isEmpty()
+        up = far
+        if same:
+            return up
+

@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardgrid.llm.common import BLANK, bounded_broadcast, components, text_print
+from hazardgrid.llm.common import BLANK, bounded_broadcast, components, settle, text_print
 from hazardgrid.session import cut_lineage
 
 EDITS = 1
 #: Shorter lines have to be equal.
 MIN_CHARS = 20
+#: Length for the rest of a string.
+REST = 2**31 - 1
 #: Lines that may share an index key before the key is refined.
 HOT = 24
 
@@ -60,7 +62,7 @@ def _key(line: Column, n: Column, level, block: Column, extra: int) -> Column:
     """
     lo, hi = _bounds(n, level, block)
     head = F.substring(line, F.lit(1), lo)
-    tail = F.substring(line, hi + 1 + extra, F.lit(2**31 - 1))
+    tail = F.substring(line, hi + 1 + extra, F.lit(REST))
     return F.xxhash64(n, block, head, tail)
 
 
@@ -114,6 +116,27 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(gap) <= EDITS) & (last.bitwiseAND(bit) != 0)
 
 
+def _around(start: Column, end: Column) -> Column:
+    """Whether ``line_a`` and ``line_b`` agree before ``start`` and, counted from their ends, after ``end``."""
+    a, b, e = F.col("line_a"), F.col("line_b"), F.col("extra")
+    head = F.substring(a, F.lit(1), start) == F.substring(b, F.lit(1), start)
+    return head & (F.substring(a, end + 1, F.lit(REST)) == F.substring(b, end + 1 + e, F.lit(REST)))
+
+
+def _equal_half() -> Column:
+    """Two segments again: of a block with one edit, one half is equal."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    return _around(F.col("lo"), mid) | _around(mid, F.col("hi"))
+
+
+def narrowest(lo: Column, hi: Column, cells: int = 16) -> Column:
+    """The first of ``cells`` parts of the block outside of which the lines agree, as ``(s, e)``, or null."""
+    part = lambda k: F.floor(lo + (hi - lo) * k / cells).cast("int")
+    found = F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: _around(part(k), part(k + 1)))
+    k = F.get(found, 0)
+    return F.when(k.isNotNull(), F.struct(part(k).alias("s"), part(k + 1).alias("e")))
+
+
 def _explode_keys(rows: DataFrame) -> DataFrame:
     """``key, name, extra, n, level, block`` of the first level; ``n`` is the indexed length."""
     pairs = F.array(
@@ -149,19 +172,19 @@ def find_links(docs_lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, D
         lo, hi = _bounds(F.col("n"), F.col("level"), F.col("block"))
         single = (hi - lo) <= 1
         final = hot.filter(single & (hi > lo) & (F.col("extra") == 0)).join(texts, "name")
-        rest = F.concat(F.substring("line", F.lit(1), lo), F.lit("\n"), F.substring(F.col("line"), hi + 1, F.lit(2**31 - 1)))
+        rest = F.concat(F.substring("line", F.lit(1), lo), F.lit("\n"), F.substring(F.col("line"), hi + 1, F.lit(REST)))
         final = final.withColumn("key", name_of(rest))
         groups.append(final.select(F.struct("n", lo.alias("at"), "key").alias("key"), "name"))
         over = hot.filter(single & (F.col("extra") == 1)).join(texts, "name")
         for skip in (0, 1):  # the longer line without one of the code points of the block
             at = F.least(lo + skip, hi)
-            less = F.concat(F.substring("line", F.lit(1), at), F.substring(F.col("line"), at + 2, F.lit(2**31 - 1)))
+            less = F.concat(F.substring("line", F.lit(1), at), F.substring(F.col("line"), at + 2, F.lit(REST)))
             looked.append(over.select(name_of(less).alias("a"), F.col("name").alias("b")))
         left = hot.filter(~single).join(texts, "name").withColumn("block", F.explode(F.array(2 * F.col("block"), 2 * F.col("block") + 1)))
         left = left.withColumn("level", F.col("level") + 1)
         keys = [_key(F.col("line"), F.col("n"), F.col("level"), F.col("block"), e) for e in (0, 1)]
         left = left.withColumn("key", F.when(F.col("extra") == 0, keys[0]).otherwise(keys[1])).drop("line")
-        left = cut_lineage(_met(left.select("key", "name", "extra", "n", "level", "block")))
+        left = settle(_met(left.select("key", "name", "extra", "n", "level", "block")))
         pairs.append(_pairs(left.filter(F.col("m") <= HOT)))
         hot = left.filter(F.col("m") > HOT).drop("m", "key")
 
@@ -171,11 +194,16 @@ def find_links(docs_lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, D
     lo, hi = _bounds(F.col("n"), F.col("level"), F.col("block"))
     side = lambda c: texts.select(F.col("name").alias(c), F.col("line").alias(f"line_{c}"))
     seen = every.join(side("a"), "a").join(side("b"), "b")
-    cut = lambda c, extra: F.substring(F.col(c), lo + 1, hi - lo + extra)
-    tail = lambda c, extra: F.substring(F.col(c), hi + 1 + extra, F.lit(2**31 - 1))
-    e = F.col("extra")
-    outside = (F.substring("line_a", F.lit(1), lo) == F.substring("line_b", F.lit(1), lo)) & (tail("line_a", F.lit(0)) == tail("line_b", e))
-    seen = seen.filter(outside & within_one_edit(cut("line_a", F.lit(0)), cut("line_b", e)))
+    seen = seen.select("a", "b", "line_a", "line_b", "extra", lo.alias("lo"), hi.alias("hi"))
+    cell = narrowest(lo=F.col("lo"), hi=F.col("hi"))
+    seen = seen.filter(_equal_half()).select("a", "b", "line_a", "line_b", "extra", cell.alias("cell"))
+    seen = cut_lineage(
+        seen.filter("cell IS NOT NULL").select(
+            "a", "b", F.substring(F.col("line_a"), F.col("cell.s") + 1, F.col("cell.e") - F.col("cell.s")).alias("x"),
+            F.substring(F.col("line_b"), F.col("cell.s") + 1, F.col("cell.e") - F.col("cell.s") + F.col("extra")).alias("y"),
+        )
+    )
+    seen = seen.filter(within_one_edit(F.col("x"), F.col("y")))
     linked = seen.select("a", "b")
     for look in looked:
         linked = linked.unionByName(look.join(texts.select(F.col("name").alias("a")), "a", "left_semi").select("a", "b"))
@@ -184,7 +212,7 @@ def find_links(docs_lines: DataFrame, distinct: DataFrame) -> tuple[DataFrame, D
         mutual = g if mutual is None else mutual.unionByName(g)
     if mutual is None:
         mutual = distinct.limit(0).select(F.struct("n", F.col("n").alias("at"), F.col("name").alias("key")).alias("key"), "name")
-    return cut_lineage(linked.distinct()), cut_lineage(mutual.distinct())
+    return settle(linked.distinct()), settle(mutual.distinct())
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

@@ -46,21 +46,24 @@ class Memberships:
     temperature: float = 1.0
 
 
-def terms(text: str = "text") -> Column:
-    """Lower-case words of a text and, as terms of their own, how far its make-up is from plain prose.
+def with_terms(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``n_tokens`` and ``_terms``: the lower-case words of a text, each once, and, as terms of
+    their own, how far its make-up is from plain prose.
 
-    The added terms begin with a separator, which no word can hold.
+    The added terms begin with a separator, which no word can hold. The words are a column of their
+    own first, so that they are cut once.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    w = words(F.lower(raw))
-    n = F.greatest(F.size(w), F.lit(1))
-    makeup = {
-        "symbols": held(raw, SYMBOLS) / n, "bangs": held(raw, "!?") / n, "digits": held(raw, "0123456789") / n,
-        "capitals": held(raw, CAPITALS) / n, "sameness": 1 - F.size(F.array_distinct(w)) / n,
-    }
+    raw = F.lower(F.coalesce("text", F.lit("")))
+    capitals = held(F.coalesce("text", F.lit("")), CAPITALS)
+    counts = {"symbols": held(raw, SYMBOLS), "bangs": held(raw, "!?"), "digits": held(raw, "0123456789"), "capitals": capitals}
+    out = docs.select(*keep, words(raw).alias("_w"), *[c.alias(f"_{n}") for n, c in counts.items()])
+    some = [*keep, *[f"_{n}" for n in counts]]
+    out = out.select(*some, F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
+    n = F.greatest("n_tokens", F.lit(1))
+    makeup = {**{name: F.col(f"_{name}") / n for name in counts}, "sameness": 1 - F.size("_d") / n}
     step = lambda x: F.least(F.floor(x * 10), F.lit(10)).cast("string")
-    extra = [F.concat(F.lit(f" {name} "), step(x)) for name, x in makeup.items()]
-    return F.concat(F.array_distinct(w), F.array(*extra))
+    extra = F.array(*[F.concat(F.lit(f" {name} "), step(x)) for name, x in makeup.items()])
+    return out.select(*keep, "n_tokens", F.concat("_d", extra).alias("_terms"))
 
 
 def learn_memberships(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Memberships:
@@ -69,7 +72,7 @@ def learn_memberships(docs: DataFrame, labelled: DataFrame, domains: list[str])
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(MAX_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = cut_lineage(rows.select("domain", terms().alias("w")))
+    rows = cut_lineage(with_terms(rows, ["domain"]).select("domain", F.col("_terms").alias("w")))
     size = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(size.values())
     prior = [(size.get(d, 0) + 1) / (total + len(domains)) for d in domains]
@@ -117,8 +120,7 @@ def soften(rows: DataFrame, model: Memberships, keep: list[str]) -> DataFrame:
 def with_memberships(docs: DataFrame, model: Memberships, keep: list[str]) -> DataFrame:
     """``keep``, ``n_tokens`` and ``p0, p1, ...``, the memberships in the order of the domains."""
     lexicon = F.array(*[F.lit(w) for w in model.lexicon]).cast("array<string>")
-    n = F.size(words(F.lower(F.coalesce("text", F.lit(""))))).cast("long")
-    out = docs.select(*keep, n.alias("n_tokens"), F.array_intersect(terms(), lexicon).alias("_h"))
+    out = with_terms(docs, keep).select(*keep, "n_tokens", F.array_intersect("_terms", lexicon).alias("_h"))
     return soften(out, model, [*keep, "n_tokens"])
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardgrid.llm.common import bounded_broadcast
+from hazardgrid.llm.common import bounded_broadcast, settle
 from hazardgrid.operators.common import salted_join
 from hazardgrid.session import cut_lineage
 
@@ -144,14 +144,14 @@ def reachable(pieces: DataFrame) -> DataFrame:
     runs = starts.groupBy("file", "block", "run").agg(F.min("at").alias("head"), F.max("next").alias("exit"))
     heads = starts.join(runs.select("file", "block", "run", "head"), ["file", "block", "run"])
     hop = runs.join(heads.select("file", F.col("at").alias("exit"), F.col("head").alias("to")), ["file", "exit"])
-    hop = cut_lineage(hop.select("file", "head", "to", F.col("exit").alias("entry")))
+    hop = settle(hop.select("file", "head", "to", F.col("exit").alias("entry")))
     root = starts.filter("first").select("file", F.col("at").alias("head"), F.col("at").alias("entry"))
-    seen, jump = cut_lineage(root.select("file", "head")), hop.select("file", "head", "to")
+    seen, jump = settle(root.select("file", "head")), hop.select("file", "head", "to")
     while not jump.isEmpty():
         more = seen.join(jump, ["file", "head"]).select("file", F.col("to").alias("head"))
-        seen = cut_lineage(seen.unionByName(more).distinct())
+        seen = settle(seen.unionByName(more).distinct())
         twice = jump.select("file", F.col("head").alias("from"), F.col("to").alias("head")).join(jump, ["file", "head"])
-        jump = cut_lineage(twice.select("file", F.col("from").alias("head"), "to"))
+        jump = settle(twice.select("file", F.col("from").alias("head"), "to"))
     entry = hop.join(seen, ["file", "head"]).select("file", F.col("to").alias("head"), "entry").unionByName(root)
     entry = entry.join(runs.select("file", "head", "block", "run"), ["file", "head"]).select("file", "block", "run", "entry")
     out = pieces.join(entry, ["file", "block", "run"], "left")
