@@ -142,19 +142,6 @@ def bbox_around(lon, lat, half_deg) -> Column:
     )
 
 
-def within_bbox(lon, lat, box) -> Column:
-    lon, lat = _col(lon), _col(lat)
-    return lon.between(box["minlon"], box["maxlon"]) & lat.between(box["minlat"], box["maxlat"])
-
-
-def boxes_intersect(a, b) -> Column:
-    return (
-        (a["minlon"] <= b["maxlon"])
-        & (b["minlon"] <= a["maxlon"])
-        & (a["minlat"] <= b["maxlat"])
-        & (b["minlat"] <= a["maxlat"])
-    )
-
 
 def ring_bbox(ring, x="lon", y="lat") -> Column:
     """Bounding box of an array of points."""

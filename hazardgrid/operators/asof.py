@@ -88,9 +88,5 @@ def asof_join(
     return out.select(*keep, *[F.col(f"_got.{c}").alias(c) for c in payload])
 
 
-def hour_bucket(t: Column) -> Column:
-    return F.date_trunc("day", t)
-
-
 def width_bucket_of(width: float):
     return lambda t: F.floor(t / F.lit(float(width)))

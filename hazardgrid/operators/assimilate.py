@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hazardgrid import constants as K
 from hazardgrid.functions.draws import clip, hash_normal, hash_uniform
 from hazardgrid.functions.lookup import sigma_for_kind
-from hazardgrid.operators.common import as_list, attach_group_stats, salted_join
+from hazardgrid.operators.common import as_list, attach_group_stats, number_rows, salted_join
 from hazardgrid.operators.nearest import nearest_distance
 
 LOG_FLOOR = math.log(K.LIKELIHOOD_FLOOR)
@@ -58,12 +58,10 @@ def normalise_reports(observations: DataFrame, ignitions: DataFrame, cell_m: flo
 def batches(reports: DataFrame, t: str = "minutes") -> DataFrame:
     """Reports with the rank of their instant within the event, from 1.
 
-    Only the distinct instants are ranked.
+    Only the distinct instants are ranked, by ranges, so an event with many is many tasks.
     """
-    instants = reports.select("fire_id", t).distinct()
-    rank = F.dense_rank().over(Window.partitionBy("fire_id").orderBy(t))
-    ranked = instants.withColumn("batch", rank)
-    return reports.join(ranked, ["fire_id", t])
+    instants = number_rows(reports.select("fire_id", t).distinct(), [F.col(t)], ["fire_id"], "batch")
+    return reports.join(instants.withColumn("batch", F.col("batch").cast("int")), ["fire_id", t])
 
 
 def distance_to_burned(cells: DataFrame, arrivals: DataFrame, members: DataFrame, cell_m: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,12 +105,15 @@ def ray_direction(px, py) -> Column:
     )
 
 
-def march(rays: DataFrame, dem: DataFrame, site: DataFrame, ray, step_m: float, range_m: float) -> DataFrame:
-    """Terrain height at even steps along each ray: ``(.., k, t, terrain_m)``.
+def march(
+    rays: DataFrame, dem: DataFrame, site: DataFrame, ray, step_m: float, range_m: float, with_end: bool = True
+) -> DataFrame:
+    """Terrain height at even steps along each ray: ``(.., k, t, terrain_m)``; ``with_end`` says
+    whether a step at ``range_m`` itself belongs to it.
 
     ``rays`` carries ``fire_id, lon, lat, elev_m, e, n, u`` of camera and ray.
     """
-    steps = int(range_m // step_m)
+    steps = int(range_m // step_m) if with_end else math.ceil(range_m / step_m) - 1
     at = spatial.attach_site(rays, site, as_list(ray))
     p = geo.to_local("lon", "lat", "center_lon", "center_lat")
     at = at.withColumn("_p", p).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
@@ -138,38 +143,27 @@ def first_crossing(rays: DataFrame, dem: DataFrame, site: DataFrame, ray, step_m
     ).select(*ray, "_h.*")
 
 
-def base_pixels(pixels: DataFrame, frame="frame_id", max_cols: int = 40) -> DataFrame:
-    """Lowest pixel per occupied column; more than ``max_cols`` columns are sampled evenly."""
-    keys = as_list(frame)
-    low = pixels.groupBy(*keys, "camera_id", "px").agg(F.max("py").alias("py"))
-    w = Window.partitionBy(*keys).orderBy("px")
-    low = low.withColumn("_k", F.row_number().over(w) - 1)
-    n = low.groupBy(*keys).agg(F.count("*").alias("_n"))
-    last = F.col("_n") - 1
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(max_cols - 1)), lambda s: F.floor(s * (last / float(max_cols - 1)) + 1e-9)
-    )
-    keep = (F.col("_n") <= max_cols) | F.array_contains(picks, F.col("_k").cast("long"))
-    return low.join(n, keys).filter(keep).drop("_k", "_n")
+def base_pixels(pixels: DataFrame, frame="frame_id") -> DataFrame:
+    """Lowest pixel of every occupied column."""
+    return pixels.groupBy(*as_list(frame), "camera_id", "px").agg(F.max("py").alias("py"))
 
 
 def pose_cloud(
     base: DataFrame, cameras: DataFrame, dem: DataFrame, site: DataFrame, n_samples: int, step_m: float, range_m: float,
-    pan_sd: float = 3.0, tilt_sd: float = 3.0, row_sd: float = 4.0, seed: int = 3,
+    pan_sd: float = 3.0, tilt_sd: float = 3.0, row_sd: float = 4.0, seed: int = 3, buffer_m: float = 0.0,
 ) -> DataFrame:
-    """Hull and size of the ground points seen under sampled poses, per frame.
+    """Hull and size of the ground points seen under sampled poses, per frame, from all its columns.
 
-    About six columns of each frame stand for it. Draws hash (frame, sample), so a sample shares one
-    pose over its columns.
+    Draws hash (frame, sample), so a sample shares one pose over its columns. Pose errors come from the
+    camera's ``pan_sd`` and ``tilt_sd`` where it has them. The size is that of the hull grown by
+    ``buffer_m`` on all sides; frames without hits keep their row with the default size.
     """
-    w = Window.partitionBy("frame_id").orderBy("px")
-    n = base.groupBy("frame_id").agg(F.count("*").alias("_n"))
-    rep = base.withColumn("_k", F.row_number().over(w) - 1).join(n, "frame_id")
-    rep = rep.filter(F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / 6)) == 0).drop("_n", "_k")
-    rows = rep.join(cameras, "camera_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    for c, v in (("pan_sd", pan_sd), ("tilt_sd", tilt_sd)):
+        cameras = cameras if c in cameras.columns else cameras.withColumn(c, F.lit(float(v)))
+    rows = base.join(cameras, "camera_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     pose = ("frame_id", "sample")
-    rows = rows.withColumn("pan_deg", F.col("pan_deg") + hash_normal(seed, *pose, F.lit("pan")) * pan_sd)
-    rows = rows.withColumn("tilt_deg", F.col("tilt_deg") + hash_normal(seed, *pose, F.lit("tilt")) * tilt_sd)
+    rows = rows.withColumn("pan_deg", F.col("pan_deg") + hash_normal(seed, *pose, F.lit("pan")) * F.col("pan_sd"))
+    rows = rows.withColumn("tilt_deg", F.col("tilt_deg") + hash_normal(seed, *pose, F.lit("tilt")) * F.col("tilt_sd"))
     rows = rows.withColumn("py", F.col("py") + hash_normal(seed, *pose, "px", F.lit("row")) * row_sd)
     rays = rows.withColumn("_r", ray_direction(F.col("px"), F.col("py"))).select(
         "frame_id", "sample", "px", "fire_id", "lon", "lat", "elev_m", "_r.*"
@@ -177,11 +171,13 @@ def pose_cloud(
     hits = first_crossing(rays, dem, site, ["frame_id", "sample", "px"], step_m, range_m)
     cloud = hits.select("frame_id", F.col("hit_lon").alias("lon"), F.col("hit_lat").alias("lat"))
     hulls = spatial.convex_hulls(cloud, "frame_id")
-    size = F.sqrt(F.greatest(geo.polygon_area_m2("ring"), F.lit(1.0)))
+    size = F.sqrt(F.greatest(geo.polygon_area_m2("ring"), F.lit(1.0))) + 2.0 * buffer_m
     counts = cloud.groupBy("frame_id").agg(F.count("*").alias("n_hits"))
-    return counts.join(hulls, "frame_id").select(
-        "frame_id", "n_hits", "ring", F.when(F.size("ring") >= 3, size).otherwise(F.lit(25.0)).alias("char_m")
-    )
+    every = base.select("frame_id").distinct().join(counts, "frame_id", "left").join(hulls, "frame_id", "left")
+    return every.select(
+        "frame_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), "ring",
+        F.when((F.col("n_hits") >= 3) & (F.size("ring") >= 3), size).otherwise(F.lit(25.0)).alias("char_m"),
+    )
 
 
 def horizon_angles(columns: DataFrame, dem: DataFrame, site: DataFrame, step_m: float, range_m: float) -> DataFrame:
@@ -191,7 +187,7 @@ def horizon_angles(columns: DataFrame, dem: DataFrame, site: DataFrame, step_m:
     """
     az = F.radians(pixel_bearing(F.col("px")))
     rays = columns.withColumns({"e": F.sin(az), "n": F.cos(az), "u": F.lit(0.0)})
-    seen = march(rays, dem, site, ["camera_id", "px"], step_m, range_m).filter("k > 0")
+    seen = march(rays, dem, site, ["camera_id", "px"], step_m, range_m, with_end=False).filter("k > 0")
     el = F.degrees(F.atan2(F.col("terrain_m") - F.col("elev_m"), F.col("t")))
     return seen.groupBy("camera_id", "px").agg(F.max(el).alias("horizon_deg"))
 
@@ -211,21 +207,32 @@ def detect_skyline(gray: DataFrame, keys=("camera_id", "px"), contrast: float =
 
 
 def calibrate_tilt(observed: DataFrame, angles: DataFrame, cameras: DataFrame, lo=-15.0, hi=15.0, step=0.25) -> DataFrame:
-    """Tilt with the least RMS between observed and rendered skyline; needs three columns."""
+    """Tilt with the least RMS between observed and rendered skyline.
+
+    Every camera gets a row. With fewer than three columns it keeps its own tilt, no RMS and 0 columns.
+    """
     n = round((hi - lo) / step)
     tilts = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: k * step + lo)
     rows = observed.join(angles, ["camera_id", "px"]).join(cameras, "camera_id")
     rows = rows.withColumn("tilt", F.explode(tilts))
     err = skyline_row(F.col("tilt"), F.col("horizon_deg")) - F.col("row")
     rms = rows.groupBy("camera_id", "tilt").agg(F.sqrt(F.avg(err * err)).alias("rms"), F.count("*").alias("n"))
-    return rms.filter("n >= 3").groupBy("camera_id").agg(
-        F.min_by("tilt", F.struct(F.round("rms", 9), "tilt")).alias("tilt_deg"),
+    best = rms.filter("n >= 3").groupBy("camera_id").agg(
+        F.min_by("tilt", F.struct(F.round("rms", 9), "tilt")).alias("_tilt"),
         F.min("rms").alias("rms_row_error"),
-        F.max("n").alias("n_columns"),
+        F.max("n").alias("_n"),
     )
+    return cameras.select("camera_id", "tilt_deg").join(best, "camera_id", "left").select(
+        "camera_id", F.coalesce("_tilt", "tilt_deg").alias("tilt_deg"), "rms_row_error",
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_columns"),
+    )
 
 
 def apply_tilt(cameras: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Cameras with the calibrated tilt where one was found."""
-    c = calibration.select("camera_id", F.col("tilt_deg").alias("_t"))
-    return cameras.join(c, "camera_id", "left").withColumn("tilt_deg", F.coalesce("_t", "tilt_deg")).drop("_t")
+    """Cameras with the calibrated tilt where one was found; its error is then at most one degree."""
+    c = calibration.filter("n_columns > 0").select("camera_id", F.col("tilt_deg").alias("_t"))
+    out = cameras.join(c, "camera_id", "left")
+    if "tilt_uncertainty_deg" in cameras.columns:
+        least = F.least("tilt_uncertainty_deg", F.lit(1.0))
+        out = out.withColumn("tilt_uncertainty_deg", F.when(F.col("_t").isNotNull(), least).otherwise(F.col("tilt_uncertainty_deg")))
+    return out.withColumn("tilt_deg", F.coalesce("_t", "tilt_deg")).drop("_t")

@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def rounded(x: Column | str, digits: int = 6) -> Column:
@@ -59,6 +58,32 @@ def first_rows(df: DataFrame, keys, order: Sequence[Column], n: int = 1, rank: s
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
+def number_rows(df: DataFrame, order: Sequence[Column], keys=(), name: str = "rank") -> DataFrame:
+    """Rows numbered 1, 2, ... in ``order``, within each group of ``keys`` or over all rows.
+
+    Rows are dealt by range of (keys, order), so a large group is many tasks; each task numbers its own
+    rows and adds the count of the ranges before. The ranges are written first, so that both uses see the
+    same ones.
+    """
+    from pyspark.sql import Window
+
+    from hazardgrid.session import cut_lineage
+
+    keys = as_list(keys)
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = ranged.withColumn("_inside", inside).join(sizes, same)
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
 def conditional_sums(prefix: str, values: Sequence[float], cond, amount: Column) -> list[Column]:
     """One sum per value, so that a list of thresholds needs no row multiplication."""
     return [
@@ -75,10 +100,3 @@ def unpivot_values(prefix: str, values: Sequence, name: str, out: str) -> Column
         ]
     )
 
-
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
-
-
-def numeric_fields(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

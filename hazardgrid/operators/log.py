@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardgrid.operators.asof import asof_join
-from hazardgrid.operators.common import as_list, first_rows
+from hazardgrid.operators.common import as_list, first_rows, number_rows
 
 OBJECT = ["kind", "obj_id"]
 
@@ -29,14 +29,12 @@ def _at(at: datetime | str | Column) -> Column:
 def append_versions(log: DataFrame, batch: DataFrame, order=("tx_t", "obj_id")) -> DataFrame:
     """Log plus a batch whose ``seq`` continues the log's, rising in ``order``.
 
-    The batch is sorted globally and numbered per partition, so numbering needs no single task;
-    numbers rise without being dense.
+    Numbers are dense: the batch is dealt by range of ``order`` and each range adds the count of the
+    ranges before it, so no single task sees it all.
     """
     top = log.agg(F.max("seq")).first()[0] or 0
-    numbered = batch.orderBy(*order).withColumn(
-        "seq", F.lit(int(top) + 1) + F.monotonically_increasing_id()
-    )
-    return log.unionByName(numbered.select(*log.columns))
+    numbered = number_rows(batch.drop("seq"), [F.col(c) for c in order], name="seq")
+    return log.unionByName(numbered.withColumn("seq", F.col("seq") + int(top)).select(*log.columns), allowMissingColumns=True)
 
 
 def state_as_of(log: DataFrame, at=None, keys=OBJECT, tx_at=None) -> DataFrame:
@@ -95,10 +93,11 @@ def usable_by(observations: DataFrame, issues: DataFrame, keys="fire_id", t="t",
 
 
 def acknowledge(log: DataFrame, decisions: DataFrame, keys=("rec_id",)) -> DataFrame:
-    """New versions of the current recommendations that a person acknowledged or overrode.
+    """Batch of new versions of the current recommendations that a person acknowledged or overrode.
 
     ``decisions`` holds ``keys, user, note``; a NULL or empty note is an acknowledgement, any other
-    is appended to the rationale. The new version keeps its ``valid_t``.
+    is appended to the rationale. The new version keeps its ``valid_t`` and has no ``seq`` yet:
+    ``append_versions`` gives it one above all others, which makes it the current version.
     """
     keys = as_list(keys)
     current = state_as_of(log, keys=keys)
@@ -110,7 +109,7 @@ def acknowledge(log: DataFrame, decisions: DataFrame, keys=("rec_id",)) -> DataF
         current.join(decisions, keys, "inner")
         .withColumn("rationale", F.when(has_note, noted).otherwise(F.col("rationale")))
         .withColumn("acknowledged_by", F.col("user"))
-        .drop("user", "note")
+        .drop("user", "note", "seq")
     )
 
 

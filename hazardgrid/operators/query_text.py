@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardgrid.operators.common import first_rows
+from hazardgrid.operators.common import first_rows, number_rows
 
 # Question rules in order: intent, pattern that must match, pattern that must not.
 INTENT_RULES = [
@@ -75,13 +75,10 @@ def top_staging(recs: DataFrame) -> DataFrame:
 
 
 def camera_list(cameras: DataFrame) -> DataFrame:
-    """Count and names per event; the text itself holds every camera of one event."""
-    listed = cameras.groupBy("fire_id").agg(
-        F.count("*").alias("n"),
-        F.sort_array(F.collect_list(F.struct("camera_id", "name"))).alias("rows"),
-    )
-    text = F.concat(F.col("n").cast("string"), F.lit(" cameras: "), F.array_join("rows.name", ", "))
-    return listed.select("fire_id", text.alias("answer"))
+    """Answer line of every camera: how many the event has, the camera's place among them and its name."""
+    n = cameras.groupBy("fire_id").agg(F.count("*").alias("n_cameras"))
+    placed = number_rows(cameras.select("fire_id", "camera_id", "name"), [F.col("camera_id")], ["fire_id"], "place")
+    return placed.join(n, "fire_id").select("fire_id", "n_cameras", "place", F.col("camera_id").alias("cited_id"), "name")
 
 
 def fire_status(fires: DataFrame) -> DataFrame:
@@ -89,11 +86,10 @@ def fire_status(fires: DataFrame) -> DataFrame:
 
 
 def observation_counts(observations: DataFrame) -> DataFrame:
-    """Count per event and kind, with the first ten ids of the event."""
-    counts = observations.groupBy("fire_id", "kind").agg(F.count("*").alias("n"))
-    cited = (
-        first_rows(observations.select("fire_id", "obs_id"), "fire_id", [F.col("obs_id")], 10)
-        .groupBy("fire_id")
-        .agg(F.sort_array(F.collect_list("obs_id")).alias("cites"))
-    )
-    return counts.join(cited, "fire_id")
+    """Count per event and kind."""
+    return observations.groupBy("fire_id", "kind").agg(F.count("*").alias("n"))
+
+
+def observation_citations(observations: DataFrame) -> DataFrame:
+    """The ids behind the counts, one per row, so an event may cite any number."""
+    return observations.select("fire_id", "kind", F.col("obs_id").alias("cited_id"))

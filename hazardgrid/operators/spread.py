@@ -75,7 +75,7 @@ def edge_costs(spread: DataFrame, cell_m: float) -> DataFrame:
 
 
 def earliest_arrival(
-    sources: DataFrame, edges: DataFrame, max_minutes: float, hops_per_round: int = 3, max_rounds: int = 500
+    sources: DataFrame, edges: DataFrame, max_minutes: float, hops_per_round: int = 3
 ) -> DataFrame:
     """Least travel time from the source cells over a cost-weighted edge table, up to ``max_minutes``.
 
@@ -85,7 +85,7 @@ def earliest_arrival(
     """
     edges = cut_lineage(edges)
     best = cut_lineage(sources.select(*NODE, F.lit(0.0).alias("arrival_min"), F.lit(True).alias("_new")))
-    for _ in range(max_rounds):
+    while True:
         for _ in range(hops_per_round):
             front = best.filter("_new").select(*NODE, "arrival_min")
             step = front.join(edges, NODE).select(
@@ -103,4 +103,3 @@ def earliest_arrival(
         best = cut_lineage(best)
         if best.filter("_new").isEmpty():
             return best.drop("_new")
-    raise RuntimeError("arrival search did not finish")

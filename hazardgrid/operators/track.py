@@ -108,7 +108,7 @@ def cluster_points(points: DataFrame, frame, pos: str = "point_id", eps_km: floa
     )
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, keys, max_rounds: int = 200) -> DataFrame:
+def connected_labels(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
     """Least node id of each node's component, by label spreading with pointer jumping.
 
     Each round takes the least label among the neighbours and then that label's own label, so long
@@ -121,7 +121,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys, max_rounds: int =
         ).distinct()
     )
     labels = cut_lineage(nodes.withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "v"), [*keys, "v"]).groupBy(*keys, "u").agg(
             F.min("label").alias("_n")
         )
@@ -137,7 +137,6 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys, max_rounds: int =
         labels = moved.drop("_old")
         if not changed:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def primary_clusters(clustered: DataFrame, frame, pos: str = "point_id") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from hazardgrid import constants as K
+from hazardgrid.functions.draws import normal_sql
 from hazardgrid.functions.lookup import sigma_for_kind
 from hazardgrid.operators import assimilate, ensemble, exposure
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans.decide_queries import first_sql, p_by, zone_cells
-from hazardgrid.plans.ensemble_queries import field
+from hazardgrid.plans.ensemble_queries import drawn_sql, field
 from hazardgrid.plans.registry import query, r
 
 CELL_M = 2000.0
@@ -184,13 +186,30 @@ def p8(x):
     return assimilate.systematic_resample(weights, 0.37)
 
 
-@query("P9_jitter_children")
+def _jittered(name: str) -> str:
+    sd, lo, hi = K.JITTER[name]
+    moved = f"{name} + {normal_sql(99, 'fire_id', 'child', f"'{name}'", '0')} * {sd}"
+    return r(moved if lo is None else f"greatest({lo}::DOUBLE, least({hi}::DOUBLE, {moved}))") + f" AS {name}"
+
+
+@query(
+    "P9_jitter_children",
+    f"""WITH c AS (SELECT fire_id, member_id, SUM(weight) OVER (PARTITION BY fire_id ORDER BY member_id)
+                    / SUM(weight) OVER (PARTITION BY fire_id) AS cum, COUNT(*) OVER (PARTITION BY fire_id) AS n FROM member),
+        kids AS (SELECT fire_id, CAST(k AS INT) AS child, MIN(member_id) AS member_id
+                 FROM c, range(0, 100) p(k) WHERE k < n AND cum >= (0.37 + k) / n GROUP BY fire_id, k),
+        drawn AS ({drawn_sql(20, 0)})
+        SELECT kids.fire_id, child, kids.member_id, {', '.join(_jittered(n) for n in K.JITTER)},
+               {r('1.0 / COUNT(*) OVER (PARTITION BY kids.fire_id)')} AS weight
+        FROM (SELECT kids.*, drawn.* EXCLUDE (fire_id, member_id) FROM kids JOIN drawn ON drawn.fire_id = kids.fire_id AND drawn.member_id = kids.member_id) kids""",
+)
 def p9(x):
     """Resampled members of a drawn ensemble with perturbed parameters."""
     sites = x.site.withColumns({"ignition_lon": F.col("center_lon"), "ignition_lat": F.col("center_lat")})
     drawn = ensemble.draw_members(sites, n_members=20)
     weights = x.member.withColumn("w", F.col("weight"))
-    return assimilate.jitter(assimilate.systematic_resample(weights, 0.37), drawn)
+    out = assimilate.jitter(assimilate.systematic_resample(weights, 0.37), drawn)
+    return out.select("fire_id", "child", "member_id", *[rounded(c).alias(c) for c in (*K.JITTER, "weight")])
 
 
 @query(

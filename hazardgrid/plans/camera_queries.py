@@ -100,9 +100,7 @@ def k6(x):
 
 @query(
     "K7_base_pixels",
-    """WITH low AS (SELECT frame_id, px, MAX(py) AS py FROM mask_pixel GROUP BY frame_id, px),
-       k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY px) - 1 AS k, COUNT(*) OVER (PARTITION BY frame_id) AS n FROM low)
-       SELECT frame_id, px, py FROM k WHERE n <= 40 OR k IN (SELECT CAST(floor(s * ((k.n - 1) / 39.0::DOUBLE) + 1e-9) AS BIGINT) FROM range(0, 40) g(s))""",
+    """SELECT frame_id, px, MAX(py) AS py FROM mask_pixel GROUP BY frame_id, px""",
 )
 def k7(x):
     return _base(x).select("frame_id", "px", "py")

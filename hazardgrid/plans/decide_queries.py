@@ -284,10 +284,20 @@ RESP = f"""{sweep_sql(180, 8)},
            FROM sweep WHERE flag_min IS NOT NULL) s WHERE rn <= 6)"""
 
 
+FLAGGED = f"""{sweep_sql(180, 8)},
+  resp AS (SELECT * FROM sweep WHERE flag_min IS NOT NULL)"""
+
+
+def _sweep(x):
+    return decide.flag_sweep(x.zone_point, x.site, x.member_arrival, x.member, 180, 8)
+
+
 def _responses(x):
-    return decide.response_list(
-        decide.flag_sweep(x.zone_point, x.site, x.member_arrival, x.member, 180, 8)
-    )
+    return decide.response_list(_sweep(x))
+
+
+def _flagged(x):
+    return decide.flagged_zones(_sweep(x))
 
 
 @query(
@@ -301,11 +311,11 @@ def d12_list(x):
 
 @query(
     "D12_response_totals",
-    f"""WITH {RESP} SELECT fire_id, COUNT(*) AS n_flagged, CAST(SUM(population) AS BIGINT) AS residents_at_risk
-        FROM resp GROUP BY fire_id""",
+    f"""WITH {sweep_sql(180, 8)} SELECT fire_id, COUNT(*) AS n_flagged, CAST(SUM(population) AS BIGINT) AS residents_at_risk
+        FROM sweep WHERE flag_min IS NOT NULL GROUP BY fire_id""",
 )
 def d12_totals(x):
-    return decide.response_totals(_responses(x))
+    return decide.response_totals(_flagged(x))
 
 
 IMPACT = f"""{sweep_sql(270, 6)},
@@ -426,10 +436,9 @@ SKILL_ROW = """SELECT CAST(o_custkey % 97 AS BIGINT) AS fire_id, CAST(MIN(o_orde
 @query(
     "D19_mean_by_position",
     f"""WITH sk AS ({SKILL_ROW.replace('{orders}', 'orders')}),
-        rk AS (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY horizon_min) AS pos FROM sk),
-        n AS (SELECT MIN(c) AS n FROM (SELECT COUNT(*) AS c FROM sk GROUP BY fire_id) q)
-        SELECT CAST(pos AS INT) AS pos, CAST(floor(AVG(horizon_min)) AS BIGINT) AS horizon_min,
-               {r('AVG(iou_on)')} AS iou_on, {r('AVG(iou_off)')} AS iou_off FROM rk, n WHERE pos <= n GROUP BY pos""",
+        rk AS (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY horizon_min) AS pos FROM sk)
+        SELECT CAST(pos AS INT) AS pos, COUNT(*) AS n_events, CAST(floor(AVG(horizon_min)) AS BIGINT) AS horizon_min,
+               {r('AVG(iou_on)')} AS iou_on, {r('AVG(iou_off)')} AS iou_off FROM rk GROUP BY pos""",
 )
 def d19(x):
     skill = x.spark.sql(SKILL_ROW, orders=x.orders)
@@ -466,22 +475,19 @@ def d21(x):
 
 @query(
     "D21_skill_pivot",
-    f"""SELECT horizon_min, {', '.join(r(f'AVG(p.p) FILTER (fire_id = {k})') + f' AS fire_{k}' for k in range(5))}
-        FROM prob p WHERE arm = 'on' GROUP BY horizon_min""",
+    f"""SELECT horizon_min, fire_id, {r('AVG(p.p)')} AS p FROM prob p WHERE arm = 'on' GROUP BY horizon_min, fire_id""",
 )
 def d21_pivot(x):
-    wide = field(x).groupBy("horizon_min").pivot("fire_id", [0, 1, 2, 3, 4]).agg(rounded(F.avg("p")))
-    return wide.select("horizon_min", *[F.col(str(k)).alias(f"fire_{k}") for k in range(5)])
+    """One row per horizon and event, so any number of events fits."""
+    return field(x).groupBy("horizon_min", "fire_id").agg(rounded(F.avg("p")).alias("p"))
 
 
 @query(
     "D22_positive_warnings",
-    f"""WITH {IMPACT} SELECT name AS zone, fire_id, warning_min, population AS residents FROM (
-          SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY warning_min DESC, zone_id) AS rn
-          FROM imp WHERE warning_min IS NOT NULL) s WHERE rn <= 16 AND warning_min > 0""",
+    f"""WITH {IMPACT} SELECT name AS zone, fire_id, warning_min, population AS residents FROM imp WHERE warning_min > 0""",
 )
 def d22(x):
-    rows = decide.impact_communities(_impact(x)).filter("warning_min > 0")
+    rows = decide.positive_warnings(_impact(x))
     return rows.select(
         F.col("name").alias("zone"), "fire_id", "warning_min", F.col("population").alias("residents")
     ).orderBy(F.col("warning_min").desc())
@@ -489,8 +495,7 @@ def d22(x):
 
 @query(
     "D22_default_event",
-    f"""WITH {IMPACT}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fire_id
-              ORDER BY eta_med NULLS LAST, zone_id) AS rn FROM imp WHERE flagged) s WHERE rn <= 14),
+    f"""WITH {IMPACT}, b AS (SELECT * FROM imp WHERE flagged),
         f AS (SELECT i.fire_id, COUNT(*) FILTER (i.flagged) AS n_flagged, COUNT(*) FILTER (i.reached) AS burned,
                      (SELECT COUNT(DISTINCT coalesce(eta_med, -1)) FROM b WHERE b.fire_id = i.fire_id) AS n_eta
               FROM imp i GROUP BY i.fire_id)
@@ -502,7 +507,7 @@ def d22_default(x):
     flags = rows.groupBy("fire_id").agg(
         F.count_if("flagged").alias("n_flagged"), F.count_if("reached").alias("burned")
     )
-    etas = decide.impact_brief(rows).groupBy("fire_id").agg(
+    etas = rows.filter("flagged").groupBy("fire_id").agg(
         F.countDistinct(F.coalesce("eta_med", F.lit(-1))).alias("n_eta")
     )
     both = flags.join(etas, "fire_id", "left").na.fill(0, ["n_eta"])

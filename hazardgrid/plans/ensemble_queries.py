@@ -2,18 +2,45 @@
 
 from pyspark.sql import functions as F
 
+from hazardgrid import constants as K
+from hazardgrid.functions.draws import normal_sql
 from hazardgrid.operators import ensemble
 from hazardgrid.operators.common import rounded
+from hazardgrid.plans import frag
 from hazardgrid.plans.registry import query, r
 
 H = [15, 30, 60, 180]
 
 
-@query("E1_draw_members")
+NUMBERS = ["wind_mult", "wind_dir_offset_deg", "moisture_mult", "ros_mult", "ignition_lon", "ignition_lat"]
+
+
+def drawn_sql(n: int, n_tail: int) -> str:
+    """Check SQL of ``n`` drawn members per event; ignitions at the sites' centres."""
+    c = K.ENSEMBLE_PRIOR
+    z = lambda name: normal_sql(c["seed"], "fire_id", "member_id", f"'{name}'")
+    within = lambda x, lo, hi: f"greatest({lo}::DOUBLE, least({hi}::DOUBLE, {x}))"
+    tail = f"member_id >= {n - n_tail}"
+    moved = frag.wgs(f"({z('east')} * {c['ignition_sd_m']})", f"({z('north')} * {c['ignition_sd_m']})", "center_lon", "center_lat")
+    return f"""SELECT fire_id, CAST(member_id AS INT) AS member_id, 1.0::DOUBLE AS weight,
+        CASE WHEN {tail} THEN {within(f"{z('wind')} * {c['tail_wind_mult_sd']} + {c['tail_wind_mult']}", 0.6, 4.0)}
+             ELSE {within(f"{z('wind')} * {c['wind_mult_sd']} + 1.0", 0.4, 2.4)} END AS wind_mult,
+        {z('direction')} * CASE WHEN {tail} THEN {c['tail_dir_factor']} ELSE 1.0 END * {c['wind_dir_sd_deg']} AS wind_dir_offset_deg,
+        {within(f"{z('moisture')} * {c['moisture_mult_sd']} + 1.0", 0.35, 2.4)} AS moisture_mult,
+        {within(f"{z('ros')} * {c['ros_mult_sd']} + 1.0", 0.4, 3.0)} AS ros_mult,
+        CASE WHEN {tail} THEN {c['tail_spread_cap_ms']}::DOUBLE ELSE {c['spread_cap_ms']}::DOUBLE END AS spread_cap_ms,
+        {moved[0]} AS ignition_lon, {moved[1]} AS ignition_lat
+      FROM site, range(0, {n}) m(member_id)"""
+
+
+@query(
+    "E1_draw_members",
+    f"""SELECT fire_id, member_id, weight, spread_cap_ms, {', '.join(f'{r(c)} AS {c}' for c in NUMBERS)} FROM ({drawn_sql(60, 15)}) d""",
+)
 def e1(x):
     """Sixty members per event, a quarter of them from the fast tail."""
     sites = x.site.withColumns({"ignition_lon": F.col("center_lon"), "ignition_lat": F.col("center_lat")})
-    return ensemble.draw_members(sites, tail_frac=0.25)
+    return ensemble.draw_members(sites, tail_frac=0.25).withColumns({c: rounded(c) for c in NUMBERS})
 
 
 @query(

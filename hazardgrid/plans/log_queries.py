@@ -12,9 +12,10 @@ AT = "2024-01-16 00:00:00"
 
 @query(
     "V1_append_versions",
-    """SELECT event_type AS kind, CAST(user_id AS STRING) AS obj_id, ts AS tx_t,
-              event_id % 2 = 1 AS appended, true AS in_order
-       FROM events""",
+    """WITH v AS (SELECT event_id + 1 AS seq, event_type AS kind, CAST(user_id AS STRING) AS obj_id, ts AS tx_t FROM events)
+       SELECT kind, obj_id, tx_t, false AS appended, seq FROM v WHERE seq % 2 = 1
+       UNION ALL SELECT kind, obj_id, tx_t, true, (SELECT MAX(seq) FROM v WHERE seq % 2 = 1) + row_number() OVER (ORDER BY tx_t, obj_id, kind)
+       FROM v WHERE seq % 2 = 0""",
 )
 def v1(x):
     """Half of the versions are the log, the other half arrive as one batch."""
@@ -22,14 +23,10 @@ def v1(x):
     merged = log.append_versions(
         src.filter("seq % 2 = 1").select("seq", "kind", "obj_id", "valid_t", "tx_t", "data"),
         src.filter("seq % 2 = 0").select("kind", "obj_id", "valid_t", "tx_t", "data"),
+        ["tx_t", "obj_id", "kind"],
     )
     top = src.filter("seq % 2 = 1").agg(F.max("seq")).first()[0]
-    w = "(PARTITION BY kind, obj_id ORDER BY tx_t)"
-    return merged.withColumn("appended", F.col("seq") > top).selectExpr(
-        "kind", "obj_id", "tx_t", "appended",
-        f"NOT appended OR coalesce(seq > max(CASE WHEN appended THEN seq END) OVER {w[:-1]} "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS in_order",
-    )
+    return merged.withColumn("appended", F.col("seq") > top).select("kind", "obj_id", "tx_t", "appended", "seq")
 
 
 STATE_SQL = """SELECT kind, obj_id, seq, valid_t, value FROM (
@@ -183,7 +180,7 @@ def v11(x):
 
 @query(
     "V12_acknowledge_override",
-    """SELECT seq, rec_id, valid_t, 'duty' AS acknowledged_by,
+    """SELECT (SELECT MAX(seq) FROM recommendation) + row_number() OVER (ORDER BY rec_id) AS seq, rec_id, valid_t, 'duty' AS acknowledged_by,
               CASE WHEN CAST(rec_id AS BIGINT) % 2 = 0 THEN rationale
                    ELSE concat(rationale, chr(10), '[override by duty] road is open') END AS rationale
        FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY valid_t DESC, seq DESC) AS rn
@@ -194,14 +191,15 @@ def v12(x):
         "rec_id", "'duty' AS user",
         "CASE WHEN CAST(rec_id AS BIGINT) % 2 = 0 THEN NULL ELSE 'road is open' END AS note",
     )
-    return log.acknowledge(x.recommendation, decisions).select(
-        "seq", "rec_id", "valid_t", "acknowledged_by", "rationale"
-    )
+    held = x.recommendation.withColumn("acknowledged_by", F.lit(None).cast("string"))
+    after = log.append_versions(held, log.acknowledge(x.recommendation, decisions), ["rec_id"])
+    return log.state_as_of(after, keys=["rec_id"]).select("seq", "rec_id", "valid_t", "acknowledged_by", "rationale")
 
 
 @query(
     "V13_ingest_observation",
-    """SELECT CAST(event_id AS STRING) AS obj_id, 'Observation' AS kind, ts AS valid_t FROM events""",
+    """SELECT row_number() OVER (ORDER BY ts, CAST(event_id AS STRING)) AS seq, CAST(event_id AS STRING) AS obj_id,
+              'Observation' AS kind, ts AS valid_t FROM events""",
 )
 def v13(x):
     """Observations written as versions of one kind into an empty log."""
@@ -210,7 +208,7 @@ def v13(x):
         "to_json(named_struct('id', obs_id, 'kind', kind, 'lon', lon, 'lat', lat)) AS data",
     )
     empty = x.object_version.select("seq", "kind", "obj_id", "valid_t", "tx_t", "data").filter("false")
-    return log.append_versions(empty, batch).select("obj_id", "kind", "valid_t")
+    return log.append_versions(empty, batch).select("seq", "obj_id", "kind", "valid_t")
 
 
 @query(
@@ -355,8 +353,8 @@ def v21_staging(x):
 
 @query(
     "V22_camera_list",
-    """SELECT fire_id, concat(CAST(COUNT(*) AS STRING), ' cameras: ',
-              string_agg(name, ', ' ORDER BY camera_id)) AS answer FROM camera GROUP BY fire_id""",
+    """SELECT fire_id, COUNT(*) OVER (PARTITION BY fire_id) AS n_cameras,
+              row_number() OVER (PARTITION BY fire_id ORDER BY camera_id) AS place, camera_id AS cited_id, name FROM camera""",
 )
 def v22(x):
     return query_text.camera_list(x.camera)
@@ -378,16 +376,17 @@ def v22_status(x):
 
 @query(
     "V23_observation_counts",
-    """SELECT n.fire_id, n.kind, n.n, c.cites
-       FROM (SELECT fire_id, kind, COUNT(*) AS n FROM observation GROUP BY fire_id, kind) n
-       JOIN (SELECT fire_id, list(obs_id ORDER BY obs_id) AS cites FROM (
-               SELECT fire_id, obs_id, row_number() OVER (PARTITION BY fire_id ORDER BY obs_id) AS k
-               FROM observation) s WHERE k <= 10 GROUP BY fire_id) c ON c.fire_id = n.fire_id""",
+    """SELECT fire_id, kind, COUNT(*) AS n FROM observation GROUP BY fire_id, kind""",
 )
 def v23(x):
     return query_text.observation_counts(x.observation)
 
 
+@query("V23_observation_citations", "SELECT fire_id, kind, obs_id AS cited_id FROM observation")
+def v23_cites(x):
+    return query_text.observation_citations(x.observation)
+
+
 ROUTE_SQL = """CASE
   WHEN regexp_matches(q, 'evacuat|at risk|urgent|threat') AND NOT contains(q, 'road') THEN 'evacuations'
   WHEN contains(q, 'road') OR contains(q, 'egress') OR contains(q, 'route') THEN 'egress'

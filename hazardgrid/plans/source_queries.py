@@ -6,6 +6,7 @@ from hazardgrid import constants as K
 from hazardgrid.fixtures import _zoneless
 from hazardgrid.functions import geo, lookup
 from hazardgrid.operators import spatial
+from hazardgrid.functions.draws import uniform_sql
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans import frag
 from hazardgrid.plans.ensemble_queries import field
@@ -175,11 +176,11 @@ def s9(x):
 
 @query(
     "S10_envelope_filter",
-    """SELECT c_custkey AS k FROM customer WHERE -122 - c_custkey % 7 <= -125 AND -100 + c_custkey % 11 >= -98
+    """SELECT c_custkey AS k FROM customer WHERE -122 - c_custkey % 7 <= -95 AND -100 + c_custkey % 11 >= -96
        AND upper(c_name) LIKE '%00%'""",
 )
 def s10(x):
-    box = {"minlon": -98, "maxlon": -125, "minlat": 38.2, "maxlat": 38.4}
+    box = {"minlon": -96, "maxlon": -95, "minlat": 38.2, "maxlat": 38.4}
     return feeds.intersecting(_features(x), box, "00").select("k")
 
 
@@ -371,7 +372,7 @@ def s22(x):
     f"""WITH p AS (SELECT fire_id, quantile_cont(elevation, 0.03) AS p3, quantile_cont(elevation, 0.3) AS p30, quantile_cont(elevation, 0.75) AS p75
                    FROM grid_cell GROUP BY fire_id),
         g AS (SELECT fire_id, i, j, elevation AS e, {_g[0]} AS gx, {_g[1]} AS gy FROM grid_cell)
-        SELECT g.fire_id, i, j, CASE WHEN e < p3 AND (i * 31 + j * 17 + 3) % 2 = 0 THEN 0 WHEN sqrt(gx * gx + gy * gy) > 0.6 THEN 4
+        SELECT g.fire_id, i, j, CASE WHEN e < p3 AND {uniform_sql(3, 'g.fire_id', 'i', 'j')} < 0.5 THEN 0 WHEN sqrt(gx * gx + gy * gy) > 0.6 THEN 4
           WHEN e < p30 THEN 1 WHEN e < p75 THEN 5 ELSE 10 END AS fuel FROM g JOIN p ON p.fire_id = g.fire_id""",
 )
 def s23(x):
@@ -393,26 +394,24 @@ ROADROW = """SELECT s_suppkey AS pos, CAST(s_suppkey % 5 AS INT) AS fire_id, CAS
 
 @query(
     "S25_road_rows",
-    """SELECT pos, name, highway FROM (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 4 < 2 THEN '' ELSE s_name END AS name,
-          CASE WHEN s_suppkey % 3 > 0 THEN 'primary' ELSE 'road' END AS highway, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS rn
-       FROM supplier) q WHERE rn <= 400""",
+    """SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 4 < 2 THEN '' ELSE s_name END AS name,
+          CASE WHEN s_suppkey % 3 > 0 THEN 'primary' ELSE 'road' END AS highway FROM supplier""",
 )
 def s25(x):
-    return assets.road_rows(x.spark.sql(ROADROW, supplier=x.supplier), 400).select("pos", "name", "highway")
+    return assets.road_rows(x.spark.sql(ROADROW, supplier=x.supplier)).select("pos", "name", "highway")
 
 
 @query(
     "S26_building_rows",
-    f"""SELECT structure_id, type, population_est, {r('lon - 0.00015')} AS minlon FROM (SELECT *, CASE WHEN structure_id % 3 = 0 THEN 'yes' ELSE type END AS type2,
-          row_number() OVER (PARTITION BY fire_id ORDER BY structure_id) AS rn, 2.6::DOUBLE AS population_est FROM structure) q
-        WHERE rn <= 800 AND structure_id % 7 <> 0""".replace("structure_id, type,", "structure_id, type2 AS type,"),
+    f"""SELECT structure_id, CASE WHEN structure_id % 3 = 0 THEN 'yes' ELSE type END AS type, 2.6::DOUBLE AS population_est,
+               {r('lon - 0.00015')} AS minlon FROM structure WHERE structure_id % 7 <> 0""",
 )
 def s26(x):
     rows = x.structure.selectExpr(
         "structure_id", "fire_id", "CASE WHEN structure_id % 7 <> 0 THEN lon END AS lon", "lat",
-        "CASE WHEN structure_id % 3 > 0 THEN type END AS building", "structure_id AS pos",
+        "CASE WHEN structure_id % 3 > 0 THEN type END AS building",
     )
-    out = assets.building_rows(rows, 800)
+    out = assets.building_rows(rows)
     return out.select("structure_id", "type", "population_est", rounded("box.minlon").alias("minlon"))
 
 

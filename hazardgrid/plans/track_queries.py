@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hazardgrid.operators import decide, track
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans import frag
-from hazardgrid.plans.decide_queries import RESP, _responses
+from hazardgrid.plans.decide_queries import FLAGGED, _flagged
 from hazardgrid.plans.registry import query, r
 
 FRAME = ["fire_id", "t_min"]
@@ -171,7 +171,7 @@ def t11(x):
 
 @query(
     "T12_evolution_snapshots",
-    f"""WITH {DISK_CTE}, {RESP}, tm AS (SELECT k * 72.0::DOUBLE AS t FROM range(0, 6) g(k)),
+    f"""WITH {DISK_CTE}, {FLAGGED}, tm AS (SELECT k * 72.0::DOUBLE AS t FROM range(0, 6) g(k)),
         burn AS (SELECT fire_id, t, COUNT(*) FILTER (arrival_min <= t) * 4.0::DOUBLE AS area FROM obs_arr, tm GROUP BY fire_id, t),
         fl AS (SELECT fire_id, t, COUNT(*) FILTER (flag_min + 180 <= t) AS nf,
                       CAST(coalesce(SUM(population) FILTER (flag_min + 180 <= t), 0) AS BIGINT) AS pop FROM resp, tm GROUP BY fire_id, t)
@@ -182,7 +182,7 @@ def t11(x):
 )
 def t12(x):
     arrival = track.observed_arrival(x.hotspot, x.site)
-    return track.evolution_snapshots(arrival, _responses(x), 360.0, 180.0, 2000.0)
+    return track.evolution_snapshots(arrival, _flagged(x), 360.0, 180.0, 2000.0)
 
 
 @query(

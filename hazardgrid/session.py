@@ -52,13 +52,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets its own folder. On a cluster the setting is required,
-    since a machine-local folder would be lost with its executor.
+    Where it is unset, a session in one process gets a folder of its own. With executors on other
+    machines (or standing in for them) the setting is required, since a local folder would be lost.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="hazardgrid-")
         spark.conf.set("spark.checkpoint.dir", named)

@@ -7,25 +7,18 @@ from pyspark.sql import functions as F
 
 from hazardgrid import constants as K
 from hazardgrid.functions import geo, lookup
-from hazardgrid.operators.common import first_rows
 
 
-def _cap(rows: DataFrame, limit: int | None, pos: str) -> DataFrame:
-    return rows if limit is None else first_rows(rows, "fire_id", [F.col(pos)], limit)
-
-
-def road_rows(rows: DataFrame, limit: int | None = None, pos: str = "pos") -> DataFrame:
-    """Roads with the first of several names, '' when unnamed; the optional cap follows input order."""
+def road_rows(rows: DataFrame) -> DataFrame:
+    """Roads with the first of several names, '' when unnamed."""
     name = F.coalesce(F.get("names", F.lit(0)), F.lit(""))
     name = F.when(F.lower(name) == "nan", F.lit("")).otherwise(name)
-    return _cap(rows, limit, pos).withColumn("name", name).withColumn(
-        "highway", F.coalesce("highway", F.lit("road"))
-    )
+    return rows.withColumn("name", name).withColumn("highway", F.coalesce("highway", F.lit("road")))
 
 
-def building_rows(rows: DataFrame, limit: int | None = None, pos: str = "pos") -> DataFrame:
-    """Buildings with a geometry as small boxes; the cap counts input rows before empty ones go."""
-    kept = _cap(rows, limit, pos).filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+def building_rows(rows: DataFrame) -> DataFrame:
+    """Buildings with a geometry as small boxes."""
+    kept = rows.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     return (
         kept.withColumn("box", geo.bbox_around("lon", "lat", 0.00015))
         .withColumn("type", F.coalesce("building", F.lit("yes")))

@@ -154,10 +154,6 @@ def perimeter_features(docs: DataFrame, now: Column, doc: str = "doc") -> DataFr
     )
 
 
-def read_perimeters(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    return perimeter_features(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"), now)
-
-
 def find_incident(features: DataFrame, name: str, order: str) -> DataFrame:
     """First feature whose polygon name contains ``name`` in any case, else by attribute name."""
     like = f"%{name.upper()}%"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardgrid.functions import geo, lookup
+from hazardgrid.functions.draws import hash_uniform
 from hazardgrid.operators.common import as_list, attach_group_stats
 from hazardgrid.operators.spatial import gradient
 
@@ -119,7 +120,7 @@ def heuristic_fuel(cells: DataFrame, cell_m: float, seed: int = 3) -> DataFrame:
     e = F.col("elevation")
     base = F.when(e < F.col("p30"), 1).when(e < F.col("p75"), 5).otherwise(10)
     steep = F.when(F.hypot("gx", "gy") > 0.6, 4).otherwise(base)
-    coin = F.pmod(F.col("i") * 31 + F.col("j") * 17 + seed, F.lit(2)) == 0
+    coin = hash_uniform(seed, "fire_id", "i", "j") < 0.5
     fuel = F.when((e < F.col("p3")) & coin, 0).otherwise(steep)
     return g.withColumn("fuel", fuel).drop("gx", "gy", "p3", "p30", "p75")
 
