@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardgrid.llm.common import text_print, words
-from hazardgrid.llm.textstats import CAPITALS, SYMBOLS, held
+from hazardgrid.llm.textstats import BANGS, CAPITALS, DIGITS, SYMBOLS, held
 from hazardgrid.session import cut_lineage
 
 MAX_ROWS = 20_000
@@ -55,7 +55,7 @@ def with_terms(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     raw = F.lower(F.coalesce("text", F.lit("")))
     capitals = held(F.coalesce("text", F.lit("")), CAPITALS)
-    counts = {"symbols": held(raw, SYMBOLS), "bangs": held(raw, "!?"), "digits": held(raw, "0123456789"), "capitals": capitals}
+    counts = {"symbols": held(raw, SYMBOLS), "bangs": held(raw, BANGS), "digits": held(raw, DIGITS), "capitals": capitals}
     out = docs.select(*keep, words(raw).alias("_w"), *[c.alias(f"_{n}") for n, c in counts.items()])
     some = [*keep, *[f"_{n}" for n in counts]]
     out = out.select(*some, F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from hazardgrid.llm.common import BLANK, words
 
-SYMBOLS = "#*$%&|<>"
+#: Character classes that are counted.
+SYMBOLS = "[#*$%&|<>]"
+BANGS = "[!?]"
+DIGITS = "[0-9]"
 #: A-Z and the Latin-1 capitals.
-CAPITALS = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+CAPITALS = "[A-Z\u00c0-\u00d6\u00d8-\u00de]"
 
 
 def held(text: Column, letters: str) -> Column:
-    """How many characters of ``text`` are among ``letters``."""
-    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+    """How many characters of ``text`` are in a class; several times faster than ``translate``."""
+    return F.regexp_count(text, F.lit(letters)).cast("long")
 
 
 def with_counts(docs: DataFrame, repeats: bool) -> DataFrame:
@@ -33,14 +36,14 @@ def with_counts(docs: DataFrame, repeats: bool) -> DataFrame:
     out = out.withColumn("_l", lines)
     counts = {
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.translate("_t", BLANK, "")).cast("long"),
+        "word_chars": F.length(F.concat_ws("", "_w")).cast("long"),
         "n_symbols": held(F.col("_t"), SYMBOLS),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
         "n_capitals": held(F.col("_t"), CAPITALS),
-        "n_bangs": held(F.col("_t"), "!?"),
-        "n_digits": held(F.col("_t"), "0123456789"),
+        "n_bangs": held(F.col("_t"), BANGS),
+        "n_digits": held(F.col("_t"), DIGITS),
     }
     out = out.withColumns(counts)
     if repeats:
