@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardgrid import constants as K
@@ -21,53 +21,68 @@ def eccentricity(lb: Column) -> Column:
     return F.sqrt(clip(F.lit(1.0) - F.lit(1.0) / (lb * lb), 0.0, 0.999))
 
 
-def bed_terms(fuel: Column, moisture: Column) -> dict[str, Column]:
-    """Terms of the fuel bed: base rate (m/s), intensity, and the inputs of the wind/slope factors."""
+def fuel_terms(fuel: Column) -> dict[str, Column]:
+    """What depends on the fuel alone: one row per fuel is enough for any number of cells."""
     fp = fuel_parameters(fuel)
-    load, depth, sav, mx = fp["load"], fp["depth"], fp["sav"], fp["mx"]
+    load, depth, sav = fp["load"], fp["depth"], fp["sav"]
     bulk = load / depth
     packing = bulk / K.PARTICLE_DENSITY
     ratio = packing / (F.pow(sav, F.lit(-0.8189)) * 3.348)
     sav15 = F.pow(sav, F.lit(1.5))
     a = F.pow(sav, F.lit(-0.7913)) * 133.0
     reaction = sav15 / (sav15 * 0.0594 + 495.0) * F.pow(ratio, a) * F.exp(a * (F.lit(1.0) - ratio))
-    rm = F.least(moisture / mx, F.lit(1.0))
-    damp_moist = clip(F.lit(1.0) - rm * 2.59 + rm * rm * 5.11 - rm * rm * rm * 3.52, 0.0, 1.0)
     damp_mineral = min(1.0, 0.174 * K.EFFECTIVE_MINERAL**-0.19)
     net_load = load / (1.0 + K.TOTAL_MINERAL)
-    intensity = reaction * net_load * K.HEAT_CONTENT * damp_moist * damp_mineral
     flux = F.exp((F.sqrt(sav) * 0.681 + 0.792) * (packing + 0.1)) / (sav * 0.2595 + 192.0)
-    sink = bulk * F.exp(F.lit(-138.0) / sav) * (moisture * 1116.0 + 250.0)
-    base = F.when(fp["burnable"] & (sink > 0), intensity * flux / sink * K.MS_PER_FTMIN)
+    e = F.exp(sav * -3.59e-4) * 0.715
     return {
         "burnable": fp["burnable"],
+        "mx": fp["mx"],
+        "dry_intensity": reaction * net_load * K.HEAT_CONTENT * damp_mineral,
+        "flux": flux,
+        "sink": bulk * F.exp(F.lit(-138.0) / sav),
+        "wind_c": F.exp(F.pow(sav, F.lit(0.55)) * -0.133) * 7.47 * F.pow(ratio, -e),
+        "wind_b": F.pow(sav, F.lit(0.54)) * 0.02526,
+        "slope_c": F.when(packing > 0, F.pow(packing, F.lit(-0.3)) * 5.275),
+    }
+
+
+def fuel_table(spark: SparkSession) -> DataFrame:
+    """``fuel_terms`` of the fuels 0 to 13, as ``fuel, terms``."""
+    fuel = F.col("id").cast("int")
+    terms = F.struct(*[c.alias(n) for n, c in fuel_terms(fuel).items()])
+    return spark.range(14).select(fuel.alias("fuel"), terms.alias("terms"))
+
+
+def bed_terms(terms: dict[str, Column], moisture: Column) -> dict[str, Column]:
+    """The fuel's terms with the base rate (m/s) and intensity at a moisture."""
+    rm = F.least(moisture / terms["mx"], F.lit(1.0))
+    damp = clip(F.lit(1.0) - rm * 2.59 + rm * rm * 5.11 - rm * rm * rm * 3.52, 0.0, 1.0)
+    intensity = terms["dry_intensity"] * damp
+    sink = terms["sink"] * (moisture * 1116.0 + 250.0)
+    base = F.when(terms["burnable"] & (sink > 0), intensity * terms["flux"] / sink * K.MS_PER_FTMIN)
+    return {
+        **terms,
         "base_ms": F.coalesce(base, F.lit(0.0)),
-        "intensity": F.when(fp["burnable"], intensity).otherwise(F.lit(0.0)),
-        "sav": sav,
-        "packing": packing,
-        "ratio": ratio,
+        "intensity": F.when(terms["burnable"], intensity).otherwise(F.lit(0.0)),
     }
 
 
 def wind_factor(bed: dict[str, Column], wind_ms: Column, midflame=K.MIDFLAME_FACTOR) -> Column:
     u = F.greatest(F.lit(0.0), wind_ms) * midflame * K.FTMIN_PER_MS
-    c = F.exp(F.pow(bed["sav"], F.lit(0.55)) * -0.133) * 7.47
-    b = F.pow(bed["sav"], F.lit(0.54)) * 0.02526
-    e = F.exp(bed["sav"] * -3.59e-4) * 0.715
-    phi = c * F.pow(u, b) * F.pow(bed["ratio"], -e)
+    phi = bed["wind_c"] * F.pow(u, bed["wind_b"])
     return F.when(bed["burnable"] & (u > 0), phi).otherwise(F.lit(0.0))
 
 
 def slope_factor(bed: dict[str, Column], slope: Column) -> Column:
     s = F.greatest(F.lit(0.0), slope)
-    phi = F.pow(bed["packing"], F.lit(-0.3)) * 5.275 * s * s
-    return F.when(bed["burnable"] & (bed["packing"] > 0), phi).otherwise(F.lit(0.0))
+    return F.coalesce(F.when(bed["burnable"], bed["slope_c"] * s * s), F.lit(0.0))
 
 
 def rothermel(fuel: Column, moisture: Column, wind_ms: Column, slope: Column) -> Column:
     """Head and base rate, ellipse shape and intensity of one row; unknown fuel does not burn."""
     known = F.when(fuel.between(0, 13), fuel).otherwise(F.lit(0))
-    bed = bed_terms(known, F.greatest(F.lit(0.005), moisture))
+    bed = bed_terms(fuel_terms(known), F.greatest(F.lit(0.005), moisture))
     head = bed["base_ms"] * (F.lit(1.0) + wind_factor(bed, wind_ms) + slope_factor(bed, slope))
     lb = length_to_breadth(wind_ms * K.MIDFLAME_FACTOR)
     return F.struct(

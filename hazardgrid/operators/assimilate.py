@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from hazardgrid.functions.draws import clip, hash_normal, hash_uniform
 from hazardgrid.functions.lookup import sigma_for_kind
 from hazardgrid.operators.common import as_list, attach_group_stats, number_rows, salted_join
 from hazardgrid.operators.nearest import nearest_distance
+from hazardgrid.session import cut_lineage
 
 LOG_FLOOR = math.log(K.LIKELIHOOD_FLOOR)
 
@@ -272,39 +271,68 @@ def jitter(children: DataFrame, parents: DataFrame, seed: int = 99, round_no: in
     return out.join(n, "fire_id").withColumn("weight", 1 / F.col("_n")).drop("_n")
 
 
-def _filter_event(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Run one event's instants in order. Rows hold ``member_id, weight, minutes, loglik, u``."""
-    members = np.sort(pdf["member_id"].unique())
-    prior = pdf.drop_duplicates("member_id").set_index("member_id")["weight"].reindex(members).to_numpy()
-    slot_of, w = np.arange(len(members)), prior / prior.sum()
-    n = len(members)
-    table = pdf.dropna(subset=["minutes"])
-    for _, batch in table.groupby("minutes", sort=True):
-        ll = batch.set_index("member_id")["loglik"].reindex(members).fillna(0.0).to_numpy()[slot_of]
-        with np.errstate(divide="ignore"):
-            logw = np.log(w) + ll
-        w = np.exp(logw - logw.max())
-        w /= w.sum()
-        if 1.0 / np.sum(w * w) < K.ESS_FRACTION * n:
-            at = (batch["u"].iloc[0] + np.arange(n)) / n
-            pick = np.minimum(np.searchsorted(np.cumsum(w), at), n - 1)
-            slot_of, w = slot_of[pick], np.full(n, 1.0 / n)
-    return pd.DataFrame(
-        {"fire_id": pdf["fire_id"].iloc[0], "slot": np.arange(n), "member_id": members[slot_of], "weight": w}
+def _resample(slots: DataFrame) -> DataFrame:
+    """Systematic resampling of ``fire_id, slot, member_id, w, u``: child slots and the member each gets.
+
+    Child k takes the slot whose share of the running weight holds (u + k) / n.
+    """
+    upto = Window.partitionBy("fire_id").orderBy("slot")
+    whole = Window.partitionBy("fire_id")
+    cum = F.sum("w").over(upto)
+    rows = slots.withColumns({"_hi": cum, "_n": F.count("*").over(whole), "_last": F.max("slot").over(whole)})
+    rows = rows.withColumn("_lo", F.coalesce(F.lag("_hi").over(upto), F.lit(-1.0)))
+    at = lambda k: (F.col("u") + k) / F.col("_n")
+    own = F.filter(
+        F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")),
+        lambda k: (at(k) > F.col("_lo")) & ((at(k) <= F.col("_hi")) | (F.col("slot") == F.col("_last"))),
     )
+    return rows.select("fire_id", F.explode(own).alias("slot"), "member_id", "_n")
 
 
 def assimilate_with_resampling(members: DataFrame, loglik: DataFrame, seed: int = 99) -> DataFrame:
     """Final slots ``(fire_id, slot, member_id, weight)`` after every instant, with resampling.
 
-    A resampled slot keeps its parent's arrival rows (``member_id``). The observations have already
-    been reduced to one log-likelihood per member and instant, so an event's group holds members
-    times instants however many observations it has, and events run side by side.
+    A resampled slot keeps its parent's arrival rows (``member_id``). Between two resamplings weights are
+    running sums of log-likelihoods, so a round looks at all instants of all events at once, finds
+    each event's first instant with too few effective members, resamples there and goes on from it.
+    Rounds are as many as the most resamplings of one event; no group holds more than the members of
+    one event or the instants of one member.
     """
-    rows = members.select("fire_id", "member_id", "weight").join(
-        loglik.select("fire_id", "member_id", "minutes", "loglik"), ["fire_id", "member_id"], "left"
-    )
-    rows = rows.withColumn("u", hash_uniform(seed, "fire_id", "minutes"))
-    return rows.groupBy("fire_id").applyInPandas(
-        _filter_event, "fire_id int, slot int, member_id int, weight double"
-    )
+    instants = loglik.select("fire_id", "minutes").filter("minutes IS NOT NULL").distinct()
+    dense = instants.join(members.select("fire_id", "member_id"), "fire_id")
+    dense = dense.join(loglik.select("fire_id", "member_id", "minutes", "loglik"), ["fire_id", "member_id", "minutes"], "left")
+    running = Window.partitionBy("fire_id", "member_id").orderBy("minutes")
+    upto = F.sum(F.coalesce("loglik", F.lit(0.0))).over(running)
+    cum = cut_lineage(dense.select("fire_id", "member_id", "minutes", upto.alias("cum")))
+    place = F.row_number().over(Window.partitionBy("fire_id").orderBy("member_id")) - 1
+    base = F.when(F.col("weight") > 0, F.log("weight"))
+    slots = members.select("fire_id", place.alias("slot"), "member_id", base.alias("base"), F.lit(-math.inf).alias("since"))
+    slots, done = cut_lineage(slots), None
+    each = Window.partitionBy("fire_id", "minutes")
+    while True:
+        at = slots.join(cum, ["fire_id", "member_id"], "left").filter("minutes IS NULL OR minutes > since")
+        at = at.withColumn("lw", F.col("base") + F.coalesce("cum", F.lit(0.0)))
+        at = at.withColumn("e", F.coalesce(F.exp(F.col("lw") - F.max("lw").over(each)), F.lit(0.0)))
+        at = cut_lineage(at.withColumn("w", F.col("e") / F.sum("e").over(each)))
+        ess = at.filter("minutes IS NOT NULL").groupBy("fire_id", "minutes")
+        ess = ess.agg((1 / F.sum(F.col("w") * F.col("w"))).alias("ess"), F.count("*").alias("n"))
+        hit = ess.filter(F.col("ess") < F.col("n") * K.ESS_FRACTION).groupBy("fire_id").agg(F.min("minutes").alias("hit"))
+        hit = cut_lineage(hit)
+        over = slots.join(hit, "fire_id", "left_anti")
+        last = at.groupBy("fire_id", "slot").agg(F.max_by("w", "minutes").alias("w"), F.max("w").alias("_only"))
+        plain = F.coalesce(F.exp("base"), F.lit(0.0))
+        plain = plain / F.sum(plain).over(Window.partitionBy("fire_id"))
+        over = over.withColumn("_plain", plain).join(last, ["fire_id", "slot"], "left").select(
+            "fire_id", "slot", "member_id", F.coalesce("w", "_only", "_plain").alias("weight")
+        )
+        over = cut_lineage(over)
+        done = over if done is None else done.unionByName(over)
+        if hit.isEmpty():
+            return done
+        chosen = at.join(hit, "fire_id").filter("minutes = hit").withColumn("u", hash_uniform(seed, "fire_id", "minutes"))
+        fresh = _resample(chosen).join(hit, "fire_id")
+        back = cum.select("fire_id", "member_id", F.col("minutes").alias("hit"), "cum")
+        fresh = fresh.join(back, ["fire_id", "member_id", "hit"]).select(
+            "fire_id", "slot", "member_id", (-F.log("_n") - F.col("cum")).alias("base"), F.col("hit").alias("since")
+        )
+        slots = cut_lineage(fresh)

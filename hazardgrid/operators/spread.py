@@ -21,16 +21,18 @@ NODE = ["fire_id", "member_id", "i", "j"]
 def head_spread(cells: DataFrame, members: DataFrame, cell_m: float) -> DataFrame:
     """Head speed (m/s), head direction and eccentricity per (cell, member).
 
-    Terms that do not depend on the member (slope) are computed once per cell before the members
-    are joined to it.
+    Terms of the fuel alone come from a table of the 14 fuels, and the slope is computed once per cell,
+    before the members are joined to it.
     """
     sloped = gradient(cells, "elevation", cell_m).withColumn("smag", F.hypot("gx", "gy"))
+    sloped = sloped.join(F.broadcast(ros.fuel_table(cells.sparkSession)), "fuel", "left")
     both = salted_join(sloped, members, "fire_id", ["i", "j"])
     ang = F.radians("wind_dir_offset_deg")
     u = (F.col("wind_u") * F.cos(ang) - F.col("wind_v") * F.sin(ang)) * F.col("wind_mult")
     v = (F.col("wind_u") * F.sin(ang) + F.col("wind_v") * F.cos(ang)) * F.col("wind_mult")
     both = both.withColumn("u", u).withColumn("v", v).withColumn("speed", F.hypot("u", "v"))
-    bed = ros.bed_terms(F.col("fuel"), clip(F.col("moisture") * F.col("moisture_mult"), 0.005, 0.6))
+    terms = {n: F.col(f"terms.{n}") for n in ros.fuel_terms(F.col("fuel"))}
+    bed = ros.bed_terms(terms, clip(F.col("moisture") * F.col("moisture_mult"), 0.005, 0.6))
     both = both.withColumn("_base", bed["base_ms"]).withColumn("_burn", bed["burnable"])
     both = both.withColumn("_pw", ros.wind_factor(bed, F.col("speed")))
     both = both.withColumn("_ps", ros.slope_factor(bed, F.col("smag")))

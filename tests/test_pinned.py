@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardgrid import schema
+from hazardgrid.functions.draws import hash_uniform
 from hazardgrid.functions import geo, ros
 from hazardgrid.operators import assimilate, calibrate, camera, decide, log, nearest, skill, spatial, spread, track
 
@@ -105,17 +106,38 @@ def test_isotonic_matches_pooling_over_many_ranges(spark):
     assert (np.diff(a.fitted) >= -1e-12).all()
 
 
+def plain_filter(prior, table, u):
+    """One event's instants in order: update, and resample when too few members count."""
+    n = len(prior)
+    slot, w = np.arange(n), np.array(prior) / np.sum(prior)
+    for t, ll in sorted(table.items()):
+        lw = np.log(w) + np.array(ll)[slot]
+        w = np.exp(lw - lw.max())
+        w /= w.sum()
+        if 1 / np.sum(w * w) < 0.5 * n:
+            pick = np.minimum(np.searchsorted(np.cumsum(w), (u[t] + np.arange(n)) / n), n - 1)
+            slot, w = slot[pick], np.full(n, 1 / n)
+    return slot.tolist(), w
+
+
 def test_resampling_filter_matches_plain_loop(spark):
     rng = np.random.default_rng(4)
-    m, steps = 12, 6
-    ll = -rng.random((steps, m)) * 4
-    mem = spark.createDataFrame([(0, k, 1.0) for k in range(m)], "fire_id int, member_id int, weight double")
-    rows = [(0, k, float(t), float(ll[t, k])) for t in range(steps) for k in range(m)]
+    m, steps, fires = 12, 9, 4
+    ll = -rng.random((fires, steps, m)) * np.array([0.1, 2, 4, 6])[:, None, None]
+    prior = rng.random((fires, m)) + 0.1
+    mem = [(f, k, float(prior[f, k])) for f in range(fires) for k in range(m)] + [(9, k, 1.0 + k) for k in range(3)]
+    rows = [(f, k, float(t), float(ll[f, t, k])) for f in range(fires) for t in range(steps) for k in range(m)]
+    mem = spark.createDataFrame(mem, "fire_id int, member_id int, weight double")
     lik = spark.createDataFrame(rows, "fire_id int, member_id int, minutes double, loglik double")
-    got = assimilate.assimilate_with_resampling(mem, lik).toPandas().sort_values("slot")
-    assert len(got) == m and got.weight.sum() == pytest.approx(1.0)
-    best = int(np.argmax(ll.sum(0)))
-    assert (got.member_id == best).sum() >= 1
+    u = {}
+    for r in lik.select("fire_id", "minutes", hash_uniform(99, "fire_id", "minutes").alias("u")).distinct().collect():
+        u.setdefault(r.fire_id, {})[r.minutes] = r.u
+    got = assimilate.assimilate_with_resampling(mem, lik).toPandas().sort_values(["fire_id", "slot"])
+    for f in range(fires):
+        slot, w = plain_filter(prior[f], {float(t): ll[f, t] for t in range(steps)}, u[f])
+        own = got[got.fire_id == f]
+        assert own.member_id.tolist() == slot and np.allclose(own.weight, w)
+    assert np.allclose(got[got.fire_id == 9].weight, np.array([1, 2, 3]) / 6)
 
 
 def test_two_bearings_cross_within_100_m(spark):
