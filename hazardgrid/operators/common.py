@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of group statistics that may be broadcast.
+STATS_ROWS = 50_000
+
+
 def rounded(x: Column | str, digits: int = 6) -> Column:
     """Round, and turn a negative zero into zero."""
     x = F.col(x) if isinstance(x, str) else x
@@ -27,23 +31,30 @@ def attach_group_stats(df: DataFrame, keys, **aggs: Column) -> DataFrame:
     """Per-group statistics joined back to the rows.
 
     Used in place of a window over the whole group: the aggregate combines before its shuffle and
-    the side joined back has one row per group, so a group with a third of all rows stays spread
-    (adaptive execution broadcasts that side when it is small and splits skewed partitions if not).
+    the side joined back has one row per group, so a group with a third of all rows stays spread. That
+    side is broadcast if it has at most ``STATS_ROWS`` rows, so the rows themselves are not shuffled;
+    beyond that the join shuffles, and adaptive execution splits skewed partitions.
     """
+    from hazardgrid.session import cut_lineage
+
     keys = as_list(keys)
-    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(stats, keys, "inner")
+    stats = cut_lineage(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]))
+    small = stats.limit(STATS_ROWS + 1).count() <= STATS_ROWS
+    return df.join(F.broadcast(stats) if small else stats, keys, "inner")
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys, spread: Sequence[str], how: str = "inner", salts: int = 16
+    big: DataFrame, small: DataFrame, keys, spread: Sequence[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Equi-join whose key has few distinct values on the big side.
 
     The big side gets a salt from ``spread`` columns and the small side is repeated once per salt,
-    so that one hot key is handled by ``salts`` tasks. ``how`` may be inner or left (big side kept).
+    so that one hot key is handled by ``salts`` tasks: unless given, an eighth of the shuffle
+    partitions, 4 to 256. ``how`` may be inner or left (big side kept).
     """
     keys = as_list(keys)
+    if salts is None:
+        salts = max(4, min(256, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -60,18 +60,18 @@ def _top(recs: DataFrame, kind: str, n: int, item: Column, prefix: str, none: st
 def top_evacuations(recs: DataFrame) -> DataFrame:
     item = F.when(
         F.col("lead_time_min").isNotNull(),
-        F.format_string("%s (urgency %.2f, lead %.0f min)", "target_name", "urgency", "lead_time_min"),
-    ).otherwise(F.format_string("%s (urgency %.2f)", "target_name", "urgency"))
-    return _top(recs, "evacuate", 5, item, "Zones ranked by evacuation urgency: ", "none flagged")
+        F.format_string("%s [%.2f, %.0f min ahead]", "target_name", "urgency", "lead_time_min"),
+    ).otherwise(F.format_string("%s [%.2f]", "target_name", "urgency"))
+    return _top(recs, "evacuate", 5, item, "Evacuate first: ", "nothing flagged")
 
 
 def top_egress(recs: DataFrame) -> DataFrame:
-    item = F.format_string("%s (conf %.0f%%)", F.col("target_name"), F.col("confidence") * 100)
-    return _top(recs, "close_road", 5, item, "Egress routes by threat: ", "none flagged")
+    item = F.format_string("%s [%.0f%%]", F.col("target_name"), F.col("confidence") * 100)
+    return _top(recs, "close_road", 5, item, "Roads under threat: ", "nothing flagged")
 
 
 def top_staging(recs: DataFrame) -> DataFrame:
-    return _top(recs, "stage", 4, F.col("target_name"), "Suggested staging: ", "none")
+    return _top(recs, "stage", 4, F.col("target_name"), "Stage at: ", "none")
 
 
 def camera_list(cameras: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def camera_list(cameras: DataFrame) -> DataFrame:
 
 
 def fire_status(fires: DataFrame) -> DataFrame:
-    return fires.select("fire_id", F.concat("name", F.lit(", status "), "status").alias("answer"))
+    return fires.select("fire_id", F.concat("name", F.lit(": "), "status").alias("answer"))
 
 
 def observation_counts(observations: DataFrame) -> DataFrame:

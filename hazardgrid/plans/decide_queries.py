@@ -101,10 +101,7 @@ EVAC_SQL = f"""{first_sql('zone_cell', 'zone_id')},
         SELECT fire_id, zone_id, name, lead AS lead_time_min, t10 - {NOW} AS lead_time_low_min,
                t90 - {NOW} AS lead_time_high_min, {r('conf')} AS confidence, {r('urg')} AS urgency,
                CAST(row_number() OVER (PARTITION BY fire_id ORDER BY urg DESC, zone_id) AS INT) AS rank,
-               CASE WHEN lead <= 60 THEN printf('Fire projected to reach %s in ~%.0f min%s; zone needs ~60 min to clear. P(threatened within +180 min) = %.0f%%.', name, lead,
-                      CASE WHEN t90 IS NULL THEN '' ELSE printf(' (80%% band %.0f-%.0f min)', t10 - {NOW}, t90 - {NOW}) END, conf * 100)
-                    ELSE printf('Monitor %s: projected threat in %s; P(threatened within +180 min) = %.0f%%.', name,
-                      CASE WHEN lead IS NULL THEN '>180 min' ELSE printf('~%.0f min', lead) END, conf * 100) END AS rationale
+               CASE WHEN lead <= 60 THEN 'leave_now' ELSE 'watch' END AS action, lead - 60.0::DOUBLE AS spare_min
         FROM u""",
 )
 def d5(x):
@@ -177,13 +174,13 @@ def d8(x):
         SELECT st.fire_id, st.road_id,
                CASE WHEN name = '' THEN concat('segment ', substr(CAST(st.road_id AS STRING), 1, 8)) ELSE name END
                    AS target_name,
-               t50 AS lead_time_min, {r('conf')} AS confidence, coalesce(t50 <= 60, false) AS closes_before_clear,
+               t50 AS lead_time_min, t50 - 60.0::DOUBLE AS spare_min, {r('conf')} AS confidence, coalesce(t50 <= 60, false) AS closes_before_clear,
                {r('CASE WHEN t50 <= 60 THEN least(1.0, conf * (1 + (60 - t50) / 60.0)) ELSE conf * 0.4 END')} AS urgency
         FROM st JOIN road q ON q.road_id = st.road_id WHERE conf >= 0.1""",
 )
 def d9(x):
     out = decide.egress_threat(x.road, road_cells(x), x.member_arrival, x.member, 0, 180)
-    return out.drop("rationale").withColumns(
+    return out.withColumns(
         {"confidence": rounded("confidence"), "urgency": rounded("urgency")}
     )
 

@@ -326,9 +326,9 @@ LEFT JOIN (SELECT fire_id, string_agg({item}, '; ' ORDER BY k) AS body, list(rec
     "V20_top_evacuations",
     _top_sql(
         "evacuate", 5,
-        """CASE WHEN lead_time_min IS NOT NULL THEN printf('%s (urgency %.2f, lead %.0f min)', target_name,
-           urgency, lead_time_min) ELSE printf('%s (urgency %.2f)', target_name, urgency) END""",
-        "Zones ranked by evacuation urgency: ", "none flagged",
+        """CASE WHEN lead_time_min IS NOT NULL THEN printf('%s [%.2f, %.0f min ahead]', target_name,
+           urgency, lead_time_min) ELSE printf('%s [%.2f]', target_name, urgency) END""",
+        "Evacuate first: ", "nothing flagged",
     ),
 )
 def v20(x):
@@ -338,15 +338,15 @@ def v20(x):
 @query(
     "V21_top_egress",
     _top_sql(
-        "close_road", 5, "printf('%s (conf %.0f%%)', target_name, confidence * 100)",
-        "Egress routes by threat: ", "none flagged",
+        "close_road", 5, "printf('%s [%.0f%%]', target_name, confidence * 100)",
+        "Roads under threat: ", "nothing flagged",
     ),
 )
 def v21(x):
     return query_text.top_egress(log.state_as_of(x.recommendation, keys=["rec_id"]))
 
 
-@query("V21_top_staging", _top_sql("stage", 4, "target_name", "Suggested staging: ", "none"))
+@query("V21_top_staging", _top_sql("stage", 4, "target_name", "Stage at: ", "none"))
 def v21_staging(x):
     return query_text.top_staging(log.state_as_of(x.recommendation, keys=["rec_id"]))
 
@@ -362,7 +362,7 @@ def v22(x):
 
 @query(
     "V22_fire_status",
-    """SELECT fire_id, concat('Event ', CAST(fire_id AS STRING), ', status ',
+    """SELECT fire_id, concat('Event ', CAST(fire_id AS STRING), ': ',
           CASE fire_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'contained' ELSE 'out' END) AS answer
        FROM site""",
 )

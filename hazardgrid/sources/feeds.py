@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hazardgrid import constants as K
 from hazardgrid.functions import geo, lookup
 from hazardgrid.operators.common import as_list, first_rows, salted_join
+from hazardgrid.session import cut_lineage
 
 ACTIVE_FIRE_SCHEMA = (
     "latitude string, longitude string, acq_date string, acq_time string, frp string"
@@ -268,13 +269,15 @@ def source_cascade(candidates: DataFrame, keys="fire_id", priority: str = "prior
 
 
 def source_status(spark: SparkSession, readers: dict) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Readers that fail give no rows; the second result lists each source and its error, if any."""
+    """Readers that fail give no rows; the second result lists each source and its error, if any.
+
+    Every source is read to its end into the shared folder, so a file that breaks halfway counts as
+    a failure of its source as much as a missing one does.
+    """
     frames, rows = {}, []
     for name, read in readers.items():
         try:
-            df = read()
-            df.schema  # noqa: B018 - resolves the path and the schema now
-            frames[name] = df
+            frames[name] = cut_lineage(read())
             rows.append((name, True, None))
         except Exception as e:
             rows.append((name, False, str(e).split("\n")[0][:200]))

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files that one folder of a partitioned table may get from one write.
+FILES_PER_FOLDER = 16
+
+
 def write_snapshot(rows: DataFrame, path: str, event: str = "event_id", source: str = "source") -> None:
     """Feed rows stored per event and source; only the partitions that are written are replaced."""
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (event, source)]), F.lit(FILES_PER_FOLDER))
     (
         rows.withColumn("loaded_at", F.current_timestamp())
+        .repartition(event, source, salt)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(event, source)
@@ -57,8 +63,11 @@ def picture_heads(events: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def write_picture(features: DataFrame, heads: DataFrame, path: str) -> None:
+    """Dealt by folder and a bounded salt first, so a folder gets a few files and not one per task."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(FILES_PER_FOLDER))
+    features = features.repartition("fire_id", "layer", salt)
     features.write.mode("overwrite").partitionBy("fire_id", "layer").json(f"{path}/features")
-    heads.write.mode("overwrite").partitionBy("fire_id").json(f"{path}/heads")
+    heads.repartition("fire_id").write.mode("overwrite").partitionBy("fire_id").json(f"{path}/heads")
 
 
 def write_results(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -67,4 +76,5 @@ def write_results(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def events_with_picture(spark: SparkSession, path: str) -> DataFrame:
     """Events that have a stored picture, sorted."""
-    return spark.read.json(f"{path}/heads").select("fire_id").distinct().orderBy("fire_id")
+    heads = spark.read.schema("document string, fire_id int").json(f"{path}/heads")
+    return heads.select("fire_id").distinct().orderBy("fire_id")
