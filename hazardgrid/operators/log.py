@@ -77,19 +77,15 @@ def version_times(log: DataFrame) -> DataFrame:
     return log.select("kind", "valid_t").distinct().orderBy("kind", "valid_t")
 
 
-def usable_by(observations: DataFrame, issues: DataFrame, keys="fire_id", t="t", issue_t="issued_at"):
-    """Causal mask: the observations each issue may use, those with ``t <= issue_t``.
+def first_usable_issue(observations: DataFrame, issues: DataFrame, keys="fire_id", t="t", issue_t="issued_at"):
+    """Causal mask: each observation with the first issue that may use it, those with ``t <= issue_t``.
 
-    ``issues`` holds a few issue instants per event; they are packed into one sorted array per event
-    so the join is an equi-join and each observation emits exactly the issues it may serve.
+    Every later issue may use it too, so a reader filters ``issue_t <= its own issue`` and no observation
+    is repeated per issue. Observations after the last issue drop out.
     """
-    keys = as_list(keys)
-    packed = issues.groupBy(*keys).agg(F.sort_array(F.collect_set(issue_t)).alias("_issues"))
-    return (
-        observations.join(packed, keys, "inner")
-        .withColumn(issue_t, F.explode(F.filter("_issues", lambda i: i >= F.col(t))))
-        .drop("_issues")
-    )
+    day = lambda c: F.date_trunc("day", c)
+    out = asof_join(observations, issues, keys, t, issue_t, [issue_t], day, prefer="first")
+    return out.filter(F.col(issue_t).isNotNull())
 
 
 def acknowledge(log: DataFrame, decisions: DataFrame, keys=("rec_id",)) -> DataFrame:
@@ -114,10 +110,10 @@ def acknowledge(log: DataFrame, decisions: DataFrame, keys=("rec_id",)) -> DataF
 
 
 def evidence(forecasts: DataFrame, observations: DataFrame, keys=("fire_id", "issued_at")) -> DataFrame:
-    """Long table of the ids that justify each issue: its forecasts and its usable observations.
+    """Long table of the ids that justify each issue: its forecasts, and the observations new to it.
 
-    Kept one id per row: an issue may rest on any number of observations, and every recommendation
-    of the issue shares the same evidence, so the list is stored once and joined by issue.
+    An id is stored once, with the first issue that may use it; an issue rests on all observations of
+    its event up to it. Every recommendation of the issue shares the same evidence.
     """
     keys = as_list(keys)
     return (

@@ -187,7 +187,9 @@ def g7(x):
               WHERE p.arm = 'on' AND p.horizon_min = 180 GROUP BY p.fire_id) m""",
 )
 def g8(x):
-    pred = x.prob.filter("arm = 'on' AND horizon_min = 180 AND p >= 0.5")
+    from hazardgrid.plans.ensemble_queries import field
+
+    pred = field(x).filter("horizon_min = 180 AND p >= 0.5")
     out = spatial.mask_overlap(pred, x.truth.filter("truth_min <= 180"), "fire_id")
     return out.select("fire_id", rounded("iou").alias("iou"), rounded("dice").alias("dice"))
 

@@ -171,11 +171,11 @@ def _issues(x):
 
 @query(
     "V11_causal_mask",
-    f"""SELECT o.fire_id, i.issued_at, o.obs_id, o.t FROM observation o
-        JOIN ({ISSUES}) i ON i.fire_id = o.fire_id AND o.t <= i.issued_at""",
+    f"""SELECT o.fire_id, MIN(i.issued_at) AS issued_at, o.obs_id, o.t FROM observation o
+        JOIN ({ISSUES}) i ON i.fire_id = o.fire_id AND o.t <= i.issued_at GROUP BY o.fire_id, o.obs_id, o.t""",
 )
 def v11(x):
-    return log.usable_by(x.observation, _issues(x)).select("fire_id", "issued_at", "obs_id", "t")
+    return log.first_usable_issue(x.observation, _issues(x)).select("fire_id", "issued_at", "obs_id", "t")
 
 
 @query(
@@ -218,15 +218,15 @@ def v13(x):
           FROM ({ISSUES}) i
           JOIN (SELECT 15 AS h UNION ALL SELECT 30 UNION ALL SELECT 60 UNION ALL SELECT 180) h ON 1 = 1
           UNION ALL
-          SELECT o.fire_id, i.issued_at, CAST(o.obs_id AS STRING) FROM observation o
-          JOIN ({ISSUES}) i ON i.fire_id = o.fire_id AND o.t <= i.issued_at) e""",
+          SELECT o.fire_id, MIN(i.issued_at), CAST(o.obs_id AS STRING) FROM observation o
+          JOIN ({ISSUES}) i ON i.fire_id = o.fire_id AND o.t <= i.issued_at GROUP BY o.fire_id, o.obs_id) e""",
 )
 def v14(x):
     issues = _issues(x)
     forecasts = issues.withColumn(
         "forecast_id", F.explode(F.array(*[F.lit(f"fc_{h}") for h in (15, 30, 60, 180)]))
     )
-    return log.evidence(forecasts, log.usable_by(x.observation, issues))
+    return log.evidence(forecasts, log.first_usable_issue(x.observation, issues))
 
 
 @query(
@@ -243,9 +243,12 @@ def v14(x):
            FROM grid_cell""",
 )
 def v15(x):
+    from hazardgrid.plans.decide_queries import zone_cells
+    from hazardgrid.plans.ensemble_queries import field
+
     threats = (
-        x.prob.filter("arm = 'on' AND horizon_min = 180 AND p >= 0.5")
-        .join(x.zone_cell, ["fire_id", "i", "j"])
+        field(x).filter("horizon_min = 180 AND p >= 0.5")
+        .join(zone_cells(x), ["fire_id", "i", "j"])
         .selectExpr("fire_id AS src", "zone_id AS dst")
     )
     return log.links(
