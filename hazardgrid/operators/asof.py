@@ -88,5 +88,14 @@ def asof_join(
     return out.select(*keep, *[F.col(f"_got.{c}").alias(c) for c in payload])
 
 
+def quantile_bucket_of(rows: DataFrame, column: str, buckets: int = 64):
+    """Buckets that each hold about as many of ``rows``, wherever their values pile up."""
+    cuts = sorted(set(rows.approxQuantile(column, [k / buckets for k in range(1, buckets)], 0.001)))
+    if not cuts:
+        return lambda t: F.lit(0)
+    edges = F.array(*[F.lit(float(c)) for c in cuts])
+    return lambda t: F.size(F.filter(edges, lambda c: c <= t))
+
+
 def width_bucket_of(width: float):
     return lambda t: F.floor(t / F.lit(float(width)))

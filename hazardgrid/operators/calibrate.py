@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardgrid.operators.asof import asof_join, width_bucket_of
+from hazardgrid.operators.asof import asof_join, quantile_bucket_of
 from hazardgrid.operators.common import as_list, literal_array, salted_join
 from hazardgrid.operators.ensemble import CELL, member_totals, weighted_arrivals
 from hazardgrid.session import cut_lineage
@@ -82,7 +82,7 @@ def fit_temperature(df: DataFrame, keys, p: str = "p", y: str = "y", steps=(0.1,
     """Temperature per key with the least log loss, ``exp`` of a point in [-3, 3].
 
     The rows are reduced to counts per distinct p once; each stage then scores a grid of candidates
-    round the best of the stage before.
+    round the best of the stage before, one sum per candidate, so rows are not multiplied.
     """
     keys = as_list(keys)
     counts = df.groupBy(*keys, F.col(p).alias("p")).agg(
@@ -92,16 +92,19 @@ def fit_temperature(df: DataFrame, keys, p: str = "p", y: str = "y", steps=(0.1,
     reach = 3.0
     for step in steps:
         k = round(reach / step)
-        grid = F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda g: F.col("log_t") + g * F.lit(step))
-        trial = counts.join(best, keys).withColumn("log_t", F.explode(grid))
-        trial = trial.filter(F.abs("log_t") <= 3.0 + 1e-9)
-        q = temperature_scale(F.col("p"), F.exp("log_t"))
-        q = F.least(F.greatest(q, F.lit(1e-9)), F.lit(1 - 1e-9))
-        loss = -(F.col("s") * F.log(q) + (F.col("n") - F.col("s")) * F.log(1 - q))
-        scored = trial.groupBy(*keys, "log_t").agg((F.sum(loss) / F.sum("n")).alias("nll"))
-        best = scored.groupBy(*keys).agg(
-            F.min_by("log_t", F.struct(F.round("nll", 12), "log_t")).alias("log_t")
-        )
+
+        def loss(shift):
+            q = temperature_scale(F.col("p"), F.exp(F.col("log_t") + shift))
+            q = F.least(F.greatest(q, F.lit(1e-9)), F.lit(1 - 1e-9))
+            return -(F.col("s") * F.log(q) + (F.col("n") - F.col("s")) * F.log(1 - q))
+
+        shifts = [g * step for g in range(-k, k + 1)]
+        sums = [F.sum(loss(x)).alias(f"l{i}") for i, x in enumerate(shifts)]
+        scored = counts.join(best, keys).groupBy(*keys, "log_t").agg(F.sum("n").alias("n"), *sums)
+        tried = F.array(*[F.struct((F.col("log_t") + x).alias("at"), F.round(F.col(f"l{i}") / F.col("n"), 12).alias("nll")) for i, x in enumerate(shifts)])
+        tried = F.filter(tried, lambda t: F.abs(t["at"]) <= 3.0 + 1e-9)
+        least = F.array_min(F.transform(tried, lambda t: F.struct(t["nll"].alias("nll"), t["at"].alias("at"))))
+        best = scored.select(*keys, least["at"].alias("log_t"))
         reach = step
     return best.select(*keys, F.exp("log_t").alias("temperature"))
 
@@ -171,8 +174,8 @@ def isotonic_apply(df: DataFrame, knots: DataFrame, keys, p: str = "p", out: str
     along = Window.partitionBy(*keys).orderBy("x")
     spans = knots.withColumn("x2", F.lead("x").over(along)).withColumn("f2", F.lead("fitted").over(along))
     ends = knots.groupBy(*keys).agg(F.min_by("fitted", "x").alias("_floor"))
-    asked = df.select(*keys, p).distinct()
-    hit = asof_join(asked, spans, keys, p, "x", ["x", "fitted", "x2", "f2"], width_bucket_of(0.01))
+    asked = cut_lineage(df.select(*keys, p).distinct())
+    hit = asof_join(asked, spans, keys, p, "x", ["x", "fitted", "x2", "f2"], quantile_bucket_of(asked, p))
     slope = (F.col("f2") - F.col("fitted")) / (F.col("x2") - F.col("x"))
     value = F.when(F.col("x").isNull(), F.col("_floor")).when(
         F.col("x2").isNull(), F.col("fitted")

@@ -107,6 +107,25 @@ def burn_probability(
     )
 
 
+def burn_probability_arms(arrivals: DataFrame, members: DataFrame, cells: DataFrame, horizons=K.HORIZONS_MIN) -> DataFrame:
+    """``(fire_id, arm, horizon_min, i, j, p)`` with the weights (on) and with equal members (off).
+
+    Both arms and all horizons come from one aggregate over the arrivals.
+    """
+    came = lambda h: F.col("arrival_min") <= h
+    sums = conditional_sums("w", horizons, came, F.col("weight")) + conditional_sums("u", horizons, came, F.lit(1.0))
+    per_cell = weighted_arrivals(arrivals, members).groupBy(*CELL).agg(*sums)
+    full = salted_join(
+        cells.select(*CELL).join(per_cell, CELL, "left"), member_totals(members), "fire_id", ["i", "j"]
+    )
+    rows = [
+        F.struct(F.lit(arm).alias("arm"), F.lit(h).alias("horizon_min"), (F.coalesce(f"{c}{k}", F.lit(0.0)) / F.col(total)).alias("p"))
+        for arm, c, total in (("on", "w", "_total"), ("off", "u", "_n"))
+        for k, h in enumerate(horizons)
+    ]
+    return full.select(*CELL, F.inline(F.array(*rows))).select("fire_id", "arm", "horizon_min", "i", "j", "p")
+
+
 def threshold_regions(prob: DataFrame, levels=K.PROB_BANDS) -> DataFrame:
     """One row per (cell, level) with p at or above the level."""
     reached = F.filter(literal_array([float(v) for v in levels]), lambda v: F.col("p") >= v)

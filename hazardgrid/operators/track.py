@@ -212,12 +212,15 @@ def ignition_point(detections: DataFrame) -> DataFrame:
 def extent_at(track: DataFrame, asked: DataFrame) -> DataFrame:
     """Area of the latest frame at or before each asked minute, 0 before the first.
 
-    Frames of an event are few: the track is joined as-of within 60-minute buckets.
+    Distinct (event, minute) pairs are looked up once and joined back, so any number of requests for the
+    same minutes costs one lookup each.
     """
     from hazardgrid.operators.asof import asof_join, width_bucket_of
 
-    out = asof_join(asked, track, "fire_id", "at_min", "t_min", ["area_km2"], width_bucket_of(60.0))
-    return out.withColumn("area_km2", F.coalesce("area_km2", F.lit(0.0)))
+    once = asked.select("fire_id", "at_min").distinct()
+    found = asof_join(once, track, "fire_id", "at_min", "t_min", ["area_km2"], width_bucket_of(60.0))
+    found = found.withColumn("area_km2", F.coalesce("area_km2", F.lit(0.0)))
+    return asked.join(found, ["fire_id", "at_min"])
 
 
 def evolution_snapshots(

@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from hazardgrid.operators import calibrate, skill
+from hazardgrid.operators import calibrate, ensemble, skill
 from hazardgrid.operators.common import rounded
-from hazardgrid.plans.ensemble_queries import field
+from hazardgrid.plans.ensemble_queries import H, field
 from hazardgrid.plans.registry import query, r
 
 TAUS = [round(float(t), 4) for t in np.linspace(0.01, 0.6, 30)]
@@ -157,9 +157,7 @@ SKILL_CTE = """cnt AS (SELECT p.fire_id, p.arm, p.horizon_min,
 
 
 def _skill(x):
-    arms = field(x).withColumn("arm", F.lit("on")).unionByName(
-        field(x, uniform=True).withColumn("arm", F.lit("off"))
-    )
+    arms = ensemble.burn_probability_arms(x.member_arrival, x.member, x.grid_cell, H)
     return skill.horizon_skill(arms, x.truth, 2000.0)
 
 
