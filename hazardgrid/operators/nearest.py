@@ -15,6 +15,10 @@ from hazardgrid.operators.common import as_list, salted_join
 from hazardgrid.session import cut_lineage
 
 
+#: Blocks of a key that every open query may meet at the top of the pyramid.
+TOP_BLOCKS = 256
+
+
 def _gap(v, lo, hi):
     return F.greatest(F.lit(0.0), lo - v, v - hi)
 
@@ -34,11 +38,15 @@ def nearest_distance(
     point_t: str | None = None,
     unique_points: bool = False,
     out: str = "distance",
+    with_point: bool = False,
 ) -> DataFrame:
     """Distinct ``(keys, x, y)`` with ``out``: the distance to the nearest point of the key.
 
     With ``query_t`` and ``point_t`` only points with ``point_t <= query_t`` count. NULL when there
     is none. ``unique_points`` says that no point of a key repeats, which saves an aggregate.
+    ``with_point`` carries the point itself through the search as ``px, py``; of points whose squared
+    distance agrees to 12 decimals the least (y, x) is it. ``levels`` is the least number of block levels:
+    more are added until the top level has few blocks.
     """
     keys = as_list(keys)
     q_cols = [*keys, "x", "y"] + ([query_t] if query_t else [])
@@ -59,13 +67,15 @@ def nearest_distance(
         own = F.floor(F.col(v) / size)
         around = around.withColumn(b, F.explode(F.array(own - 1, own, own + 1)))
     d = F.when(live, F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")))
-    near = (
-        around.join(pts, [*keys, "bx", "by"], "left").groupBy(*q_id).agg(F.min(d).alias("_near"))
-    )
+    first = F.struct(F.round(d * d, 12).alias("d2"), F.col("y"), F.col("x"), d.alias("d"))
+    best = F.min(F.when(d.isNotNull(), first))
+    near = around.join(pts, [*keys, "bx", "by"], "left").groupBy(*q_id).agg(best.alias("_best"))
+    near = near.withColumn("_near", F.col("_best.d"))
     # Written once: both branches below read it, and the pyramid is skipped when nothing is open.
     near = cut_lineage(near)
-    settled = near.filter(F.col("_near") <= size).withColumnRenamed("_near", out)
-    open_q = near.filter(F.col("_near").isNull() | (F.col("_near") > size))
+    got = [F.col("_best.d").alias(out)] + ([F.col("_best.x").alias("px"), F.col("_best.y").alias("py")] if with_point else [])
+    settled = near.filter(F.col("_near") <= size).select(*q_id, *got)
+    open_q = near.filter(F.col("_near").isNull() | (F.col("_near") > size)).drop("_best")
 
     box = [F.min("_t").alias("_t")]
     box += [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
@@ -73,9 +83,10 @@ def nearest_distance(
     if open_q.isEmpty():
         return settled.withColumnsRenamed({"qx": "x", "qy": "y"})
     blocks = [cut_lineage(pts.withColumns(edges).groupBy(*keys, "bx", "by").agg(*box))]
-    for _ in range(levels):
+    while len(blocks) <= levels or not blocks[-1].groupBy(*keys).count().filter(F.col("count") > TOP_BLOCKS).isEmpty():
         up = blocks[-1].withColumns({c: F.floor(F.col(c) / factor) for c in ("bx", "by")})
-        blocks.append(up.groupBy(*keys, "bx", "by").agg(*box))
+        blocks.append(cut_lineage(up.groupBy(*keys, "bx", "by").agg(*box)))
+    levels = len(blocks) - 1
 
     def keep_possible(cand: DataFrame) -> DataFrame:
         lo = F.hypot(_gap(F.col("qx"), F.col("x0"), F.col("x1")), _gap(F.col("qy"), F.col("y0"), F.col("y1")))
@@ -101,10 +112,11 @@ def nearest_distance(
     far_hit = (
         cand.join(pts, [*keys, "bx", "by"])
         .groupBy(*q_id)
-        .agg(F.min(d).alias(out))
+        .agg(best.alias("_best"))
+        .select(*q_id, *got)
     )
     same = [F.col(f"o.{c}") == F.col(f"f.{c}") for c in q_id]
     far = open_q.alias("o").join(far_hit.alias("f"), same, "left").select(
-        *[F.col(f"o.{c}") for c in q_id], F.col(f"f.{out}")
+        *[F.col(f"o.{c}") for c in q_id], *[F.col(f"f.{c}") for c in ([out, "px", "py"] if with_point else [out])]
     )
     return settled.unionByName(far).withColumnsRenamed({"qx": "x", "qy": "y"})

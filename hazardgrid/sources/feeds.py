@@ -228,39 +228,19 @@ def weather_rows(docs: DataFrame, doc: str = "doc") -> DataFrame:
 def nearest_weather(places: DataFrame, grid: DataFrame, bucket_deg: float = 0.05) -> DataFrame:
     """Nearest weather grid point of each place, by squared degrees; longitudes may run 0-360.
 
-    The distance comes from the bucketed search; the point itself from the bucket of points at that
-    distance, the lowest (lat, lon) winning a tie.
+    The bucketed search carries the point it finds, the lowest (lat, lon) winning a tie.
     """
     from hazardgrid.operators.nearest import nearest_distance
 
     wrapped = F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))
-    g = grid.withColumn("lon", wrapped).withColumn("k", F.lit(0))
+    g = grid.withColumn("lon", wrapped).groupBy("lon", "lat").agg(F.min(F.struct("wind_u", "wind_v")).alias("_g"))
     at = places.select(F.lit(0).alias("k"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    dist = nearest_distance(
-        at, g.select("k", F.col("lon").alias("x"), F.col("lat").alias("y")), "k", size=bucket_deg
-    )
-    dist = dist.select(F.col("x").alias("lon"), F.col("y").alias("lat"), "distance")
-    near = places.join(dist, ["lon", "lat"])
-    side = F.greatest(F.col("distance"), F.lit(bucket_deg / 4)) * 1.0000001
-    level = F.ceil(F.log2(side)).cast("int")
-    asked = near.withColumn("_lv", level).withColumn("_w", F.pow(F.lit(2.0), F.col("_lv")))
-    for c, v in (("_bx", "lon"), ("_by", "lat")):
-        own = F.floor(F.col(v) / F.col("_w"))
-        asked = asked.withColumn(c, F.explode(F.array(own - 1, own, own + 1)))
-    # At most one level per power of two between the bucket width and the whole earth.
-    levels = [row[0] for row in near.select(level.alias("_lv")).distinct().collect()]
-    tiles = g.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])))
-    tiles = tiles.withColumn("_w", F.pow(F.lit(2.0), F.col("_lv")))
-    tiles = tiles.select(
-        "_lv", F.floor(F.col("lon") / F.col("_w")).alias("_bx"), F.floor(F.col("lat") / F.col("_w")).alias("_by"),
-        F.col("lon").alias("glon"), F.col("lat").alias("glat"), "wind_u", "wind_v",
-    )
-    d2 = (F.col("glon") - F.col("lon")) ** 2 + (F.col("glat") - F.col("lat")) ** 2
-    keys = places.columns
-    best = asked.join(tiles, ["_lv", "_bx", "_by"]).groupBy(*keys).agg(
-        F.min_by(F.struct("wind_u", "wind_v", "glon", "glat"), F.struct(F.round(d2, 12), "glat", "glon")).alias("_b")
-    )
-    return best.select(*keys, "_b.wind_u", "_b.wind_v", "_b.glon", "_b.glat")
+    points = g.select(F.lit(0).alias("k"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    found = nearest_distance(at, points, "k", size=bucket_deg, unique_points=True, with_point=True)
+    found = found.select(F.col("x").alias("lon"), F.col("y").alias("lat"), F.col("px").alias("glon"), F.col("py").alias("glat"))
+    wind = g.select(F.col("lon").alias("glon"), F.col("lat").alias("glat"), "_g.*")
+    out = places.join(found, ["lon", "lat"]).join(wind, ["glon", "glat"])
+    return out.select(*places.columns, "wind_u", "wind_v", "glon", "glat")
 
 
 def source_cascade(candidates: DataFrame, keys="fire_id", priority: str = "priority") -> DataFrame:
