@@ -192,3 +192,54 @@ def test_leave_one_out_uses_the_others(spark):
     for f in range(3):
         means = {t: np.mean([c for g, t2, c, _ in rows if g != f and t2 == t]) for t in (0.05, 0.1, 0.2)}
         assert got[f] == min(means, key=lambda t: (round(abs(means[t] - 0.9), 12), t))
+
+
+def test_rows_are_numbered_densely_with_a_hot_key(spark):
+    from hazardgrid.operators.common import number_rows
+
+    rows = [(k % 7 if k % 3 else 99, (k * 37) % 1001, k) for k in range(3000)] + [(None, 5, 9000), (None, 4, 9001)]
+    df = spark.createDataFrame(rows, "g int, v int, id int")
+    got = {r.id: r.rank for r in number_rows(df, [F.col("v").desc(), F.col("id")], ["g"]).collect()}
+    groups = {}
+    for g, v, i in rows:
+        groups.setdefault(g, []).append((-v, i))
+    assert got == {i: n for g in groups.values() for n, (_, i) in enumerate(sorted(g), 1)}
+    assert sorted(r.rank for r in number_rows(df, [F.col("id")]).collect()) == list(range(1, len(rows) + 1))
+
+
+def test_acknowledged_version_becomes_current(spark):
+    held = spark.createDataFrame(
+        [(1, "a", "2024-01-01", "r", None), (2, "a", "2024-01-02", "s", None), (3, "b", "2024-01-01", "t", None)],
+        "seq long, rec_id string, valid_t string, rationale string, acknowledged_by string",
+    ).withColumn("valid_t", F.col("valid_t").cast("timestamp_ntz"))
+    said = spark.createDataFrame([("a", "kim", ""), ("b", "kim", "no road")], "rec_id string, user string, note string")
+    after = log.append_versions(held, log.acknowledge(held, said), ["rec_id"])
+    now = {r.rec_id: r for r in log.state_as_of(after, keys=["rec_id"]).collect()}
+    assert (now["a"].seq, now["a"].rationale, now["a"].acknowledged_by) == (4, "s", "kim")
+    assert now["b"].seq == 5 and now["b"].rationale.endswith("[override by kim] no road")
+
+
+def test_a_source_that_breaks_while_it_is_read_counts_as_failed(spark, tmp_path):
+    from hazardgrid.sources import feeds
+
+    spark.range(5).write.parquet(str(tmp_path / "good"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "bad"))
+    part = next((tmp_path / "bad").glob("part-*"))
+    data = part.read_bytes()
+    part.write_bytes(data[:4] + b"\xff" * (len(data) - 300) + data[len(data) - 296 :])
+    read = lambda name: lambda: spark.read.schema("id long").parquet(str(tmp_path / name))
+    frames, status = feeds.source_status(spark, {"good": read("good"), "bad": read("bad"), "none": read("none")})
+    assert {r.source: r.available for r in status.collect()} == {"good": True, "bad": False, "none": False}
+    assert frames["good"].count() == 5
+
+
+def test_nearest_point_is_carried_with_the_distance(spark):
+    rng = np.random.default_rng(2)
+    pts = [(0, float(x), float(y)) for x, y in rng.random((400, 2)) * 50]
+    qs = [(0, float(x), float(y)) for x, y in rng.random((60, 2)) * 200 - 70]
+    out = nearest.nearest_distance(
+        spark.createDataFrame(qs, "k int, x double, y double"), spark.createDataFrame(pts, "k int, x double, y double"), "k", with_point=True
+    )
+    for r in out.collect():
+        d = min(math.hypot(r.x - x, r.y - y) for _, x, y in pts)
+        assert r.distance == pytest.approx(d) and math.hypot(r.x - r.px, r.y - r.py) == pytest.approx(d)
