@@ -1,13 +1,13 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value theory.
 
 Token log-odds between toxic and other labelled documents come from counts under an informative
-Dirichlet prior (the pooled token frequencies); a text counts a token once, and copies of a text count once.
-Tokens, and five- to seven-letter beginnings for tokens
-that are not telling by themselves, enter the lexicon if the log-odds are significant; all others share
-one small negative score. A linear scan finds every maximal scoring segment of a text. Scores of chance
-segments in a text of n tokens follow an extreme-value law with parameters lambda and K, so a segment
-of score S is significant if K n exp(-lambda S) is small. The excess of the significant segments
-over what chance would give is mapped to a probability on the labelled rows.
+Dirichlet prior (the pooled token frequencies). A text counts a token once, and copies of a text
+count once. Tokens, and five- to seven-letter beginnings for tokens that are not telling by
+themselves, enter the lexicon if they are significantly more frequent in toxic texts; all others share
+one small negative score. A linear scan finds every maximal scoring segment of a text. Scores of
+chance segments in a text of n tokens follow an extreme-value law with parameters lambda and K, so a
+segment of score S is significant if K n exp(-lambda S) is small. The excess of the significant
+segments over what chance would give is mapped to a probability on the labelled rows.
 
 Counting is a Spark aggregation over at most ``MAX_ROWS`` labelled rows (a documented bound), the scan
 runs in tasks over whole texts. Null and empty texts have no segment and get the score of a text
@@ -31,8 +31,12 @@ from hazardgrid.session import cut_lineage
 
 MAX_ROWS = 20_000
 MAX_LEXICON = 20_000
-PRIOR_TOKENS = 1_000.0
-MIN_Z = 3.0
+#: Weight of the Dirichlet prior as a share of all tokens.
+PRIOR_SHARE = 0.01
+#: A token enters the lexicon if its count among toxic texts lies so many standard deviations above
+#: what its pooled count would give, and it was seen in so many toxic texts.
+MIN_Z = 5.0
+MIN_TEXTS = 5
 STARTS = (7, 6, 5)
 #: Expected number of chance segments up to which a segment is significant.
 MAX_EXPECTED = 0.05
@@ -133,11 +137,13 @@ def learn_log_odds(rows: DataFrame) -> Lexicon | None:
     begins = [F.when(F.length("w") >= k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in STARTS]
     grams = seen.select(F.explode(F.array("w", *begins)).alias("g"), "t", "n").filter("g IS NOT NULL")
     grams = grams.groupBy("g").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    a = F.lit(PRIOR_TOKENS) * F.col("n") / (nt + nn)
+    a, prior = F.lit(PRIOR_SHARE) * F.col("n"), PRIOR_SHARE * (nt + nn)
     yt, yn = F.col("t") + a, F.col("n") - F.col("t") + a
-    odds = F.log(yt / (nt + PRIOR_TOKENS - yt)) - F.log(yn / (nn + PRIOR_TOKENS - yn))
-    z = odds / F.sqrt(1 / yt + 1 / yn)
-    kept = grams.select("g", "t", "n", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("odds") >= 1))
+    odds = F.log(yt / (nt + prior - yt)) - F.log(yn / (nn + prior - yn))
+    share = nt / (nt + nn)
+    z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    kept = grams.select("g", "t", "n", odds.alias("odds"), z.alias("z"))
+    kept = kept.filter((F.col("z") >= MIN_Z) & (F.col("odds") >= 1) & (F.col("t") >= MIN_TEXTS))
     kept = kept.orderBy(F.desc("z"), "g").limit(MAX_LEXICON).collect()
     scores = {r.g: float(r.odds) for r in kept}
     ft = min(0.5, sum(r.t for r in kept if r.g[0] != "^") / nt)
