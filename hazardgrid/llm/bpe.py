@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hazardgrid.llm.common import python_ready
 
 #: Pre-tokens that a task remembers; a full memory is emptied, which changes no result.
-MEMORY = 400_000
+MEMORY = 250_000
 
 _CODECS: dict[int, Codec] = {}
 
