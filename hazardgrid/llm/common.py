@@ -40,6 +40,11 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANKS_RE))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that their names cannot clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_print() -> Column:
     """Hash of the text, which tells documents apart that share an id."""
     return F.xxhash64(F.coalesce("text", F.lit("")))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardgrid.llm.common import BLANK, bounded_broadcast, components, settle, text_print
+from hazardgrid.llm.common import BLANK, bounded_broadcast, components, settle, text_print, whole_row
 from hazardgrid.session import cut_lineage
 
 EDITS = 1
@@ -249,13 +249,14 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     gone = lines.join(bounded_broadcast(cut_lineage(named)), "name").filter(~F.struct("doc_id", "pos", "print").eqNullSafe(F.col("kept")))
     gone = gone.groupBy("doc_id", "print").agg(F.collect_set("pos").alias("_gone"))  # one document's lines
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "_gone")
-    clash = [c for c in docs.columns if c in ("_id", "_print", "_gone")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
+    base = docs.select(whole_row(docs).alias("row"), "doc_id", "text")  # other columns may have any name
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_print() == F.col("_print"))
-    out = docs.join(gone, same, "left").drop("_id", "_print")
+    out = base.join(gone, same, "left")
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("text", text).filter("_gone IS NULL OR btrim(text, ' \\t\\n\\u000B\\f\\r') <> ''").drop("_gone")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    out = out.withColumn("text", text).filter((F.col("_gone").isNull()) | (F.btrim("text", F.lit(BLANK)) != ""))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast("long"))
+    return out.select(row.alias("row")).select("row.*")

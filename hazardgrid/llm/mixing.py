@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardgrid.llm.common import text_print, words
+from hazardgrid.llm.common import text_print, whole_row, words
 from hazardgrid.llm.textstats import BANGS, CAPITALS, DIGITS, SYMBOLS, held
 from hazardgrid.session import cut_lineage
 
@@ -190,7 +190,9 @@ def keep_by_rate(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     found = mix(same, labelled, targets, max_rate=1.0, keep=("doc_id", "_print"))
     found = found.filter(copies(F.col("rate"), "doc_id", "_print") > 0)
     found = found.select(F.col("doc_id").alias("_id"), "_print").distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_print() == F.col("_print")), "left_semi")
+    base = docs.select(whole_row(docs).alias("row"), "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_print() == F.col("_print"))
+    return base.join(found, same, "left_semi").select("row.*")
 
 
 def copies(rate: Column, *key: str | Column, seed: int = 29) -> Column:

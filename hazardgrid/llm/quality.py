@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardgrid.llm.common import whole_row
 from hazardgrid.llm.textstats import features, with_counts
 
 MAX_ROWS = 20_000
@@ -154,5 +155,5 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column | None = Non
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` that score at least ``threshold``, with all their columns."""
     model = train(docs, trusted(labels))
-    rows = with_counts(docs.select(F.struct(*docs.columns).alias("row"), "text"), repeats=False)
+    rows = with_counts(docs.select(whole_row(docs).alias("row"), "text"), repeats=False)
     return rows.filter(model.score() >= threshold).select("row.*")

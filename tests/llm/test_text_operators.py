@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import lines, mixing, quality, queries, rules, textstats, toxic
+from hazardgrid.llm import lines, mixing, quality, queries, rules, simhash, textstats, toxic
 from hazardgrid.llm.common import components
 from tests.conftest import FOLDER
 
@@ -82,6 +82,23 @@ def test_repeated_lines_go_and_clean_ones_stay(spark):
     assert lines.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_columns_with_clashing_names_are_kept(spark):
+    extra = ["_id", "_print", "_gone", "_w", "_t", "row", "line", "pos", "label", "fp", "score", "rate", "a.b"]
+    rng = random.Random(1)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9))
+    docs = frame(spark, [(k, f"{line()}\nshared line of all the documents", *range(len(extra))) for k in range(6)],
+                 "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in extra))
+    labels = frame(spark, [(1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    stages = [
+        lambda d: quality.keep_good(d, labels), lines.drop_repeated_lines, lambda d: simhash.keep_one_per_component(d, simhash.near_copies(d)),
+        lambda d: mixing.keep_by_rate(d, queries.domains_of(labels), {"clean": 1.0}),
+    ]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() >= 5
+        assert all(tuple(r)[2:] == tuple(range(len(extra))) for r in out.collect())
+
+
 def test_components_by_force(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(90)]
