@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from hazardgrid.operators import calibrate, ensemble, skill
+from hazardgrid.operators import calibrate, ensemble, skill, spatial
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans.ensemble_queries import H, field
 from hazardgrid.plans.registry import query, r
@@ -253,6 +253,19 @@ def c14(x):
     return out.withColumns({"reached_mae": rounded("reached_mae"), "mask_iou": rounded("mask_iou")})
 
 
+@query(
+    "C14_mean_frame_iou",
+    f"""WITH f AS (SELECT camera_id, frame_id, COUNT(*) FILTER (px % 3 > 0 AND py % 4 > 0) AS inter, COUNT(*) FILTER (px % 3 > 0 OR py % 4 > 0) AS total
+                   FROM mask_pixel GROUP BY camera_id, frame_id)
+        SELECT camera_id, COUNT(*) AS n_frames, {r('AVG(CASE WHEN total > 0 THEN inter / total ELSE 0.0 END)')} AS mean_iou FROM f GROUP BY camera_id""",
+)
+def c14_frames(x):
+    """Two masks cut out of each frame's pixels by row and by column."""
+    cells = x.mask_pixel.withColumnsRenamed({"py": "i", "px": "j"})
+    out = spatial.mean_frame_iou(cells.filter("j % 3 > 0"), cells.filter("i % 4 > 0"), cells, "frame_id", "camera_id")
+    return out.withColumn("mean_iou", rounded("mean_iou"))
+
+
 @query(
     "C15_calibration_block",
     f"""WITH {TEMP_CTE},

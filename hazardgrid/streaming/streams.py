@@ -47,17 +47,32 @@ def drain_append(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
-def drain_updates(results: DataFrame, keys, label: str) -> DataFrame:
+def drain_updates(results: DataFrame, keys, label: str, compact_every: int = 20) -> DataFrame:
     """Run an update stream to the end and return the last result per key.
 
     Each batch writes only the keys it changed, in its own folder, so a retried batch replaces its
-    own output and the sink never rewrites the whole state.
+    own output. Every ``compact_every`` batches what is there is reduced to one row per key in a folder
+    that stands for them, so a read sees at most that many batches and one reduced table.
     """
     spark = results.sparkSession
-    path = work_path(spark, label)
+    path, seen = work_path(spark, label), {}
+
+    def held(batches) -> DataFrame:
+        parts = [spark.read.parquet(at).withColumn("batch_id", F.lit(k)) for k, at in batches]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return first_rows(rows, as_list(keys), [F.col("batch_id").desc()]).drop("batch_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        """Folders are named by what they hold, so a batch that is run again names the same ones."""
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{batch_id}")
+        seen[batch_id] = f"{path}/rows/{batch_id}"
+        if (batch_id + 1) % compact_every == 0:
+            at = f"{path}/upto/{batch_id}"
+            held(sorted(seen.items())).write.mode("overwrite").parquet(at)
+            seen.clear()
+            seen[batch_id] = at
 
     query = (
         results.writeStream.foreachBatch(write)
@@ -67,8 +82,7 @@ def drain_updates(results: DataFrame, keys, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(f"{path}/rows")
-    return first_rows(rows, as_list(keys), [F.col("batch_id").desc()]).drop("batch_id")
+    return held(sorted(seen.items())) if seen else spark.createDataFrame([], results.schema)
 
 
 def current_state(versions: DataFrame, keys=("kind", "obj_id")) -> DataFrame:

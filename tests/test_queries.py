@@ -69,3 +69,30 @@ def test_landed_csv_and_json(spark, tmp_path):
     box = {"minlon": -123, "maxlon": -122, "minlat": 38, "maxlat": 39}
     cams = feeds.read_cameras(spark, str(tmp_path / "c.json"), box).collect()
     assert [(c.id, c.name, c.fov_deg) for c in cams] == [("a", "camera", 60.0)]
+
+
+def test_copies_in_different_files_are_dropped(spark, tmp_path):
+    from hazardgrid.streaming import streams
+
+    for ids in ([1, 2], [2, 1, 3]):
+        rows = [(k, 0, f"2024-01-01 00:1{k}:00") for k in ids]
+        spark.createDataFrame(rows, "obs_id long, fire_id int, t string").withColumn("t", F.col("t").cast("timestamp")).coalesce(
+            1
+        ).write.mode("append").parquet(str(tmp_path / "in"))
+        src = streams.open_feed(spark, str(tmp_path / "in"), "*.parquet", "obs_id long, fire_id int, t timestamp", 1)
+        once = streams.without_duplicates(src)
+        streams.append_feed(once, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [r.obs_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [1, 2, 3]
+
+
+def test_update_stream_is_compacted_and_right(spark, tmp_path):
+    from hazardgrid.streaming import streams
+
+    for k in range(5):
+        spark.createDataFrame([(0, m, float(k + m)) for m in range(3)], "fire_id int, member_id int, loglik double").coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / "in"))
+    src = streams.open_feed(spark, str(tmp_path / "in"), "*.parquet", "fire_id int, member_id int, loglik double", 1)
+    out = streams.drain_updates(streams.running_loglik(src), ["fire_id", "member_id"], "test", compact_every=2)
+    assert {r.member_id: (r.loglik, r.n_scores) for r in out.collect()} == {m: (10.0 + 5 * m, 5) for m in range(3)}
