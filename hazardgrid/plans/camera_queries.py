@@ -83,11 +83,45 @@ def k5(x):
     return rows.select("frame_id", "px", "py", *[rounded(f"_r.{c}").alias(c) for c in ("e", "n", "u")])
 
 
+_x0, _y0 = frag.local("q.lon", "q.lat", "s.center_lon", "s.center_lat")
+
+
+def march_sql(rays: str, ids: str, step: float, last: int) -> str:
+    """CTE ``mt``: terrain under each step of the rays ``(ids, fire_id, lon, lat, elev_m, e, n, u)``."""
+    return f"""m0 AS (SELECT q.*, s.ny, s.nx, s.cell_m, s.center_lon, s.center_lat, k, k * {step}::DOUBLE AS t,
+                {_x0} + q.e * (k * {step}::DOUBLE) AS x, {_y0} + q.n * (k * {step}::DOUBLE) AS y
+              FROM {rays} q JOIN site s ON s.fire_id = q.fire_id, range(0, {last + 1}) g(k)),
+        m1 AS (SELECT *, y / cell_m + (ny - 1) / 2.0 AS fi, x / cell_m + (nx - 1) / 2.0 AS fj FROM m0),
+        m2 AS (SELECT *, CAST(floor(fi) AS INT) AS i0, CAST(floor(fj) AS INT) AS j0,
+                 floor(fi) >= 0 AND floor(fj) >= 0 AND floor(fi) < ny - 1 AND floor(fj) < nx - 1 AS inside FROM m1),
+        mw AS (SELECT {ids}, k, fire_id, i0 + a AS i, j0 + b AS j, (CASE WHEN a = 1 THEN fi - i0 ELSE 1 - (fi - i0) END)
+                 * (CASE WHEN b = 1 THEN fj - j0 ELSE 1 - (fj - j0) END) AS wt FROM m2, range(0, 2) c1(a), range(0, 2) c2(b) WHERE inside
+               UNION ALL SELECT {ids}, k, fire_id, CAST(greatest(0, least(round_even(fi, 0), ny - 1)) AS INT),
+                 CAST(greatest(0, least(round_even(fj, 0), nx - 1)) AS INT), 1.0 FROM m2 WHERE NOT inside),
+        ms AS (SELECT {ids}, k, SUM(wt * elevation) AS terrain FROM mw
+               LEFT JOIN grid_cell c ON c.fire_id = mw.fire_id AND c.i = mw.i AND c.j = mw.j GROUP BY {ids}, k),
+        mt AS (SELECT m1.*, ms.terrain FROM m1 JOIN ms USING ({ids}, k))"""
+
+
+_back = f"({STEP}::DOUBLE * (1 - prev / (prev - d)))"
+_hit = frag.wgs(f"(x - e * {_back})", f"(y - n * {_back})", "center_lon", "center_lat")
+
+
 def _base(x):
     return camera.base_pixels(x.mask_pixel)
 
 
-@query("K6_terrain_crossing")
+@query(
+    "K6_terrain_crossing",
+    f"""WITH low AS (SELECT frame_id, camera_id, px, MAX(py) AS py FROM mask_pixel GROUP BY frame_id, camera_id, px),
+        ray AS (SELECT frame_id, px, fire_id, lon, lat, elev_m, sin({_az}) * cos({_el}) AS e, cos({_az}) * cos({_el}) AS n, sin({_el}) AS u
+                FROM low JOIN camera c ON c.camera_id = low.camera_id),
+        {march_sql('ray', 'frame_id, px', STEP, int(RANGE // STEP))},
+        df AS (SELECT *, elev_m + u * t - terrain AS d FROM mt),
+        pv AS (SELECT *, lag(d) OVER (PARTITION BY frame_id, px ORDER BY k) AS prev FROM df),
+        ht AS (SELECT *, row_number() OVER (PARTITION BY frame_id, px ORDER BY k) AS rn FROM pv WHERE d <= 0 AND prev > 0)
+        SELECT frame_id, px, {r(f't - {_back}', 2)} AS dist_m, {r(_hit[0])} AS hit_lon, {r(_hit[1])} AS hit_lat FROM ht WHERE rn = 1""",
+)
 def k6(x):
     """Every base pixel of every frame sent as a ray into its event's terrain."""
     rows = _base(x).join(x.camera, "camera_id").withColumn("_r", camera.ray_direction(F.col("px"), F.col("py")))
@@ -130,7 +164,16 @@ def _angles(x):
     return camera.horizon_angles(cols, x.grid_cell, x.site, 2000.0, 30000.0)
 
 
-@query("K9_horizon_angles")
+_flat = f"radians((((pan_deg + degrees(atan2(px - image_width / 2.0, {_f}))) % 360.0) + 360.0) % 360.0)"
+
+
+@query(
+    "K9_horizon_angles",
+    f"""WITH ray AS (SELECT camera_id, px, fire_id, lon, lat, elev_m, sin({_flat}) AS e, cos({_flat}) AS n, 0.0::DOUBLE AS u
+                FROM camera, (SELECT unnest([0, 16, 32, 48, 63]) AS px) p),
+        {march_sql('ray', 'camera_id, px', 2000.0, 14)}
+        SELECT camera_id, px, {r('MAX(degrees(atan2(terrain - elev_m, t)))')} AS horizon_deg FROM mt WHERE k > 0 GROUP BY camera_id, px""",
+)
 def k9_angles(x):
     return _angles(x).withColumn("horizon_deg", rounded("horizon_deg"))
 
