@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from hazardgrid.llm.common import python_ready
 
 #: Pre-tokens that a task remembers; a full memory is emptied, which changes no result.
-MEMORY = 250_000
+MEMORY = 400_000
 
 _CODECS: dict[int, Codec] = {}
 
@@ -76,7 +76,7 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 class Codec:
     """Encoder and decoder of one model; built once per worker."""
 
-    def __init__(self, model: bytes, pattern: str):
+    def __init__(self, model: bytes, pattern: str, memory: int = MEMORY):
         import regex
         import sentencepiece
 
@@ -88,12 +88,13 @@ class Codec:
         self.bytes_of = [bytes(byte_of[c] for c in p) for p in pieces]
         self.whole = {p: np.array([k], "<u4").tobytes() for k, p in enumerate(pieces)}
         self.held: dict[str, bytes] = {}
+        self.memory = memory
 
     def encode(self, text: str | None) -> bytes:
         parts = self.cut(text or "")
         new = set(parts).difference(self.held)
         if new:
-            if len(self.held) + len(new) > MEMORY:
+            if len(self.held) + len(new) > self.memory:
                 self.held.clear()
                 new = set(parts)
             mapped = {p: p.encode().decode("latin-1").translate(self.letters) for p in new}
@@ -115,12 +116,15 @@ def _codec(key: int, sent) -> Codec:
 
 
 class Tokenizer:
-    """Column functions over one vocabulary; the model (about a megabyte) is broadcast."""
+    """Column functions over one vocabulary; the model (about a megabyte) is broadcast.
 
-    def __init__(self, spark: SparkSession, vocabulary: str, pattern: str):
+    ``memory``: pre-tokens that a worker remembers. Fewer cost time, more cost memory.
+    """
+
+    def __init__(self, spark: SparkSession, vocabulary: str, pattern: str, memory: int = MEMORY):
         python_ready(spark)
         model = serialise_model(read_ranks(vocabulary))
-        sent, key = spark.sparkContext.broadcast((model, pattern)), hash((model, pattern))
+        sent, key = spark.sparkContext.broadcast((model, pattern, memory)), hash((model, pattern, memory))
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
