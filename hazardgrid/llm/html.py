@@ -7,8 +7,10 @@ pages of the host then tell template from content: a slot that holds the same te
 mostly link text, is template; a slot whose text varies is content.
 
 A page's text comes from its ``article`` or ``main`` element where it has one, less the furniture that
-mark-up names (navigation, adverts, comments, forms, ...). Elsewhere it is the text of the varying
-slots. Hosts with fewer than ``MIN_PAGES`` pages have no template of their own.
+mark-up names (navigation, adverts, comments, forms, ...) and less the slots in it that hold the same
+text on most pages; its outline is what lies in that element. Elsewhere it is the text of the varying
+slots. Pages of a host with the same outline and texts are copies and count once, so that copies never
+turn content into template. Hosts with fewer than ``MIN_PAGES`` different pages have no template of their own.
 
 Defined results: null and empty html give empty text; cut-off pages give what is there; an unclosed
 element ends where its parent ends, and an ``article`` or ``main`` ends any furniture left open before
@@ -222,10 +224,14 @@ def slot_of(path: str, page: str, reference: str | None) -> str:
     return path if reference is not None and path in aligned_paths(page, reference) else f"+{path}"
 
 
-def main_text(html: str | None, reference: str | None, template: frozenset[str]) -> str:
+def deciding_blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
+    """Blocks inside the roots of a page, which are no links then, or all blocks of a page without."""
     blocks = read_blocks(html)
-    if any(inside for *_, inside in blocks):
-        return "\n\n".join(text for _, text, _, inside in blocks if inside)
+    return [(path, text, 0, True) for path, text, _, inside in blocks if inside] or blocks
+
+
+def main_text(html: str | None, reference: str | None, template: frozenset[str]) -> str:
+    blocks = deciding_blocks(html)
     page = written(fold(p for p, *_ in blocks))
     left = [b for b in blocks if slot_of(b[0], page, reference) not in template]
     return "\n\n".join(text for _, text, links, _ in left if links < LINK_SHARE * len(text))
@@ -245,7 +251,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
         rows = []
         for html in htmls:
-            blocks = [b for b in read_blocks(html) if not b[3]]
+            blocks = deciding_blocks(html)
             slots: dict[str, list] = {}
             for path, text, links, _ in blocks:
                 s = slots.setdefault(path, [0, 0, xxhash.xxh64()])
@@ -261,7 +267,9 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
         return pd.Series([slot_of(*x) for x in zip(paths, page, reference)], dtype=object)
 
     seen = pages.select(_host(F.col("url")).alias("host"), outline("html").alias("o")).select("host", "o.*")
-    seen = cut_lineage(seen.filter(F.size("slots") > 0))
+    seen = seen.withColumn("print", F.xxhash64("page", "slots"))
+    seen = cut_lineage(seen.dropDuplicates(["host", "print"]).drop("print"))
+    seen = seen.filter(F.size("slots") > 0)  # not earlier: a filter on the outline would make it twice
     kinds = seen.groupBy("host", "page").agg(F.count("*").alias("n"))
     refs = kinds.groupBy("host").agg(F.max(F.struct("n", "page")).alias("r"), F.sum("n").alias("pages"))
     refs = cut_lineage(refs.select("host", F.col("r.page").alias("reference"), "pages"))
