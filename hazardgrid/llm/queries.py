@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import ann, bpe, html, lines, mixing, quality, rules, simhash, toxic, warc
+from hazardgrid.llm import ann, bpe, fim, html, lines, mixing, quality, rules, simhash, toxic, warc
 from hazardgrid.llm.common import table
 from hazardgrid.session import work_path
 
@@ -152,3 +152,32 @@ def op5_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Memberships, rate and drawn copies of every document."""
     found = mixing.mix(table(spark, folder, "documents"), domains_of(table(spark, folder, "labels")), TARGETS)
     return found.withColumn("copies", mixing.copies(F.col("rate"), "doc_id"))
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form and digests of every document's transformation and of the text rebuilt from it."""
+    made = fim.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+CHECK_SQL["op13_fill_in_middle"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS units,
+             ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+             least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT doc_id, text, n, form, array_to_string(units[1:lo], '') AS prefix, array_to_string(units[lo + 1:hi], '') AS middle,
+             array_to_string(units[hi + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s"""
