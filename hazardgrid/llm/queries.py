@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import ann, bpe, fim, html, lines, mixing, quality, rules, simhash, toxic, warc
+from hazardgrid.llm import ann, bpe, fim, html, lines, mixing, quality, rules, simhash, tensored, toxic, warc
 from hazardgrid.llm.common import table
 from hazardgrid.session import work_path
 
@@ -181,3 +181,9 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM s"""
+
+
+@_query
+def op11_minhash_tensored(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size, component and verdict of every document."""
+    return tensored.near_copies(table(spark, folder, "documents"))
