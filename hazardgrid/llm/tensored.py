@@ -10,10 +10,10 @@ that occur twice.
 
 Sets that share a table are candidates, but a table never pairs its members. First each table compares
 all of them with one leader, the one with the largest tables in all (in a group of near copies mostly their
-origin). Tables whose members all hang together are done. Small rests are paired across components.
-Large rests get further leaders, and are cut by the rarest shingles of their members: linked sets share
-one of the first ``n - ceil(0.85 n) + 1`` in any common order, so no link is lost there. Every link is
-confirmed on the whole sets.
+origin). All members that one leader met form its group; a group that hangs together is done. In an open
+group members of different components are compared, block by block: a task holds two blocks of at most
+about ``ENTRIES`` shingles each and returns merges, never pairs, so a large group is many tasks and no
+row is made per pair. Every link is confirmed on the whole sets.
 
 A document's set holds its different three-word shingles (A-Z in lower case, ASCII blanks); a shorter
 text is one shingle. Null, empty and blank texts have an empty set and link with nothing. Equal sets are one
@@ -39,8 +39,8 @@ WORDS = 3
 PERCENT = 85
 #: Groups in each of the two collections, and minhashes in a group.
 SIDE, WIDTH = 12, 3
-#: Members of a table that may be paired; a larger one gets leaders and is cut.
-HOT = 24
+#: Shingles of the members of a block, about, and members of a block.
+ENTRIES, MEMBERS = 400_000, 512
 #: Words whose hashes a worker remembers; a full memory is emptied, which changes no result.
 MEMORY = 500_000
 
@@ -146,16 +146,36 @@ def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return seen.filter(alike(F.size(F.array_intersect("s_u", "s_v")), F.col("n_u"), F.col("n_v"))).select("u", "v")
 
 
-def _cut(hot: DataFrame, whole: DataFrame) -> DataFrame:
-    """Rows of large tables dealt to a table for each of the rarest shingles of the member."""
-    sets = whole.join(hot.select("id").distinct(), "id").select("id", F.explode("s").alias("s"))
-    often = sets.join(sets.groupBy("s").agg(F.count("*").alias("m")), "s")
-    front = often.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("o"))  # one document's shingles
-    n = F.size("o")
-    front = front.select("id", F.slice("o", 1, n - F.ceil(n * PERCENT / 100).cast("int") + 1).alias("o"))
-    front = front.select("id", F.explode("o.s").alias("s"))
-    rows = settle(hot.join(front, "id").withColumn("key", F.xxhash64("key", "s")).drop("s"))
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key")
+def merges(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between positions in ``left`` and in ``right`` that join different labels, each join once."""
+    if not len(left) or not len(right) or (label == label[0]).all():
+        return []
+    label, n = label.copy(), np.array([len(x) for x in sets])
+    held = np.concatenate([sets[j] for j in right])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(right)), n[right])[order]
+    out = []
+    for i in left.tolist():
+        lo, hi = np.searchsorted(held, sets[i]), np.searchsorted(held, sets[i], "right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        near = (100 * shared >= PERCENT * (n[i] + n[right] - shared)) & (label[right] != label[i])
+        for other in np.unique(label[right[near]]):
+            out.append((i, int(right[near & (label[right] == other)][0])))
+            label[label == other] = label[i]
+    return out
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Merges among the rows of two blocks, or of one; small groups lie several in a task."""
+    out = []
+    for _, g in rows.groupby("lead", sort=False):
+        sets, block = [np.asarray(x) for x in g.s], g.block.to_numpy()
+        left, right = np.flatnonzero(block == g.i.iat[0]), np.flatnonzero(block == g.j.iat[0])
+        ids = g.id.to_numpy()
+        out += [(ids[a], ids[b]) for a, b in merges(sets, g.label.to_numpy(), left, right)]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def links(rows: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
@@ -163,38 +183,30 @@ def links(rows: DataFrame, sets: DataFrame, whole: DataFrame) -> DataFrame:
 
     ``rows`` has ``key, id, m`` of shared tables, ``sets`` the size ``n`` of each ``id``.
     """
-    weight = rows.groupBy("id").agg(F.sum("m").alias("weight")).join(sets.select("id", "n"), "id")
-    left = settle(rows.select("key", "id").join(weight, "id").withColumn("label", F.col("id")))
-    edges, turn, before = None, 0, None
-    while True:
-        count = left.groupBy("key").agg(
-            F.count("*").alias("m"), (F.min("label") < F.max("label")).alias("open"), F.max(F.struct("weight", -F.col("id"), "id", "n")).alias("lead")
-        )
-        left = settle(left.join(count.filter("open").drop("open"), "key"))
-        if left.isEmpty():
-            break
-        large = left if turn == 0 else left.filter(F.col("m") > HOT)
-        hot = large.count()
-        if turn == 2 and hot:  # two leaders left much open: go on with smaller tables
-            cut = _cut(large.select("key", "id", "weight", "n", "label"), whole)
-            left = settle(left.filter(F.col("m") <= HOT).select("key", "id", "weight", "n", "label").unionByName(cut.drop("m")))
-            turn, before = 3, None
-            continue
-        if turn > 3 and before is not None and 10 * hot > 9 * before:  # leaders no longer help
-            large = left.limit(0)
-        small = left.join(large.select("key").distinct(), "key", "left_anti") if turn else left.limit(0)
-        star = large.select(F.col("lead.id").alias("u"), F.col("id").alias("v"), F.col("lead.n").alias("n_u"), F.col("n").alias("n_v"))
-        a = small.select("key", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"))
-        b = small.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"))
-        pairs = a.join(b, "key").filter("label_u < label_v").select("u", "v", "n_u", "n_v")
-        new = confirmed(star.unionByName(pairs), whole)
-        edges = settle(new if edges is None else edges.unionByName(new))
-        label = components(edges)
-        left = large.filter(F.col("id") != F.col("lead.id")).select("key", "id", "weight", "n")
-        left = left.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        left = settle(left)
-        turn, before = turn + 1, hot
-    return edges if edges is not None else left.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    weight = rows.groupBy("id").agg(F.sum("m").alias("weight"))
+    lead = rows.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"), "id")).alias("lead"))
+    group = rows.join(lead.select("key", F.col("lead.id").alias("lead")), "key").filter("id <> lead")
+    size = sets.select("id", "n")
+    group = settle(group.select("lead", "id").distinct().join(size, "id"))
+    star = group.join(size.select(F.col("id").alias("lead"), F.col("n").alias("n_u")), "lead")
+    star = star.select(F.col("lead").alias("u"), F.col("id").alias("v"), "n_u", F.col("n").alias("n_v"))
+    edges = settle(confirmed(star, whole))
+
+    label = components(edges).withColumnRenamed("node", "id")
+    group = settle(group.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    count = group.groupBy("lead").agg(
+        F.count("*").alias("m"), F.sum("n").alias("entries"), (F.min("label") < F.max("label")).alias("open")
+    )
+    blocks = F.greatest(F.ceil(F.col("entries") / ENTRIES), F.ceil(F.col("m") / MEMBERS)).cast("int")
+    count = settle(count.filter("open").select("lead", "entries", blocks.alias("blocks")))
+    bins = 1 + (count.filter("blocks = 1").agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]) // ENTRIES
+    rest = group.join(count, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A large group is named by its leader, several small ones by the number of their bin, which is negative.
+    rest = rest.withColumn("bin", F.when(F.col("blocks") > 1, F.col("lead")).otherwise(-1 - F.pmod(F.xxhash64("lead"), F.lit(bins))))
+    rest = rest.select("lead", "id", "label", "bin", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    found = rest.join(whole, "id").groupBy("bin", "i", "j").applyInPandas(_compared, "u long, v long")
+    return edges.unionByName(settle(found))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def planted(seed=6):
 
 
 def test_components_are_those_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(tensored, "HOT", 4)
+    monkeypatch.setattr(tensored, "MEMBERS", 16)
     rows = planted()
     want, near = by_force(rows)
     assert near > 300
@@ -82,6 +82,27 @@ def test_minhash_groups_meet_as_often_as_they_should():
     assert abs(np.mean(hits) - (180 / 220) ** tensored.WIDTH) < 0.03
 
 
+def test_merges_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    base = np.arange(100)
+    sets = [np.sort(np.concatenate((rng.permutation(base)[:94], 1000 * (k + 1) + np.arange(rng.integers(1, 9))))) for k in range(60)]
+    label = rng.integers(0, 50, 60)
+    root = label.copy()
+    for i in range(60):
+        for j in range(i):
+            x = np.intersect1d(sets[i], sets[j]).size
+            if 100 * x >= 85 * (len(sets[i]) + len(sets[j]) - x):
+                root[root == root[i]] = root[j]
+    halves = np.arange(30), np.arange(30, 60)
+    got = label.copy()
+    for left, right in (halves, (halves[0], halves[0]), (halves[1], halves[1])):
+        found = tensored.merges(sets, label, left, right)
+        assert len(found) < 60
+        for i, j in found:
+            got[got == got[i]] = got[j]
+    assert len(np.unique(root)) == len(np.unique(got)) == len(np.unique(root * 100 + got)) > 1
+
+
 def test_no_documents_and_one_very_long_one(spark):
     assert tensored.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rng = random.Random(0)
