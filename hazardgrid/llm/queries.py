@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardgrid.llm import ann, bpe, fim, html, lines, mixing, quality, rules, simhash, tensored, toxic, warc
+from hazardgrid.llm import ann, bpe, collocations, fim, html, lines, mixing, quality, rules, simhash, tensored, toxic, warc
 from hazardgrid.llm.common import table
 from hazardgrid.session import work_path
 
@@ -187,3 +187,32 @@ FROM s"""
 def op11_minhash_tensored(spark: SparkSession, folder: str) -> DataFrame:
     """Set size, component and verdict of every document."""
     return tensored.near_copies(table(spark, folder, "documents"))
+
+
+@_query
+def op12_dynamic_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Best phrases of every language."""
+    found = collocations.top_phrases(table(spark, folder, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+CHECK_SQL["op12_dynamic_phrases"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT c.*, unnest(range(1, k)) AS pos FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.k, cut.a, cut.w, pos, l.a AS l, r.a AS r,
+             CAST(CAST(cut.a AS HUGEINT) * 2000000 // (l.a + r.a) AS BIGINT) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1 : pos], ' ')
+               JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[pos + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+piece AS (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i FROM c, (VALUES (2), (3)) AS sizes(size) WHERE size < k),
+o AS (SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS over FROM piece GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE over IS NULL OR 100 * over < 80 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000"""
