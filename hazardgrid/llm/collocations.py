@@ -23,6 +23,8 @@ or no candidates give no rows. Texts are read whole; only ``doc_id, text, lang``
 from __future__ import annotations
 
 import itertools
+import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +42,7 @@ LONGEST = 4
 #: Occurrences that make a phrase a candidate.
 THRESHOLD = 30
 SHARDS = 4
-#: Bits of a slot number: 16 MB a table.
+#: Bits of a slot number: a table takes 16 MB in a worker, and less than 1 MB on the way while few are set.
 SLOT_BITS = 24
 #: Words that are counted at once in a task.
 STRETCH = 300_000
@@ -52,6 +54,8 @@ NEVER = 255
 _MARK = b"\xff"  # between pieces; no byte of UTF-8
 _BYTES = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + 10 * _MARK))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Tables of slots that a worker has unpacked, the newest of each length.
+_TABLES: dict[int, tuple[str, np.ndarray]] = {}
 _COUNTS = "lang string, k int, phrase string, slot int, start int, c long"
 
 
@@ -101,11 +105,23 @@ def phrase_counts(lang: str, texts: list[bytes], reached: list[np.ndarray], scan
         yield k, phrases, slot_of(h[one]), start[one], many
 
 
+def _packed(spark, table: np.ndarray):
+    """A table of slots for the tasks; packed, since few slots are set."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+
+def _unpacked(sent: list) -> list[np.ndarray]:
+    for i, (name, packed) in enumerate(sent):
+        if i not in _TABLES or _TABLES[i][0] != name:
+            _TABLES[i] = name, np.frombuffer(zlib.decompress(packed.value), np.uint8)
+    return [_TABLES[i][1] for i in range(len(sent))]
+
+
 def _scanned(shard: DataFrame, sent: list, scan: int, shards: int) -> DataFrame:
     """Counts of the phrases that are active in this scan."""
 
     def rows(lang: str, texts: list[bytes]) -> Iterator[pd.DataFrame]:
-        for k, phrases, slots, starts, counts in phrase_counts(lang, texts, [b.value for b in sent], scan, shards):
+        for k, phrases, slots, starts, counts in phrase_counts(lang, texts, _unpacked(sent), scan, shards):
             out = pd.DataFrame({"lang": lang, "k": k, "phrase": phrases, "slot": slots, "start": starts, "c": counts})
             for at in range(0, len(out), 50_000):
                 yield out.iloc[at : at + 50_000]
@@ -160,8 +176,8 @@ def count_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
         for i, new in enumerate(changed):
             if new:
                 if sent[i] is not None:
-                    sent[i].unpersist()
-                sent[i] = spark.sparkContext.broadcast(reached[i].copy())
+                    sent[i][1].destroy()  # what needed it is written
+                sent[i] = _packed(spark, reached[i])
         shard = dealt.filter(F.col("shard") == scan % shards).select("lang", "text")
         rows = _scanned(shard, sent, scan, shards)
         rows = rows if active is None else rows.unionByName(active)
