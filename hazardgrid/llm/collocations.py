@@ -5,15 +5,12 @@ active when both its subphrases, without its last and without its first word, ha
 from the next shard on it is counted, for exactly one cycle. So phrases of all lengths are counted
 side by side in the same scans, and long ones start long before the short ones are complete.
 
-What has reached the threshold is told to the tasks by a table of fixed size for each length: a slot holds
-the first scan in which a longer phrase may count on it. The start of a phrase is the later one of its two
-subphrases, a slot is never changed once it is set, so every task knows the same start. Phrases that
-share a slot can only start some phrases early, which are then counted, as exactly, for nothing. The
-driver gets bits of slots, never phrases.
-
-A scan's counts are added to those of the phrases still active and written; complete phrases that
-missed the threshold are dropped. In a task, words are numbers and the phrases of a stretch are sorted
-numbers; one row goes out for each different phrase of a stretch.
+The scans count by slots: each length has a table of fixed size, a phrase's hash names its slot, and a slot
+that has reached the threshold counts as reached for all its phrases. A slot holds at least what each of
+its phrases occurs, so nothing is missed; phrases that share a slot can only let others start for nothing.
+Shards are written once as slot numbers of words, and a scan's tables are added up part by part. When every
+slot has had its cycle, one pass over the texts counts exactly the phrases of reached slots, as strings.
+The driver gets one bit a slot. Larger tables cost memory, smaller ones time; results are the same.
 
 Defined results: null text counts as empty, null ``lang`` as ``und``. Only A-Z are lowered. Repeated rows count
 as often as they occur. Ties of the rank are broken by the contract's order, so it is total. No documents
@@ -42,8 +39,10 @@ LONGEST = 4
 #: Occurrences that make a phrase a candidate.
 THRESHOLD = 30
 SHARDS = 4
-#: Bits of a slot number: a table takes 16 MB in a worker, and less than 1 MB on the way while few are set.
+#: Bits of a slot number: a length takes 16 MB of starts and 32 MB of counts in a worker.
 SLOT_BITS = 24
+#: Bits of a slot number within a part of a table.
+PART_BITS = 18
 #: Words that are counted at once in a task.
 STRETCH = 300_000
 #: A longer phrase with at least this percentage of a phrase's count covers it.
@@ -51,12 +50,16 @@ COVERED = 80
 TOP = 2_000
 NEVER = 255
 
+#: Tables of starts that a worker has unpacked, the newest of each length.
+_TABLES: dict[int, tuple[str, np.ndarray]] = {}
+
 _MARK = b"\xff"  # between pieces; no byte of UTF-8
 _BYTES = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + 10 * _MARK))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Tables of slots that a worker has unpacked, the newest of each length.
-_TABLES: dict[int, tuple[str, np.ndarray]] = {}
-_COUNTS = "lang string, k int, phrase string, slot int, start int, c long"
+#: Words whose slots a worker remembers; the others are hashed again.
+MEMORY = 500_000
+#: Where the count of a slot stops.
+FULL = np.iinfo(np.uint16).max
 
 
 def cut_words(texts: list[bytes]) -> list[bytes]:
@@ -64,49 +67,51 @@ def cut_words(texts: list[bytes]) -> list[bytes]:
     return _MARK.join(texts).translate(_BYTES).replace(_MARK, b" \xff ").split()
 
 
-def phrase_counts(lang: str, texts: list[bytes], reached: list[np.ndarray], scan: int, shards: int) -> Iterator[tuple]:
-    """``(k, phrases, slots, starts, counts)`` for each length, of the phrases that are active in this scan.
+class _WordSlots(dict):
+    """Slots of a language's words, from 1; the mark between pieces is 0."""
 
-    ``reached[k - 1]`` has the slots of length k. Length 0 counts all words.
-    """
-    words = cut_words(texts)
-    number = defaultdict(itertools.count().__next__)
-    number[_MARK]
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    names = list(number)
-    bits = np.uint64(65 - len(reached[0]).bit_length())
-    slot_of = lambda h: ((h ^ (h >> np.uint64(31))) * _ODD >> bits).astype(np.int32)
-    seed = xxhash.xxh64_intdigest(lang) >> 1
-    own = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64)
-    if scan < shards:
-        many = np.bincount(ids, minlength=len(names))[1:]
-        yield 0, [""], [0], [0], [int(many.sum())]
-        yield 1, [w.decode("utf-8", "replace") for w in names[1:]], slot_of(own[1:]), np.zeros(len(many), np.int32), many
-    h, inside = own[ids], ids > 0
-    first = h
+    def __init__(self, lang: str, bits: int):
+        self.seed, self.shift = xxhash.xxh64_intdigest(lang) >> 1, 64 - bits
+        self[_MARK] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        slot = max(1, xxhash.xxh64_intdigest(word, self.seed) >> self.shift)
+        if len(self) < MEMORY:
+            self[word] = slot
+        return slot
+
+
+def word_slots(words: list[bytes], held: _WordSlots) -> np.ndarray:
+    return np.fromiter(map(held.__getitem__, words), np.int32, len(words))
+
+
+def phrase_slots(first: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(k, slot, inside)`` at each place; ``inside`` says that the k words lie in one piece."""
+    h, inside = first.astype(np.uint64), first > 0
+    yield 1, first, inside
     for k in range(2, LONGEST + 1):
-        if len(ids) < k:
+        if len(h) < 2:
             return
-        allowed = reached[k - 2][slot_of(h)].astype(np.int32)  # of the phrases one word shorter
-        start = np.maximum(allowed[:-1], allowed[1:])
-        inside = inside[:-1] & (ids[k - 1 :] > 0)
-        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _ODD + first[k - 1 :]
-        at = np.flatnonzero(inside & (start <= scan) & (scan < start + shards))
-        v = np.int64(len(names))
-        code = ids[at] * v + ids[at + 1]
-        if k == 3:
-            code = code * v + ids[at + 2]
-        elif k == 4:
-            code = np.unique(code, return_inverse=True)[1] * v  # numbers of the pairs, so that four words fit in 63 bits
-            code = (code + ids[at + 2]) * v + ids[at + 3]
-        _, one, many = np.unique(code, return_index=True, return_counts=True)
-        one = at[one]
-        phrases = [b" ".join(words[i : i + k]).decode("utf-8", "replace") for i in one.tolist()]
-        yield k, phrases, slot_of(h[one]), start[one], many
+        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _ODD + first[k - 1 :].astype(np.uint64) + np.uint64(1)
+        inside = inside[:-1] & (first[k - 1 :] > 0)
+        yield k, (((h ^ (h >> np.uint64(31))) * _ODD) >> np.uint64(64 - bits)).astype(np.int32), inside
+
+
+def active_slots(first: np.ndarray, reached: list[np.ndarray], scan: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(k, slots)``, a slot for each occurrence of a phrase that is active in this scan."""
+    before = None
+    for k, slot, inside in phrase_slots(first, len(reached[0]).bit_length() - 1):
+        if k == 1:
+            start = np.zeros(len(slot), np.int32)
+        else:
+            allowed = reached[k - 2][before].astype(np.int32)
+            start = np.maximum(allowed[:-1], allowed[1:])
+        yield k, slot[inside & (start <= scan) & (scan < start + shards)]
+        before = slot
 
 
 def _packed(spark, table: np.ndarray):
-    """A table of slots for the tasks; packed, since few slots are set."""
+    """A table of starts for the tasks; packed, since few slots are set."""
     return uuid.uuid4().hex, spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
 
 
@@ -117,82 +122,151 @@ def _unpacked(sent: list) -> list[np.ndarray]:
     return [_TABLES[i][1] for i in range(len(sent))]
 
 
-def _scanned(shard: DataFrame, sent: list, scan: int, shards: int) -> DataFrame:
-    """Counts of the phrases that are active in this scan."""
+def _written_shards(docs: DataFrame, shards: int, bits: int) -> DataFrame:
+    """``words, shard``: every text as slots of its words."""
+
+    @F.pandas_udf("array<int>")
+    def slots(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        held = {lang: _WordSlots(lang, bits) for lang in langs.unique()}
+        return pd.Series([word_slots(cut_words([t]), held[lang]) for lang, t in zip(langs, texts)], dtype=object)
+
+    place = work_path(docs.sparkSession, "shards")
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard")
+    docs.select(slots("lang", "text").alias("words"), shard).write.partitionBy("shard").parquet(place)
+    return docs.sparkSession.read.schema("words array<int>, shard int").parquet(place)
 
-    def rows(lang: str, texts: list[bytes]) -> Iterator[pd.DataFrame]:
-        for k, phrases, slots, starts, counts in phrase_counts(lang, texts, _unpacked(sent), scan, shards):
-            out = pd.DataFrame({"lang": lang, "k": k, "phrase": phrases, "slot": slots, "start": starts, "c": counts})
-            for at in range(0, len(out), 50_000):
-                yield out.iloc[at : at + 50_000]
+
+def _scanned(shard: DataFrame, sent: list, scan: int, shards: int) -> DataFrame:
+    """``k, part, counts`` of the slots of active phrases, summed in each task; counts stop at ``FULL``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = defaultdict(list), defaultdict(int)
+        reached, total, held, size = _unpacked(sent), {}, [], 0
+
+        def add() -> None:
+            for k, slots in active_slots(np.concatenate(held), reached, scan, shards):
+                if len(slots):
+                    at, many = np.unique(slots, return_counts=True)
+                    if k not in total:
+                        total[k] = np.zeros(len(reached[0]), np.uint16)
+                    total[k][at] = np.minimum(total[k][at] + many, FULL)
+
         for batch in batches:
-            for lang, text in zip(batch.lang, batch.text):
-                held[lang].append(text)
-                size[lang] += len(text)
-                if size[lang] > 6 * STRETCH:  # about so many bytes
-                    yield from rows(lang, held.pop(lang))
-                    size[lang] = 0
-        for lang, texts in held.items():
-            yield from rows(lang, texts)
-
-    return shard.mapInPandas(count, _COUNTS)
-
-
-def _newly_reached(state: DataFrame, reached: list[np.ndarray], scan: int, threshold: int) -> list[bool]:
-    """Set the slots of all phrases that have the threshold by now; says which tables changed."""
-    long_ = state.filter((F.col("k") > 0) & (F.col("k") < LONGEST) & (F.col("c") >= threshold))
-    bits = long_.groupBy("k", F.shiftright("slot", 15).alias("part")).agg(
-        F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767)).cast("long")).alias("bits")
-    )
-    changed = [False] * len(reached)
-    for row in bits.toLocalIterator():  # 4 KB for each 32,768 slots, 2 MB a length at most
-        set_ = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
-        part = reached[row.k - 1][row.part * 32768 : (row.part + 1) * 32768]
-        new = set_[: len(part)] & (part == NEVER)
-        part[new] = scan + 1
-        changed[row.k - 1] |= bool(new.any())
-    return changed
+            for words in batch.words:
+                held += [words, np.zeros(1, np.int32)]
+                size += len(words) + 1
+                if size > STRETCH:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        for k, counts in total.items():
+            width = min(len(counts), 1 << PART_BITS)
+            parts = counts.reshape(-1, width)
+            rows = [(k, p, zlib.compress(parts[p].tobytes(), 1)) for p in np.flatnonzero(parts.any(axis=1)).tolist()]
+            yield pd.DataFrame(rows, columns=["k", "part", "counts"])
+
+    return shard.select("words").mapInPandas(count, "k int, part int, counts binary")
+
+
+def _summed(rows: DataFrame, threshold: int) -> DataFrame:
+    """One row for each part of a table, with a bit for each slot that has reached the threshold."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(0, np.int64)
+        for packed in group.counts:
+            counts = np.frombuffer(zlib.decompress(packed), np.uint16)
+            out = np.minimum(out + counts, FULL) if len(out) else counts.astype(np.int64)
+        bits = zlib.compress(np.packbits(out >= threshold).tobytes(), 1)
+        return pd.DataFrame([(group.k.iat[0], group.part.iat[0], zlib.compress(out.astype(np.uint16).tobytes(), 1), bits)])
+
+    return rows.groupBy("k", "part").applyInPandas(add, "k int, part int, counts binary, bits binary")
+
+
+def reached_slots(shards_table: DataFrame, threshold: int, shards: int, bits: int) -> list[np.ndarray]:
+    """For each length, the first scan after a slot has reached the threshold, or ``NEVER``."""
+    spark = shards_table.sparkSession
+    if LONGEST * shards >= NEVER or threshold > FULL:
+        raise ValueError("too many shards, or too high a threshold, for the tables")
+    reached = [np.full(1 << bits, NEVER, np.uint8) for _ in range(LONGEST)]
+    sent, changed, state, scan = [None] * LONGEST, set(range(LONGEST)), None, 0
+    while True:
+        for i in changed:
+            if sent[i] is not None:
+                sent[i][1].destroy()  # what needed it is written
+            sent[i] = _packed(spark, reached[i])
+        rows = _scanned(shards_table.filter(F.col("shard") == scan % shards), sent, scan, shards)
+        state = settle(_summed(rows if state is None else rows.unionByName(state.drop("bits")), threshold))
+        changed = set()
+        for row in state.select("k", "part", "bits").toLocalIterator():  # 32 KB a part before packing
+            new = np.unpackbits(np.frombuffer(zlib.decompress(row.bits), np.uint8)).astype(bool)
+            part = reached[row.k - 1].reshape(-1, min(1 << bits, 1 << PART_BITS))[row.part]
+            new = new[: len(part)] & (part == NEVER)
+            part[new] = scan + 1
+            if new.any():
+                changed.add(row.k - 1)
+        scan += 1
+        last = max([0, *(int(r[r != NEVER].max(initial=0)) for r in reached[:-1])])
+        if scan >= last + shards:  # the phrases that started last have had their cycle
+            for _, packed in sent:
+                packed.destroy()
+            return reached
+
+
+def phrase_counts(lang: str, texts: list[bytes], reached: list[np.ndarray]) -> Iterator[tuple[int, list[str], list[int]]]:
+    """``(k, phrases, counts)`` of the phrases whose slots, and those of their subphrases, are reached."""
+    words = cut_words(texts)
+    bits = len(reached[0]).bit_length() - 1
+    number = defaultdict(itertools.count().__next__)
+    number[_MARK]
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    first = word_slots(list(number), _WordSlots(lang, bits))[ids]
+    yield 0, [""], [int((ids > 0).sum())]
+    v, before = np.int64(len(number)), None
+    for k, slot, inside in phrase_slots(first, bits):
+        known = inside & (reached[k - 1][slot] != NEVER)
+        at = np.flatnonzero(known if before is None else known & before[:-1] & before[1:])
+        code = ids[at]
+        if k > 1:
+            code = code * v + ids[at + 1]
+        if k == 3:
+            code = code * v + ids[at + 2]
+        elif k == 4:  # numbers of the pairs, so that four words fit in 63 bits
+            code = (np.unique(code, return_inverse=True)[1] * v + ids[at + 2]) * v + ids[at + 3]
+        _, one, many = np.unique(code, return_index=True, return_counts=True)
+        yield k, [b" ".join(words[i : i + k]).decode("utf-8", "replace") for i in at[one].tolist()], many.tolist()
+        before = known
 
 
 def count_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> DataFrame:
     """``lang, k, phrase, c``: phrases of 1 to 4 words that occur ``threshold`` times, and all words at ``k`` 0."""
     spark = docs.sparkSession
     python_ready(spark)
-    if LONGEST * shards >= NEVER:
-        raise ValueError("too many shards for the slots")
-    place = work_path(spark, "shards")
-    text = F.coalesce("text", F.lit(""))
-    dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.cast("binary").alias("text"),
-                        F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).alias("shard"))
-    dealt.write.partitionBy("shard").parquet(place)
-    dealt = spark.read.schema("lang string, text binary, shard int").parquet(place)
-    reached = [np.full(1 << slot_bits, NEVER, np.uint8) for _ in range(LONGEST - 1)]
-    sent, changed = [None] * len(reached), [True] * len(reached)
-    active, done, scan = None, None, 0
-    while True:
-        for i, new in enumerate(changed):
-            if new:
-                if sent[i] is not None:
-                    sent[i][1].destroy()  # what needed it is written
-                sent[i] = _packed(spark, reached[i])
-        shard = dealt.filter(F.col("shard") == scan % shards).select("lang", "text")
-        rows = _scanned(shard, sent, scan, shards)
-        rows = rows if active is None else rows.unionByName(active)
-        state = settle(
-            rows.groupBy("lang", "k", "phrase").agg(F.first("slot").alias("slot"), F.min("start").alias("start"), F.sum("c").alias("c"))
-        )
-        changed = _newly_reached(state, reached, scan, threshold)
-        complete = F.col("start") + shards - 1 <= scan
-        kept = state.filter(complete & ((F.col("c") >= threshold) | (F.col("k") == 0))).select("lang", "k", "phrase", "c")
-        done = kept if done is None else done.unionByName(kept)
-        active = state.filter(~complete)
-        scan += 1
-        last = max([0, *(int(r[r != NEVER].max(initial=0)) for r in reached)])
-        if scan >= last + shards:  # the phrases that started last have had their cycle
-            return done
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    docs = docs.select("doc_id", text, F.coalesce("lang", F.lit("und")).alias("lang"))
+    reached = reached_slots(_written_shards(docs, shards, slot_bits), threshold, shards, slot_bits)
+    sent = [_packed(spark, r) for r in reached]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, tables = defaultdict(list), defaultdict(int), _unpacked(sent)
+
+        def rows(lang: str) -> Iterator[pd.DataFrame]:
+            size[lang] = 0
+            for k, phrases, counts in phrase_counts(lang, held.pop(lang), tables):
+                out = pd.DataFrame({"phrase": pd.Series(phrases, dtype=object), "c": pd.Series(counts, dtype="int64")})
+                out["lang"], out["k"] = pd.Series([lang] * len(out), dtype=object), k
+                yield out[["lang", "k", "phrase", "c"]]
+
+        for batch in batches:
+            for lang, text in zip(batch.lang, batch.text):
+                held[lang].append(text)
+                size[lang] += len(text)
+                if size[lang] > 6 * STRETCH:  # about so many bytes
+                    yield from rows(lang)
+        for lang in list(held):
+            yield from rows(lang)
+
+    found = docs.select("lang", "text").mapInPandas(count, "lang string, k int, phrase string, c long")
+    return found.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= threshold) | (F.col("k") == 0))
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, covered: int = COVERED) -> DataFrame:

@@ -63,13 +63,12 @@ def test_query_equals_its_sql(spark, tmp_path):
 
 
 def test_a_phrase_is_counted_from_its_start_for_one_cycle():
-    texts = [b"u v w"] * 40
-    never = [np.full(1 << collocations.SLOT_BITS, collocations.NEVER, np.uint8) for _ in range(3)]
-    assert [k for k, *_ in collocations.phrase_counts("en", texts, never, 0, 4) if k < 2] == [0, 1]
-    assert all(len(p) == 0 for k, p, *_ in collocations.phrase_counts("en", texts, never, 0, 4) if k > 1)
-    never[0][:] = 2
-    active = [[len(p) for k, p, *_ in collocations.phrase_counts("en", texts, never, s, 4) if k == 2] for s in range(8)]
-    assert active == [[0], [0], [2], [2], [2], [2], [0], [0]]
+    first = np.array([5, 6, 7, 0, 8], np.int32)
+    reached = [np.full(1 << 10, collocations.NEVER, np.uint8) for _ in range(4)]
+    seen = lambda: [[len(x) for _, x in collocations.active_slots(first, reached, s, 4)] for s in range(8)]
+    assert seen() == [[4, 0, 0, 0]] * 4 + [[0, 0, 0, 0]] * 4
+    reached[0][[5, 6]], reached[0][7] = 1, 3
+    assert [x[1] for x in seen()] == [0, 1, 1, 2, 2, 1, 1, 0]  # one pair starts in scan 1, the other in scan 3
 
 
 def test_no_documents(spark):
