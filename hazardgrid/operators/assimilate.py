@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from hazardgrid.operators.common import as_list, attach_group_stats, number_rows
 from hazardgrid.operators.nearest import nearest_distance
 from hazardgrid.session import cut_lineage
 
+#: Cells along a side of a tile or block, and distances that a task holds at once.
+TILE, STAIRS = 64, 4_000_000
 LOG_FLOOR = math.log(K.LIKELIHOOD_FLOOR)
 
 
@@ -63,26 +67,69 @@ def batches(reports: DataFrame, t: str = "minutes") -> DataFrame:
     return reports.join(instants.withColumn("batch", F.col("batch").cast("int")), ["fire_id", t])
 
 
+def _tile(c: str) -> Column:
+    return F.floor(F.col(c) / TILE).cast("int")
+
+
+def burned_near_tiles(tiles: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """For each member and asked tile, the burned cells that can be nearest to one of its cells at some instant.
+
+    Cells are judged by blocks. A block is left out if another one starts to burn no later and even its
+    farthest cell is nearer to the whole tile than the block's nearest: at every instant at which the
+    block has a burned cell, that one has a nearer one.
+    """
+    keys = ["fire_id", "member_id"]
+    cells = arrivals.select(*keys, "i", "j", "arrival_min", _tile("i").alias("bi"), _tile("j").alias("bj"))
+    cells = cells.filter("arrival_min IS NOT NULL")
+    blocks = cells.groupBy(*keys, "bi", "bj").agg(F.min("arrival_min").alias("_start"))
+    met = salted_join(blocks, tiles, "fire_id", ["member_id", "bi", "bj"])
+    away = {c: F.abs(F.col(f"b{c}") - F.col(f"t{c}")) * TILE for c in "ij"}
+    least = [F.greatest(F.lit(0), d - (TILE - 1)) for d in away.values()]
+    most = [d + (TILE - 1) for d in away.values()]
+    met = met.withColumns({"_lo": least[0] * least[0] + least[1] * least[1], "_hi": most[0] * most[0] + most[1] * most[1]})
+    earlier = Window.partitionBy(*keys, "ti", "tj").orderBy("_start").rangeBetween(Window.unboundedPreceding, 0)
+    kept = met.withColumn("_bound", F.min("_hi").over(earlier)).filter("_lo <= _bound")
+    return kept.select(*keys, "ti", "tj", "bi", "bj").join(cells, [*keys, "bi", "bj"]).drop("bi", "bj")
+
+
 def distance_to_burned(cells: DataFrame, arrivals: DataFrame, members: DataFrame, cell_m: float) -> DataFrame:
     """For ``cells(fire_id, minutes, i, j)`` and every member: metres to its nearest burned cell.
 
-    NULL when the member has burned nothing by then.
+    NULL when the member has burned nothing by then. A task holds a tile of asked cells and one member's
+    burned cells that matter there. In order of burning, the running least distance of a cell is its
+    staircase over time; every instant is one look-up in it, so the work does not grow with the instants.
     """
-    asked = cells.select(
-        "fire_id", "minutes", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y")
-    ).distinct()
-    asked = salted_join(asked, members.select("fire_id", "member_id"), "fire_id", ["x", "y"])
-    burned = arrivals.select(
-        "fire_id", "member_id", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y"),
-        "arrival_min",
-    )
-    out = nearest_distance(
-        asked, burned, ["fire_id", "member_id"], query_t="minutes", point_t="arrival_min", unique_points=True
-    )
-    return out.select(
-        "fire_id", "member_id", "minutes", F.col("y").cast("int").alias("i"), F.col("x").cast("int").alias("j"),
-        (F.col("distance") * float(cell_m)).alias("dist_m"),
-    )
+    asked = cells.select("fire_id", "minutes", "i", "j").distinct()
+    asked = asked.withColumns({"ti": _tile("i"), "tj": _tile("j")})
+    tiles = asked.select(*[F.col(c).alias(c) for c in ("fire_id", "ti", "tj")]).distinct()  # columns of its own for the cogroup
+    near = burned_near_tiles(tiles, arrivals)
+    asked = salted_join(asked, members.select("fire_id", "member_id"), "fire_id", ["i", "j"])
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in ("fire_id", "member_id", "minutes", "i", "j", "dist_m"))
+
+    def look_up(want: pd.DataFrame, burned: pd.DataFrame) -> pd.DataFrame:
+        out = want[["fire_id", "member_id", "minutes", "i", "j"]].reset_index(drop=True)
+        dist = np.full(len(out), np.nan)
+        burned = burned.sort_values("arrival_min", kind="stable")
+        upto = np.searchsorted(burned.arrival_min.to_numpy(float), out.minutes.to_numpy(float), "right") - 1
+        bi, bj = burned.i.to_numpy(np.int64), burned.j.to_numpy(np.int64)
+        spot, own = np.unique(out[["i", "j"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        order = np.argsort(own.ravel(), kind="stable")
+        ends = np.searchsorted(own.ravel()[order], np.arange(len(spot) + 1))
+        step = max(1, STAIRS // max(1, len(burned)))
+        for k in range(0, len(spot) if len(burned) else 0, step):
+            some = spot[k : k + step]
+            d2 = (some[:, :1] - bi) ** 2 + (some[:, 1:] - bj) ** 2
+            stairs = np.minimum.accumulate(d2, axis=1)
+            rows = order[ends[k] : ends[min(len(spot), k + step)]]
+            rows = rows[upto[rows] >= 0]
+            dist[rows] = np.sqrt(stairs[own.ravel()[rows] - k, upto[rows]]) * cell_m
+        out["dist_m"] = pd.array(dist, dtype="Float64")
+        out.loc[np.isnan(dist), "dist_m"] = pd.NA
+        return out
+
+    group = ["fire_id", "member_id", "ti", "tj"]
+    return asked.groupBy(*group).cogroup(near.groupBy(*group)).applyInPandas(look_up, schema)
 
 
 def _per_member(reports: DataFrame, members: DataFrame, report) -> DataFrame:
@@ -169,8 +216,8 @@ def batch_loglik(mismatch: DataFrame, by=("fire_id", "member_id", "minutes")) ->
 
 
 def normalise_log_weights(logw: DataFrame, keys, value: str = "logw", out: str = "w") -> DataFrame:
-    """Log weights to weights that sum to one per key."""
-    keys = as_list(keys)
+    """Log weights to weights that sum to one per key. They are written once, since two statistics read them."""
+    keys, logw = as_list(keys), cut_lineage(logw)
     top = attach_group_stats(logw, keys, _top=F.max(value))
     raised = top.withColumn("_e", F.exp(F.col(value) - F.col("_top")))
     return (

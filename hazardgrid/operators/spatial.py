@@ -278,11 +278,11 @@ def mask_overlap(a: DataFrame, b: DataFrame, keys) -> DataFrame:
 
 
 def mean_frame_iou(pred: DataFrame, truth: DataFrame, frames: DataFrame, frame, keys) -> DataFrame:
-    """Mean over the frames of each key of the masks' IoU; a frame without either mask counts as 0."""
+    """Mean over the frames of each key of the masks' IoU; a frame without either mask counts as 1."""
     keys, frame = as_list(keys), as_list(frame)
     per = mask_overlap(pred, truth, [*keys, *frame]).select(*keys, *frame, "iou")
     every = frames.select(*keys, *frame).distinct().join(per, [*keys, *frame], "left")
-    return every.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.avg(F.coalesce("iou", F.lit(0.0))).alias("mean_iou"))
+    return every.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.avg(F.coalesce("iou", F.lit(1.0))).alias("mean_iou"))
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

@@ -257,7 +257,7 @@ def c14(x):
     "C14_mean_frame_iou",
     f"""WITH f AS (SELECT camera_id, frame_id, COUNT(*) FILTER (px % 3 > 0 AND py % 4 > 0) AS inter, COUNT(*) FILTER (px % 3 > 0 OR py % 4 > 0) AS total
                    FROM mask_pixel GROUP BY camera_id, frame_id)
-        SELECT camera_id, COUNT(*) AS n_frames, {r('AVG(CASE WHEN total > 0 THEN inter / total ELSE 0.0 END)')} AS mean_iou FROM f GROUP BY camera_id""",
+        SELECT camera_id, COUNT(*) AS n_frames, {r('AVG(CASE WHEN total > 0 THEN inter / total ELSE 1.0 END)')} AS mean_iou FROM f GROUP BY camera_id""",
 )
 def c14_frames(x):
     """Two masks cut out of each frame's pixels by row and by column."""

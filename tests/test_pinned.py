@@ -243,3 +243,29 @@ def test_nearest_point_is_carried_with_the_distance(spark):
     for r in out.collect():
         d = min(math.hypot(r.x - x, r.y - y) for _, x, y in pts)
         assert r.distance == pytest.approx(d) and math.hypot(r.x - r.px, r.y - r.py) == pytest.approx(d)
+
+
+def test_burned_distance_over_many_tiles_and_instants(spark):
+    rng = np.random.default_rng(7)
+    rows = [(0, m, int(i), int(j), float(rng.integers(0, 300))) for m in range(3) for i, j in np.unique(rng.integers(0, 200, (60, 2)), axis=0)]
+    rows = [r for r in rows if r[1] < 2] + [(0, 2, 199, 0, 250.0)]
+    asked = [(0, float(t), int(i), int(j)) for t in (0, 40, 100, 260, 300) for i, j in rng.integers(0, 200, (25, 2))]
+    cells = spark.createDataFrame(asked + asked[:3], "fire_id int, minutes double, i int, j int")
+    arrivals = spark.createDataFrame(rows, "fire_id int, member_id int, i int, j int, arrival_min double")
+    members = spark.createDataFrame([(0, m) for m in range(4)] + [(1, 0)], "fire_id int, member_id int")
+    got = {(r.member_id, r.minutes, r.i, r.j): r.dist_m for r in assimilate.distance_to_burned(cells, arrivals, members, 10.0).collect()}
+    want = {}
+    for _, t, i, j in asked:
+        for m in range(4):
+            d = [math.hypot(i - a, j - b) * 10 for _, k, a, b, at in rows if k == m and at <= t]
+            want[m, t, i, j] = min(d) if d else None
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
+    assert any(v is None for v in want.values())
+
+
+def test_frame_without_masks_counts_as_full_agreement(spark):
+    frames = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "c int, f int")
+    mask = lambda rows: spark.createDataFrame(rows, "c int, f int, i int, j int")
+    got = one(spatial.mean_frame_iou(mask([(0, 1, 0, 0)]), mask([(0, 1, 0, 0), (0, 1, 0, 1), (0, 2, 5, 5)]), frames, "f", "c"))
+    assert (got.n_frames, got.mean_iou) == (3, pytest.approx((0.5 + 0.0 + 1.0) / 3))
