@@ -353,7 +353,7 @@ def assimilate_with_resampling(members: DataFrame, loglik: DataFrame, seed: int
     cum = cut_lineage(dense.select("fire_id", "member_id", "minutes", upto.alias("cum")))
     place = F.row_number().over(Window.partitionBy("fire_id").orderBy("member_id")) - 1
     base = F.when(F.col("weight") > 0, F.log("weight"))
-    slots = members.select("fire_id", place.alias("slot"), "member_id", base.alias("base"), F.lit(-math.inf).alias("since"))
+    slots = members.select("fire_id", place.alias("slot"), "member_id", base.alias("base"), base.alias("prior"), F.lit(-math.inf).alias("since"))
     slots, done = cut_lineage(slots), None
     each = Window.partitionBy("fire_id", "minutes")
     while True:
@@ -367,7 +367,7 @@ def assimilate_with_resampling(members: DataFrame, loglik: DataFrame, seed: int
         hit = cut_lineage(hit)
         over = slots.join(hit, "fire_id", "left_anti")
         last = at.groupBy("fire_id", "slot").agg(F.max_by("w", "minutes").alias("w"), F.max("w").alias("_only"))
-        plain = F.coalesce(F.exp("base"), F.lit(0.0))
+        plain = F.coalesce(F.exp("prior"), F.lit(0.0))  # of an event without instants, or resampled at its last one
         plain = plain / F.sum(plain).over(Window.partitionBy("fire_id"))
         over = over.withColumn("_plain", plain).join(last, ["fire_id", "slot"], "left").select(
             "fire_id", "slot", "member_id", F.coalesce("w", "_only", "_plain").alias("weight")
@@ -380,6 +380,7 @@ def assimilate_with_resampling(members: DataFrame, loglik: DataFrame, seed: int
         fresh = _resample(chosen).join(hit, "fire_id")
         back = cum.select("fire_id", "member_id", F.col("minutes").alias("hit"), "cum")
         fresh = fresh.join(back, ["fire_id", "member_id", "hit"]).select(
-            "fire_id", "slot", "member_id", (-F.log("_n") - F.col("cum")).alias("base"), F.col("hit").alias("since")
+            "fire_id", "slot", "member_id", (-F.log("_n") - F.col("cum")).alias("base"), (-F.log("_n")).alias("prior"),
+            F.col("hit").alias("since"),
         )
         slots = cut_lineage(fresh)

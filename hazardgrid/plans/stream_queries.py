@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from hazardgrid.plans.registry import query
-from hazardgrid.streaming import streams
+from hazardgrid import constants as K
+from hazardgrid.operators.common import rounded
+from hazardgrid.plans.registry import query, r
+from hazardgrid.streaming import ordered, streams
 
 
 def _events(x):
@@ -61,6 +63,41 @@ def st4(x):
     return streams.drain_updates(streams.running_loglik(scores), ["fire_id", "member_id"], "loglik")
 
 
+def _ordered(x, fraction: float):
+    """Hourly instants of the events' scores; the last hour waits for a later one."""
+    t = F.date_trunc("hour", streams.event_time("ts"))
+    scores = _events(x).select(
+        (F.col("user_id") % 5).cast("int").alias("fire_id"), (F.col("event_id") % 20).cast("int").alias("member_id"), t.alias("t"),
+        (F.unix_seconds(t) / 60.0).cast("double").alias("minutes"), (-(F.col("event_id") % 64) / 64.0).cast("double").alias("loglik"),
+    )
+    out = ordered.ordered_weights(scores, x.member, fraction=fraction)
+    return streams.drain_append(out, "ordered").withColumn("weight", rounded("weight"))
+
+
+@query(
+    "ST4_ordered_weights",
+    f"""WITH s AS (SELECT CAST(user_id % 5 AS INT) AS fire_id, CAST(event_id % 20 AS INT) AS member_id, date_trunc('hour', ts) AS t,
+                     SUM(CAST(-(event_id % 64) AS DOUBLE) / 64) AS loglik FROM events GROUP BY ALL),
+        i AS (SELECT DISTINCT fire_id, t FROM s WHERE t < (SELECT MAX(t) FROM s) - INTERVAL '10' MINUTE),
+        c AS (SELECT i.fire_id, i.t, m.member_id, ln(m.weight) + SUM(coalesce(s.loglik, 0)) OVER (
+                     PARTITION BY i.fire_id, m.member_id ORDER BY i.t) AS lw
+              FROM i JOIN member m ON m.fire_id = i.fire_id
+              LEFT JOIN s ON s.fire_id = i.fire_id AND s.t = i.t AND s.member_id = m.member_id),
+        e AS (SELECT *, exp(lw - MAX(lw) OVER (PARTITION BY fire_id, t)) AS e FROM c)
+        SELECT fire_id, CAST(epoch(t) / 60 AS DOUBLE) AS minutes, member_id,
+               {r('e / SUM(e) OVER (PARTITION BY fire_id, t)')} AS weight FROM e""",
+)
+def st4_ordered(x):
+    """Weights after each instant, never resampled, so that SQL can follow them."""
+    return _ordered(x, 0.0).select("fire_id", "minutes", "member_id", "weight")
+
+
+@query("ST4_ordered_resampled")
+def st4_resampled(x):
+    """As above with resampling; a test compares it with the batch operator."""
+    return _ordered(x, K.ESS_FRACTION)
+
+
 @query(
     "ST5_issued_windows",
     """SELECT CAST(user_id % 5 AS INT) AS fire_id, date_trunc('hour', ts) AS start_t, COUNT(*) AS n FROM events

@@ -47,18 +47,30 @@ def drain_append(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
-def drain_updates(results: DataFrame, keys, label: str, compact_every: int = 20) -> DataFrame:
+def _manifest(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folders that hold the result after the last finished batch, by the batch they stand for."""
+    rows = spark.read.schema("batch_id long, part_id long, place string").parquet(f"{path}/manifest")
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return {r.part_id: r.place for r in rows.filter(F.col("batch_id") == last).distinct().collect()} if last is not None else {}
+
+
+def drain_updates(results: DataFrame, keys, label: str, compact_every: int = 20, path: str | None = None) -> DataFrame:
     """Run an update stream to the end and return the last result per key.
 
     Each batch writes only the keys it changed, in its own folder, so a retried batch replaces its
     own output. Every ``compact_every`` batches what is there is reduced to one row per key in a folder
-    that stands for them, so a read sees at most that many batches and one reduced table.
+    that stands for them, so a read sees at most that many batches and one reduced table. A batch is
+    finished once its manifest is written, which names all folders that count; a stream that is started again
+    on the same ``path`` goes on from its checkpoint and manifest.
     """
     spark = results.sparkSession
-    path, seen = work_path(spark, label), {}
+    path = path or work_path(spark, label)
+
+    # The first, empty manifest makes the folder.
+    spark.createDataFrame([], "batch_id long, part_id long, place string").write.mode("append").parquet(f"{path}/manifest")
 
     def held(batches) -> DataFrame:
-        parts = [spark.read.parquet(at).withColumn("batch_id", F.lit(k)) for k, at in batches]
+        parts = [spark.read.schema(results.schema).parquet(at).withColumn("batch_id", F.lit(k)) for k, at in batches]
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
@@ -66,13 +78,16 @@ def drain_updates(results: DataFrame, keys, label: str, compact_every: int = 20)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         """Folders are named by what they hold, so a batch that is run again names the same ones."""
+        seen = {k: at for k, at in _manifest(spark, path).items() if k < batch_id}
         batch.write.mode("overwrite").parquet(f"{path}/rows/{batch_id}")
         seen[batch_id] = f"{path}/rows/{batch_id}"
-        if (batch_id + 1) % compact_every == 0:
+        if len(seen) > compact_every:
             at = f"{path}/upto/{batch_id}"
             held(sorted(seen.items())).write.mode("overwrite").parquet(at)
-            seen.clear()
-            seen[batch_id] = at
+            seen = {batch_id: at}
+        rows = [(batch_id, k, at) for k, at in seen.items()]
+        rows = spark.createDataFrame(rows, "batch_id long, part_id long, place string")
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
     query = (
         results.writeStream.foreachBatch(write)
@@ -82,6 +97,7 @@ def drain_updates(results: DataFrame, keys, label: str, compact_every: int = 20)
         .start()
     )
     query.awaitTermination()
+    seen = _manifest(spark, path)
     return held(sorted(seen.items())) if seen else spark.createDataFrame([], results.schema)
 
 
