@@ -10,7 +10,6 @@ applied is late and changes nothing. State lies in RocksDB and in the checkpoint
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,8 @@ class OrderedWeights(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.slots = handle.getValueState("slots", "member_id array<int>, logw array<double>")
-        self.waiting = handle.getMapState("waiting", "t long, member_id int", "loglik double, minutes double, u double")
+        self.waiting = handle.getMapState("waiting", "t long", "member_id array<int>, loglik array<double>, minutes double, u double")
+        self.pending = handle.getValueState("pending", "t array<long>")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         held = initialState.sort_values("member_id")
@@ -57,31 +57,34 @@ class OrderedWeights(StatefulProcessor):
         self.slots.update((held.member_id.tolist(), logw.tolist()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
+        passed, new = timerValues.getCurrentWatermarkInMs(), set()
         for some in rows:
-            some = some[some.t_ms > passed]
-            for (t, member), g in some.groupby(["t_ms", "member_id"]):
-                at, more = (int(t), int(member)), float(g.loglik.sum())
-                if self.waiting.containsKey(at):
-                    more += self.waiting.getValue(at)[0]
-                self.waiting.updateValue(at, (more, float(g.minutes.iat[0]), float(g.u.iat[0])))
-            for t in some.t_ms.unique().tolist():
-                self.handle.registerTimer(int(t))
+            for t, g in some[some.t_ms > passed].groupby("t_ms"):
+                sums = g.groupby("member_id").loglik.sum()
+                if self.waiting.containsKey((int(t),)):
+                    members, loglik, *_ = self.waiting.getValue((int(t),))
+                    sums = sums.add(pd.Series(loglik, index=members), fill_value=0.0)
+                new.add(int(t))
+                value = sums.index.astype(int).tolist(), sums.tolist(), float(g.minutes.iat[0]), float(g.u.iat[0])
+                self.waiting.updateValue((int(t),), value)
+        held = self.pending.get()[0] if self.pending.exists() else []
+        for t in new.difference(held):
+            self.handle.registerTimer(t)
+        self.pending.update((sorted(new.union(held)),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, instants = expiredTimerInfo.getExpiryTimeInMs(), defaultdict(dict)
-        for at, value in self.waiting.iterator():
-            if at[0] <= upto:
-                instants[at[0]][at[1]] = tuple(value)
-        for t, scores in sorted(instants.items()):
-            for member in scores:
-                self.waiting.removeKey((t, member))
+        upto, held = expiredTimerInfo.getExpiryTimeInMs(), self.pending.get()[0] if self.pending.exists() else []
+        due = [t for t in held if t <= upto]  # whatever the order of the timers, instants are applied in theirs
+        self.pending.update((held[len(due) :],))
+        for t in due:
+            members, loglik, minutes, u = self.waiting.getValue((t,))
+            self.waiting.removeKey((t,))
             if not self.slots.exists():
                 continue
+            scores = dict(zip(members, loglik))
             members, logw = (np.array(x) for x in self.slots.get())
-            gain = np.array([scores[m][0] if m in scores else 0.0 for m in members.tolist()])
-            _, minutes, u = next(iter(scores.values()))
+            gain = np.array([scores.get(m, 0.0) for m in members.tolist()])
             w, parent = apply_instant(logw, gain, u, self.fraction)
             if parent is not None:
                 members, w = members[parent], np.full(len(w), 1 / len(w))
