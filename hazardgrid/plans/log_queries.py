@@ -315,20 +315,25 @@ def v19(x):
     )
 
 
-def _top_sql(kind, n, item, prefix, none):
-    return f"""
+#: Check SQL of the list answers by query, for the dispatch.
+TOP_SQL: dict[str, str] = {}
+
+
+def _top_sql(name, kind, n, item, prefix, none):
+    TOP_SQL[name] = f"""
 WITH top AS (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY urgency DESC, rec_id) AS k
              FROM {RECS_NOW} d WHERE kind = '{kind}')
 SELECT f.fire_id, concat('{prefix}', coalesce(t.body, '{none}')) AS answer, t.cites
 FROM (SELECT DISTINCT fire_id FROM recommendation) f
 LEFT JOIN (SELECT fire_id, string_agg({item}, '; ' ORDER BY k) AS body, list(rec_id ORDER BY k) AS cites
            FROM top WHERE k <= {n} GROUP BY fire_id) t ON t.fire_id = f.fire_id"""
+    return TOP_SQL[name]
 
 
 @query(
     "V20_top_evacuations",
     _top_sql(
-        "evacuate", 5,
+        "V20_top_evacuations", "evacuate", 5,
         """CASE WHEN lead_time_min IS NOT NULL THEN printf('%s [%.2f, %.0f min ahead]', target_name,
            urgency, lead_time_min) ELSE printf('%s [%.2f]', target_name, urgency) END""",
         "Evacuate first: ", "nothing flagged",
@@ -341,7 +346,7 @@ def v20(x):
 @query(
     "V21_top_egress",
     _top_sql(
-        "close_road", 5, "printf('%s [%.0f%%]', target_name, confidence * 100)",
+        "V21_top_egress", "close_road", 5, "printf('%s [%.0f%%]', target_name, confidence * 100)",
         "Roads under threat: ", "nothing flagged",
     ),
 )
@@ -349,7 +354,7 @@ def v21(x):
     return query_text.top_egress(log.state_as_of(x.recommendation, keys=["rec_id"]))
 
 
-@query("V21_top_staging", _top_sql("stage", 4, "target_name", "Stage at: ", "none"))
+@query("V21_top_staging", _top_sql("V21_top_staging", "stage", 4, "target_name", "Stage at: ", "none"))
 def v21_staging(x):
     return query_text.top_staging(log.state_as_of(x.recommendation, keys=["rec_id"]))
 
@@ -425,6 +430,43 @@ def v24(x):
     return asked.select("doc_id", query_text.intent(F.col("text")).alias("intent"))
 
 
+QUESTION_SQL = """concat('which ', CASE c_custkey % 9 WHEN 0 THEN 'zones to evacuate' WHEN 1 THEN 'road is at risk'
+    WHEN 2 THEN 'egress' WHEN 3 THEN 'crews' WHEN 4 THEN 'cameras' WHEN 5 THEN 'satellite feeds' WHEN 6 THEN 'fire'
+    WHEN 7 THEN 'Staging' ELSE 'x' END)"""
+
+
+def _answer_sql(intent: str, name: str) -> str:
+    cites = "list_transform(cites, lambda c: CAST(c AS VARCHAR))"
+    return f"SELECT fire_id, '{intent}' AS intent, answer, {cites} AS cites FROM ({TOP_SQL[name]}) a_{intent}"
+
+
+@query(
+    "V24_answer_questions",
+    f"""WITH known AS ({_answer_sql("evacuations", "V20_top_evacuations")} UNION ALL {_answer_sql("egress", "V21_top_egress")}
+          UNION ALL {_answer_sql("staging", "V21_top_staging")}
+          UNION ALL SELECT fire_id, 'cameras', concat(CAST(COUNT(*) AS VARCHAR), ' cameras: ', array_to_string((list(name ORDER BY camera_id))[1:10], ', ')),
+                 (list(CAST(camera_id AS VARCHAR) ORDER BY camera_id))[1:10] FROM camera GROUP BY fire_id
+          UNION ALL SELECT o.fire_id, 'observations', concat(CAST(SUM(n) AS VARCHAR), ' observations: ', string_agg(concat(kind, ' ', CAST(n AS VARCHAR)), ', ' ORDER BY kind)),
+                 (SELECT (list(CAST(obs_id AS VARCHAR) ORDER BY obs_id))[1:10] FROM observation b WHERE b.fire_id = o.fire_id)
+                 FROM (SELECT fire_id, kind, COUNT(*) AS n FROM observation GROUP BY fire_id, kind) o GROUP BY o.fire_id
+          UNION ALL SELECT fire_id, 'status', concat('Event ', CAST(fire_id AS STRING), ': ', CASE fire_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'contained' ELSE 'out' END),
+                 [CAST(fire_id AS VARCHAR)] FROM site),
+        asked AS (SELECT question_id, fire_id, {ROUTE_SQL} AS intent
+                  FROM (SELECT c_custkey AS question_id, CAST(c_custkey % 5 AS INT) AS fire_id, lower({QUESTION_SQL}) AS q FROM customer) c)
+        SELECT question_id, asked.fire_id, asked.intent, CASE WHEN asked.intent = 'help' THEN '{query_text.HELP}' ELSE answer END AS answer,
+               coalesce(cites, []::VARCHAR[]) AS cites
+        FROM asked LEFT JOIN known ON known.fire_id = asked.fire_id AND known.intent = asked.intent""",
+)
+def v24_answers(x):
+    """Every question meets the answer to its intent, with the ids that answer rests on."""
+    questions = x.customer.selectExpr("c_custkey AS question_id", "CAST(c_custkey % 5 AS INT) AS fire_id", f"{QUESTION_SQL} AS question")
+    fires = x.site.selectExpr(
+        "fire_id", "concat('Event ', fire_id) AS name", "CASE fire_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'contained' ELSE 'out' END AS status"
+    )
+    recs = log.state_as_of(x.recommendation, keys=["rec_id"])
+    return query_text.answer_questions(questions, query_text.answers(recs, x.camera, x.observation, fires))
+
+
 @query(
     "V25_wind_of_cells",
     f"""SELECT cell_id, {r("sqrt(wind_u * wind_u + wind_v * wind_v)")} AS speed,
