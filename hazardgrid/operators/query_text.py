@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardgrid.operators.common import first_rows, number_rows, salted_join
 
-# Question rules in order: intent, pattern that must match, pattern that must not.
+# Question rules in order, as intent, pattern that must match, pattern that must not.
 INTENT_RULES = [
     ("evacuations", "evacuat|at risk|urgent|threat", "road"),
     ("egress", "road|egress|route", None),
