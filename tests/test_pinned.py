@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazardgrid import schema
 from hazardgrid.functions.draws import hash_uniform
 from hazardgrid.functions import geo, ros
-from hazardgrid.operators import assimilate, calibrate, camera, decide, log, nearest, skill, spatial, spread, track
+from hazardgrid.operators import assimilate, calibrate, camera, decide, log, nearest, query_text, skill, spatial, spread, track
 
 
 def one(df):
@@ -269,3 +269,28 @@ def test_frame_without_masks_counts_as_full_agreement(spark):
     mask = lambda rows: spark.createDataFrame(rows, "c int, f int, i int, j int")
     got = one(spatial.mean_frame_iou(mask([(0, 1, 0, 0)]), mask([(0, 1, 0, 0), (0, 1, 0, 1), (0, 2, 5, 5)]), frames, "f", "c"))
     assert (got.n_frames, got.mean_iou) == (3, pytest.approx((0.5 + 0.0 + 1.0) / 3))
+
+
+def test_questions_meet_their_answers(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    recs = frame(
+        [("r1", 1, "evacuate", "North", 0.9, 30.0, 0.8), ("r2", 1, "evacuate", "South", 0.95, None, 0.8), ("r3", 1, "stage", "Depot", 0.1, None, 0.5)],
+        "rec_id string, fire_id int, kind string, target_name string, urgency double, lead_time_min double, confidence double",
+    )
+    cameras = frame([(1, k, f"c{k:02}") for k in range(12)], "fire_id int, camera_id int, name string")
+    seen = frame([(1, k, "goes" if k % 3 else "viirs") for k in range(30)], "fire_id int, obs_id long, kind string")
+    fires = frame([(1, "Ridge", "active")], "fire_id int, name string, status string")
+    asked = frame(
+        [(1, 1, " Who should EVACUATE first?"), (2, 1, "which road is at risk"), (3, 1, "cameras"), (4, 1, "satellite"), (5, 1, "status"),
+         (6, 1, "hello"), (7, 2, "status"), (8, 2, None), (8, None, "crew")],
+        "question_id int, fire_id int, question string",
+    )
+    known = query_text.answers(recs, cameras, seen, fires)
+    got = {(r.question_id, r.fire_id): (r.intent, r.answer, r.cites) for r in query_text.answer_questions(asked, known).collect()}
+    assert got[1, 1] == ("evacuations", "Evacuate first: South [0.95]; North [0.90, 30 min ahead]", ["r2", "r1"])
+    assert got[2, 1] == ("egress", "Roads under threat: nothing flagged", [])
+    assert got[3, 1] == ("cameras", "12 cameras: " + ", ".join(f"c{k:02}" for k in range(10)), [str(k) for k in range(10)])
+    assert got[4, 1] == ("observations", "30 observations: goes 20, viirs 10", [str(k) for k in range(10)])
+    assert got[5, 1] == ("status", "Ridge: active", ["1"])
+    assert got[6, 1] == ("help", query_text.HELP, []) == got[8, 2]
+    assert got[7, 2] == ("status", None, []) and got[8, None] == ("staging", None, [])
