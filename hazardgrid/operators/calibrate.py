@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardgrid.operators.asof import asof_join, quantile_bucket_of
-from hazardgrid.operators.common import as_list, literal_array, salted_join
+from hazardgrid.operators.common import STATS_ROWS, as_list, literal_array, salted_join
 from hazardgrid.operators.ensemble import CELL, member_totals, weighted_arrivals
-from hazardgrid.session import cut_lineage
+from hazardgrid.session import cut_lineage, ship_package
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -109,62 +107,176 @@ def fit_temperature(df: DataFrame, keys, p: str = "p", y: str = "y", steps=(0.1,
     return best.select(*keys, F.exp("log_t").alias("temperature"))
 
 
-def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pool adjacent violators of blocks ``lo, n, s`` sorted by ``lo``."""
-    out: list[list[float]] = []
-    for lo, n, s in pdf.sort_values("lo")[["lo", "n", "s"]].itertuples(index=False):
-        out.append([lo, n, s])
-        while len(out) > 1 and out[-2][2] * out[-1][1] > out[-1][2] * out[-2][1]:
-            _, n2, s2 = out.pop()
-            out[-1][1] += n2
-            out[-1][2] += s2
-    return pd.DataFrame(out, columns=["lo", "n", "s"])
+def _pooled(fresh: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjacent violators pooled: positions of the first rows of the blocks, their counts and sums.
+
+    ``fresh`` marks rows that begin a new key. Falling runs are merged all at once while that pays; what is
+    left goes over a stack. Equal neighbours stay apart.
+    """
+    at = np.arange(len(n))
+    while len(at) > 1:
+        bad = (s[:-1] * n[1:] > s[1:] * n[:-1]) & ~fresh[1:]
+        first = np.flatnonzero(np.r_[True, ~bad])
+        if len(first) > 0.9 * len(at):
+            break
+        at, fresh, n, s = at[first], fresh[first], np.add.reduceat(n, first), np.add.reduceat(s, first)
+    else:
+        return at, n, s
+    if len(first) == len(at):
+        return at, n, s
+    out: list[list] = []
+    for row in zip(at.tolist(), fresh.tolist(), n.tolist(), s.tolist()):
+        out.append(list(row))
+        while len(out) > 1 and not out[-1][1] and out[-2][3] * out[-1][2] > out[-1][3] * out[-2][2]:
+            _, _, n2, s2 = out.pop()
+            out[-1][2] += n2
+            out[-1][3] += s2
+    return np.array([o[0] for o in out]), np.array([o[2] for o in out]), np.array([o[3] for o in out])
+
+
+def _pool_frame(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Blocks of rows that are sorted by keys and ``lo``."""
+    if pdf.empty:
+        return pdf
+    fresh = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+    at, n, s = _pooled(fresh, pdf["n"].to_numpy(float), pdf["s"].to_numpy(float))
+    return pdf.iloc[at].assign(n=n, s=s)
+
+
+def _range_hulls(blocks: DataFrame, keys: list[str], ranges: int | None) -> DataFrame:
+    """Blocks dealt by ranges of (keys, lo), each range pooled by itself; ``_range`` numbers the ranges."""
+    order = [F.col(k) for k in [*keys, "lo"]]
+    dealt = blocks.repartitionByRange(ranges, *order) if ranges else blocks.repartitionByRange(*order)
+    dealt = dealt.sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+
+    def pool_range(batches):
+        held, rows, limit = [], 0, 200_000
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows > limit:
+                held = [_pool_frame(pd.concat(held), keys)]
+                rows = len(held[0])
+                limit = max(limit, 2 * rows)
+        if held:
+            yield _pool_frame(pd.concat(held), keys)
+
+    return cut_lineage(dealt.mapInPandas(pool_range, dealt.schema))
+
+
+#: Slopes tried at once for a bridge.
+BRIDGE_TRIES = 15
+
+
+def _narrow_bridges(rows: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Edges ``(_a, _b)`` closer to the slope of each pair's bridge.
+
+    At a slope c the excess is the sum of ``s - c n`` over left blocks steeper than c and right blocks flatter
+    than c. It falls with c and is zero at the bridge, so one conditional sum per tried slope tells on which
+    side of it the bridge lies. Slopes are quantiles of those still open; an excess of zero settles the pair.
+    """
+    inside = rows.join(edges, by).filter("_v > _a AND _v < _b")
+    shares = [(k + 1) / (BRIDGE_TRIES + 1) for k in range(BRIDGE_TRIES)]
+    tries = inside.groupBy(*by).agg(F.percentile_approx("_v", shares, 10_000).alias("_c"))
+    asked = rows.join(edges.join(tries, by, "left"), by)
+
+    def over(value: str, k: int) -> Column:
+        c = F.get("_c", F.lit(k))
+        return F.sum(F.when(F.col("_right") == (F.col("_v") < c), F.col(value)))
+
+    sums = [over(v, k).alias(f"{v}{k}") for v in ("n", "s") for k in range(BRIDGE_TRIES)]
+    scored = asked.groupBy(*by).agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.any_value("_c").alias("_c"), *sums)
+    tried = F.array(
+        *[
+            F.struct(
+                F.get("_c", F.lit(k)).alias("c"),
+                (F.col(f"s{k}") - F.get("_c", F.lit(k)) * F.col(f"n{k}")).alias("g"),
+                ((F.abs(f"s{k}") + F.abs(F.get("_c", F.lit(k)) * F.col(f"n{k}"))) * 1e-13).alias("eps"),
+            )
+            for k in range(BRIDGE_TRIES)
+        ]
+    )
+    below = F.array_max(F.transform(F.filter(tried, lambda t: t["g"] > t["eps"]), lambda t: t["c"]))
+    above = F.array_min(F.transform(F.filter(tried, lambda t: t["g"] < -t["eps"]), lambda t: t["c"]))
+    exact = F.array_min(F.transform(F.filter(tried, lambda t: F.abs(t["g"]) <= t["eps"]), lambda t: t["c"]))
+    return cut_lineage(
+        scored.select(
+            *by,
+            F.coalesce(exact, F.greatest("_a", below)).alias("_a"),
+            F.coalesce(exact, F.least("_b", above)).alias("_b"),
+        )
+    )
 
 
-def isotonic_fit(df: DataFrame, keys, p: str = "p", y: str = "y", rows_per_task: int = 50_000) -> DataFrame:
-    """Knots ``(keys, x, fitted)`` of the non-decreasing least-squares map from p to outcome.
+def _merge_hulls(blocks: DataFrame, keys: list[str], level: int, open_rows: int) -> DataFrame:
+    """Hulls of ``2 ** level`` ranges joined with their right neighbours.
 
-    Rows are first reduced to counts per distinct p. When those are many, p is cut at quantiles and
-    each range pooled on its own. Where two neighbouring ranges still violate the order the cut
-    between them is dropped and pooling repeats on the blocks that are left. Pooling does not depend
-    on its order, so the result is exact.
+    The merged hull keeps the left blocks flatter than the bridge, the right blocks steeper than it, and one
+    block for all between. Its slope lies strictly between the first slope on the right and the last on the
+    left; these edges move inwards until a pair has at most ``open_rows`` undecided blocks, and only those
+    meet in a task. Blocks known to lie under the bridge are one sum.
     """
-    keys = as_list(keys)
-    blocks = df.groupBy(*keys, F.col(p).cast("double").alias("lo")).agg(
-        F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")
+    by = [*keys, "_pair"]
+    rows = blocks.withColumns(
+        {
+            "_pair": F.shiftright("_range", level + 1),
+            "_right": F.shiftright("_range", level).bitwiseAND(F.lit(1)) == 1,
+            "_v": F.col("s") / F.col("n"),
+        }
     )
-    blocks = cut_lineage(blocks)
-    parts = max(1, math.ceil(blocks.count() / rows_per_task))
-    use: list[float] = []
-    if parts > 1:
-        use = sorted(set(blocks.approxQuantile("lo", [k / parts for k in range(1, parts)], 0.001)))
-    schema = blocks.select(*keys, "lo", "n", "s").schema
-
-    def pool_group(key, pdf):
-        out = _pool(pdf)
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, "lo", "n", "s"]]
+    edges = rows.groupBy(*by).agg(F.min(F.when(F.col("_right"), F.col("_v"))).alias("_a"),
+                                  F.max(F.when(~F.col("_right"), F.col("_v"))).alias("_b"))
+    edges = cut_lineage(edges.filter("_a < _b"))
+    pairs = edges.count()
+    if not pairs:
+        return blocks
+
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if pairs <= STATS_ROWS else df
 
     while True:
-        bucket = F.size(F.filter(literal_array(use, "double"), lambda c: F.col("lo") >= c)) if use else F.lit(0)
-        pooled = blocks.withColumn("_b", bucket).groupBy(*keys, "_b").applyInPandas(pool_group, schema)
-        blocks = cut_lineage(pooled)
-        if not use:
+        inside = rows.join(hinted(edges), by).filter("_v > _a AND _v < _b")
+        widest = inside.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if widest <= open_rows:
             break
-        ends = blocks.withColumn("_b", bucket).groupBy(*keys, "_b").agg(
-            F.min_by(F.col("s") / F.col("n"), "lo").alias("_first"),
-            F.max_by(F.col("s") / F.col("n"), "lo").alias("_last"),
-        )
-        along = Window.partitionBy(*keys).orderBy("_b")
-        ends = ends.withColumn("_prev", F.lag("_last").over(along)).withColumn("_pb", F.lag("_b").over(along))
-        broken = ends.filter(F.col("_prev") > F.col("_first"))
-        dropped = broken.select(F.explode(F.sequence(F.col("_pb"), F.col("_b") - 1)).alias("cut")).distinct()
-        # At most one row per cut.
-        gone = {row.cut for row in dropped.collect()}
-        if not gone:
-            break
-        use = [c for k, c in enumerate(use) if k not in gone]
+        edges = _narrow_bridges(rows, edges, by)
+    met = rows.join(hinted(edges), by, "left")
+    stays = F.when(F.col("_right"), F.col("_v") >= F.col("_b")).otherwise(F.col("_v") <= F.col("_a"))
+    undecided = (F.col("_v") > F.col("_a")) & (F.col("_v") < F.col("_b"))
+    names = blocks.columns
+    kept = met.filter(F.col("_a").isNull() | stays).select(*names)
+    under = met.filter(~stays & ~undecided).groupBy(*by).agg(
+        F.min("lo").alias("lo"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("_range").alias("_range")
+    )
+    asked = met.filter(undecided).select(*names, "_pair").unionByName(under.select(*names, "_pair"))
+    merged = asked.groupBy(*by).applyInPandas(
+        lambda pdf: _pool_frame(pdf.sort_values("lo"), keys)[names], blocks.schema
+    )
+    return cut_lineage(kept.unionByName(merged))
+
+
+def isotonic_fit(
+    df: DataFrame, keys, p: str = "p", y: str = "y", ranges: int | None = None, open_rows: int = 100_000
+) -> DataFrame:
+    """Knots ``(keys, x, fitted)`` of the non-decreasing least-squares map from p to outcome.
+
+    The fitted values are the slopes of the greatest convex minorant of the cumulative sums along p. Rows
+    are reduced to counts per distinct p and dealt by ranges; each range gives its own hull, and
+    neighbouring hulls are merged in rounds, all keys and pairs of a round at once. Nothing of it passes the
+    driver but two counts a round, and no task holds more than a range or ``open_rows`` blocks. Blocks with
+    equal means stay apart. Rows without p or y take no part; keys are not NULL; no rows give no knots.
+    """
+    keys = as_list(keys)
+    ship_package(df.sparkSession)
+    blocks = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("lo")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")
+    )
+    blocks = _range_hulls(blocks, keys, ranges)
+    last = blocks.agg(F.max("_range")).first()[0] or 0
+    level = 0
+    while last >> level:
+        blocks = _merge_hulls(blocks, keys, level, open_rows)
+        level += 1
     return blocks.select(*keys, F.col("lo").alias("x"), (F.col("s") / F.col("n")).alias("fitted"))
 
 

@@ -95,15 +95,46 @@ def test_nearest_distance_matches_brute_force(spark):
         assert (want is None and math.isnan(r.distance)) or r.distance == pytest.approx(want)
 
 
-def test_isotonic_matches_pooling_over_many_ranges(spark):
+def plain_pooling(p, y):
+    """Pooling of adjacent violators in plain Python: first p and mean of each block."""
+    out = []
+    for x in sorted(set(p)):
+        at = [v for q, v in zip(p, y) if q == x]
+        out.append([x, len(at), sum(at)])
+        while len(out) > 1 and out[-2][2] * out[-1][1] > out[-1][2] * out[-2][1]:
+            _, n, s = out.pop()
+            out[-1][1] += n
+            out[-1][2] += s
+    return [(x, s / n) for x, n, s in out]
+
+
+@pytest.mark.parametrize("ranges,open_rows", [(None, 100_000), (2, 4), (13, 1), (32, 0)])
+def test_isotonic_matches_plain_pooling(spark, ranges, open_rows):
     rng = np.random.default_rng(3)
     p = rng.random(600)
-    y = (rng.random(600) < p * 0.6 + 0.2 * np.sin(p * 9) ** 2).astype(int)
-    df = spark.createDataFrame(pd.DataFrame({"k": 0, "p": p, "y": y}))
-    a = calibrate.isotonic_fit(df, "k").toPandas().sort_values("x")
-    b = calibrate.isotonic_fit(df, "k", rows_per_task=200).toPandas().sort_values("x")
-    assert np.allclose(a.x, b.x) and np.allclose(a.fitted, b.fitted)
-    assert (np.diff(a.fitted) >= -1e-12).all()
+    wavy = (rng.random(600) < p * 0.6 + 0.2 * np.sin(p * 9) ** 2).astype(int)
+    shapes = {
+        0: (p, wavy),
+        1: (p, rng.permutation(wavy)),
+        2: (p, (p * 5).astype(int)),  # already in order, many ties
+        3: (p, 5 - (p * 5).astype(int)),  # falling: one block
+        4: (np.arange(40) / 40, np.tile([1, 0], 20)),  # equal means
+        5: (np.arange(40) / 40, np.tile([0, 1, 2, 0], 10)),
+        6: (np.array([0.5]), np.array([1])),
+    }
+    pdf = pd.concat([pd.DataFrame({"k": k, "p": a, "y": b}) for k, (a, b) in shapes.items()])
+    got = calibrate.isotonic_fit(spark.createDataFrame(pdf), "k", ranges=ranges, open_rows=open_rows).toPandas()
+    for k, (a, b) in shapes.items():
+        mine = got[got.k == k].sort_values("x")
+        want = plain_pooling(a.tolist(), b.tolist())
+        assert mine.x.tolist() == [x for x, _ in want], k
+        assert mine.fitted.tolist() == pytest.approx([f for _, f in want])
+
+
+def test_isotonic_without_rows_or_values(spark):
+    rows = spark.createDataFrame([(0, None, 1), (0, 0.5, None), (1, 0.25, 1)], "k int, p double, y int")
+    assert [tuple(r) for r in calibrate.isotonic_fit(rows, "k").collect()] == [(1, 0.25, 1.0)]
+    assert calibrate.isotonic_fit(rows.limit(0), "k").isEmpty()
 
 
 def plain_filter(prior, table, u):
