@@ -228,6 +228,68 @@ def calibrate_tilt(observed: DataFrame, angles: DataFrame, cameras: DataFrame, l
     )
 
 
+def horizon_profile(
+    cameras: DataFrame, dem: DataFrame, site: DataFrame, step_m: float, range_m: float, margin_deg: float = 6.0, az_step: float = 0.25
+) -> DataFrame:
+    """Terrain horizon round each camera's view: ``(camera_id, slot, horizon_deg, next_deg)``.
+
+    Slot k looks ``az_step * (k - half)`` degrees beside the reported pan, over the field of view and
+    ``margin_deg`` on both sides. It is marched once; every column under every pan offset is read from it.
+    """
+    half = F.ceil((F.col("fov_deg") / 2.0 + margin_deg) / az_step).cast("int") + 1
+    rays = cameras.withColumn("_half", half).withColumn("slot", F.explode(F.sequence(-F.col("_half"), F.col("_half"))))
+    az = F.radians(F.col("pan_deg") + F.col("slot") * az_step)
+    rays = rays.select("camera_id", "slot", "fire_id", "lon", "lat", "elev_m",
+                       F.sin(az).alias("e"), F.cos(az).alias("n"), F.lit(0.0).alias("u"))
+    seen = march(rays, dem, site, ["camera_id", "slot"], step_m, range_m, with_end=False).filter("k > 0")
+    el = F.degrees(F.atan2(F.col("terrain_m") - F.col("elev_m"), F.col("t")))
+    angles = seen.groupBy("camera_id", "slot").agg(F.max(el).alias("horizon_deg"))
+    beside = F.lead("horizon_deg").over(Window.partitionBy("camera_id").orderBy("slot"))
+    return angles.withColumn("next_deg", beside)
+
+
+def _grid(lo: float, hi: float, step: float) -> Column:
+    """Searched values from ``lo`` to ``hi``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(int((hi - lo) / step + 1e-6))), lambda k: k * step + lo)
+
+
+def calibrate_pose(
+    observed: DataFrame, profile: DataFrame, cameras: DataFrame, tilts=(-15.0, 15.0, 0.25), pans=(-6.0, 6.0, 1.0), az_step: float = 0.25
+) -> DataFrame:
+    """Tilt and pan offset with the least RMS between observed skyline and horizon profile.
+
+    ``observed(camera_id, px, row)``; rows that are NULL do not count. Ties (to nine digits) go to the
+    smaller pan offset, then to the smaller tilt. Every camera gets a row; with fewer than three columns it
+    keeps its own tilt, offset 0, no RMS and 0 columns. ``profile`` must reach as far as ``pans``.
+    """
+    cams = cameras.select("camera_id", "image_width", "image_height", "fov_deg")
+    rows = observed.filter(F.col("row").isNotNull()).join(cams, "camera_id")
+    beside = F.degrees(F.atan2(F.col("px") - F.col("image_width") / 2.0, focal_px(F.col("image_width"), F.col("fov_deg"))))
+    rows = rows.withColumn("pan_offset_deg", F.explode(_grid(*pans)))
+    rows = rows.withColumn("_at", (beside + F.col("pan_offset_deg")) / az_step)
+    rows = rows.withColumn("slot", F.floor("_at").cast("int")).join(profile, ["camera_id", "slot"])
+    share = F.col("_at") - F.col("slot")
+    horizon = F.col("horizon_deg") + F.when(share > 0, share * (F.col("next_deg") - F.col("horizon_deg"))).otherwise(0.0)
+    rows = rows.withColumn("_h", horizon).withColumn("_tilt", F.explode(_grid(*tilts)))
+    err = skyline_row(F.col("_tilt"), F.col("_h")) - F.col("row")
+    rms = rows.groupBy("camera_id", "pan_offset_deg", "_tilt").agg(F.sqrt(F.avg(err * err)).alias("rms"), F.count("*").alias("n"))
+    best = rms.filter("n >= 3").groupBy("camera_id").agg(
+        F.min(F.struct(F.round("rms", 9).alias("rms"), "pan_offset_deg", "_tilt", "n")).alias("_b")
+    )
+    return cameras.select("camera_id", "tilt_deg").join(best, "camera_id", "left").select(
+        "camera_id", F.coalesce("_b._tilt", "tilt_deg").alias("tilt_deg"),
+        F.coalesce("_b.pan_offset_deg", F.lit(0.0)).alias("pan_offset_deg"), F.col("_b.rms").alias("rms_row_error"),
+        F.coalesce("_b.n", F.lit(0)).cast("long").alias("n_columns"),
+    )
+
+
+def apply_pose(cameras: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Cameras with the calibrated tilt and the pan moved by its offset, where a calibration was found."""
+    moved = calibration.filter("n_columns > 0").select("camera_id", F.col("pan_offset_deg").alias("_off"))
+    out = apply_tilt(cameras, calibration).join(moved, "camera_id", "left")
+    return out.withColumn("pan_deg", F.col("pan_deg") + F.coalesce("_off", F.lit(0.0))).drop("_off")
+
+
 def apply_tilt(cameras: DataFrame, calibration: DataFrame) -> DataFrame:
     """Cameras with the calibrated tilt where one was found; its error is then at most one degree."""
     c = calibration.filter("n_columns > 0").select("camera_id", F.col("tilt_deg").alias("_t"))

@@ -187,3 +187,43 @@ def k9_tilt(x):
     )
     out = camera.calibrate_tilt(seen, angles, x.camera)
     return out.withColumn("rms_row_error", rounded("rms_row_error"))
+
+
+COLUMNS = list(range(0, 64, 3))
+SEEN = [c for c in COLUMNS if c % 7 != 3]
+_turned = _flat.replace("pan_deg", "(pan_deg + 2.0)")
+_off = f"degrees(atan2(px - image_width / 2.0, {_f}))"
+
+
+@query(
+    "K9_calibrate_pose",
+    f"""WITH ray AS (SELECT camera_id, px, fire_id, lon, lat, elev_m, sin({_turned}) AS e, cos({_turned}) AS n, 0.0::DOUBLE AS u
+                FROM camera, (SELECT unnest({SEEN}) AS px) p),
+        {march_sql('ray', 'camera_id, px', 2000.0, 14)},
+        ob AS (SELECT q.camera_id, px, image_height / 2.0 + {_f} * tan(radians(tilt_deg + 1.5 - h)) AS row
+               FROM (SELECT camera_id, px, MAX(degrees(atan2(terrain - elev_m, t))) AS h FROM mt WHERE k > 0 GROUP BY camera_id, px) q
+               JOIN camera c ON c.camera_id = q.camera_id),
+        pray AS (SELECT camera_id, slot, fire_id, lon, lat, elev_m, sin(radians(pan_deg + slot * 0.25::DOUBLE)) AS e,
+                   cos(radians(pan_deg + slot * 0.25::DOUBLE)) AS n, 0.0::DOUBLE AS u FROM camera,
+                   range(-CAST(ceil(360.0 / 0.25) AS BIGINT), CAST(ceil(360.0 / 0.25) AS BIGINT)) g(slot) WHERE abs(slot) <= ceil((fov_deg / 2.0 + 6) / 0.25) + 1),
+        {march_sql('pray', 'camera_id, slot', 2000.0, 14).replace('m0', 'w0').replace('m1', 'w1').replace('m2', 'w2').replace('mw', 'ww').replace('ms', 'ws').replace('mt', 'wt_')},
+        pf AS (SELECT camera_id, slot, MAX(degrees(atan2(terrain - elev_m, t))) AS h FROM wt_ WHERE k > 0 GROUP BY camera_id, slot),
+        asked AS (SELECT ob.camera_id, px, row, image_width, image_height, fov_deg, pan::DOUBLE AS pan, ({_off} + pan) / 0.25 AS pos
+                  FROM ob JOIN camera c ON c.camera_id = ob.camera_id, range(-6, 7) g(pan)),
+        hz AS (SELECT asked.*, a.h + (pos - floor(pos)) * (b.h - a.h) AS h FROM asked
+               JOIN pf a ON a.camera_id = asked.camera_id AND a.slot = CAST(floor(pos) AS BIGINT)
+               JOIN pf b ON b.camera_id = asked.camera_id AND b.slot = CAST(floor(pos) AS BIGINT) + 1),
+        er AS (SELECT camera_id, pan, tl * 0.25::DOUBLE - 15.0 AS tilt, round(sqrt(AVG(power(image_height / 2.0 + {_f} * tan(radians(tl * 0.25::DOUBLE - 15.0 - h)) - row, 2))), 9) AS rms,
+                 COUNT(*) AS n FROM hz, range(0, 121) g(tl) GROUP BY camera_id, pan, tl)
+        SELECT camera_id, tilt::DOUBLE AS tilt_deg, pan AS pan_offset_deg, {r('rms')} AS rms_row_error, n AS n_columns
+        FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY rms, pan, tilt) AS rn FROM er) q WHERE rn = 1""",
+)
+def k9_pose(x):
+    """Skylines marched with pan 2 and tilt 1.5 degrees off the reported pose; some columns are not seen."""
+    cols = x.camera.withColumn("px", F.explode(F.array(*[F.lit(c) for c in COLUMNS])))
+    true = camera.horizon_angles(cols.withColumn("pan_deg", F.col("pan_deg") + 2.0), x.grid_cell, x.site, 2000.0, 30000.0)
+    row = F.when(F.col("px") % 7 != 3, camera.skyline_row(F.col("tilt_deg") + 1.5, F.col("horizon_deg")))
+    seen = true.join(x.camera, "camera_id").select("camera_id", "px", row.alias("row"))
+    profile = camera.horizon_profile(x.camera, x.grid_cell, x.site, 2000.0, 30000.0)
+    out = camera.calibrate_pose(seen, profile, x.camera)
+    return out.withColumn("rms_row_error", rounded("rms_row_error"))

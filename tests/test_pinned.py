@@ -325,3 +325,39 @@ def test_questions_meet_their_answers(spark):
     assert got[5, 1] == ("status", "Ridge: active", ["1"])
     assert got[6, 1] == ("help", query_text.HELP, []) == got[8, 2]
     assert got[7, 2] == ("status", None, []) and got[8, None] == ("staging", None, [])
+
+
+def test_skyline_seen_with_two_errors_is_recovered(spark):
+    """Terrain is a smooth ring of hills, known in closed form; the observed skyline is computed from that alone."""
+    ny = nx = 121
+    cell, far = 250.0, 12_000.0
+
+    def height(east, north):
+        az = math.degrees(math.atan2(east, north))
+        crest = 300 + 150 * math.sin(math.radians(az * 5)) + 90 * math.sin(math.radians(az * 11 + 40))
+        return crest * math.exp(-(((math.hypot(east, north) - 7000) / 2000) ** 2))
+
+    cells = [(0, i, j, height((j - 60) * cell, (i - 60) * cell)) for i in range(ny) for j in range(nx)]
+    dem = spark.createDataFrame(cells, "fire_id int, i int, j int, elevation double")
+    site = spark.createDataFrame([(0, -122.0, 38.0, cell, nx, ny)], "fire_id int, center_lon double, center_lat double, cell_m double, nx int, ny int")
+    cams = spark.createDataFrame(
+        [(k, 0, -122.0, 38.0, 50.0, 20.0 * k, 0.0, 60.0, 640, 480, 4.0) for k in range(3)],
+        "camera_id int, fire_id int, lon double, lat double, elev_m double, pan_deg double, tilt_deg double, fov_deg double, "
+        "image_width int, image_height int, tilt_uncertainty_deg double",
+    )
+    f = 320 / math.tan(math.radians(30))
+    rows = []
+    for k, (pan, tilt) in enumerate([(3.0, -2.25), (-4.0, 1.5)]):
+        for px in range(0, 640, 20):
+            az = math.radians(20.0 * k + pan + math.degrees(math.atan2(px - 320, f)))
+            top = max(math.degrees(math.atan2(height(d * math.sin(az), d * math.cos(az)) - 50, d)) for d in np.arange(50, far, 50.0))
+            rows.append((k, px, 240 + f * math.tan(math.radians(tilt - top))))
+    rows += [(2, 0, 100.0), (2, 20, 100.0), (2, 40, None)]
+    observed = spark.createDataFrame(rows, "camera_id int, px int, row double")
+    profile = camera.horizon_profile(cams, dem, site, 100.0, far)
+    found = camera.calibrate_pose(observed, profile, cams)
+    got = {r.camera_id: r for r in found.collect()}
+    assert [(got[k].pan_offset_deg, got[k].tilt_deg, got[k].n_columns) for k in range(3)] == [(3.0, -2.25, 32), (-4.0, 1.5, 32), (0.0, 0.0, 0)]
+    assert got[0].rms_row_error < 6 and got[2].rms_row_error is None
+    moved = {r.camera_id: (r.pan_deg, r.tilt_deg, r.tilt_uncertainty_deg) for r in camera.apply_pose(cams, found).collect()}
+    assert moved == {0: (3.0, -2.25, 1.0), 1: (16.0, 1.5, 1.0), 2: (40.0, 0.0, 4.0)}
