@@ -6,6 +6,8 @@ and y north, in closed form.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,6 +208,36 @@ def ring_centroid(ring) -> Column:
     return let(origin, lambda o: let(let(relative(o), lambda v: moments(v)), lambda m: centre(o, m)))
 
 
+def grow_ring(ring, dist, x="x", y="y", quad_steps: int = 16) -> Column:
+    """Ring round all points within ``dist`` of a convex counter-clockwise ring, corners rounded by arcs.
+
+    A quarter turn has ``quad_steps`` chords, whose ends lie on the true outline. One point grows to a disc,
+    two to a capsule; an empty or NULL ring stays as it is. ``dist`` is in the ring's own units.
+    """
+    ring, dist = _col(ring), _lit(dist)
+    n = F.size(ring)
+    before = F.concat(F.slice(ring, n, F.lit(1)), F.slice(ring, F.lit(1), n - 1))
+    after = F.concat(F.slice(ring, F.lit(2), n), F.slice(ring, F.lit(1), F.lit(1)))
+    corners = F.arrays_zip(before.alias("a"), ring.alias("p"), after.alias("b"))
+
+    def normal(u, v):
+        """Angle of the outward normal of a side."""
+        return F.atan2(u[x] - v[x], v[y] - u[y])
+
+    def arc(c):
+        turn = F.pmod(normal(c["p"], c["b"]) - normal(c["a"], c["p"]), F.lit(2 * math.pi))
+        turn = F.when(n == 1, F.lit(2 * math.pi)).when(turn > 2 * math.pi - 1e-6, F.lit(0.0)).otherwise(turn)
+        parts = F.greatest(F.ceil(turn * (2 * quad_steps / math.pi) - 1e-9), F.lit(1)).cast("int")
+        spec = F.struct(c["p"].alias("p"), normal(c["a"], c["p"]).alias("start"), turn.alias("turn"), parts.alias("parts"))
+        return let(spec, lambda w: F.transform(F.sequence(F.lit(0), w["parts"]), lambda k: at(w, k)))
+
+    def at(w, k):
+        angle = w["start"] + w["turn"] * k / w["parts"]
+        return F.struct((w["p"][x] + dist * F.cos(angle)).alias(x), (w["p"][y] + dist * F.sin(angle)).alias(y))
+
+    return F.when(n > 0, F.flatten(F.transform(corners, arc))).otherwise(ring)
+
+
 def polygon_area_m2(ring, lon0=None, lat0=None) -> Column:
     """Area of a lon/lat ring in square metres, in the local frame at its centroid by default."""
     ring = _col(ring)

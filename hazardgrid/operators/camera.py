@@ -11,6 +11,7 @@ from hazardgrid.functions import geo
 from hazardgrid.functions.draws import hash_normal
 from hazardgrid.operators import spatial
 from hazardgrid.operators.common import as_list
+from hazardgrid.session import cut_lineage
 
 
 def focal_px(width: Column, fov_deg: Column) -> Column:
@@ -148,35 +149,88 @@ def base_pixels(pixels: DataFrame, frame="frame_id") -> DataFrame:
     return pixels.groupBy(*as_list(frame), "camera_id", "px").agg(F.max("py").alias("py"))
 
 
-def pose_cloud(
+#: Errors of a camera that states none, in degrees and metres.
+POSE_ERRORS = {"pan_uncertainty_deg": 3.0, "tilt_uncertainty_deg": 3.0, "pose_uncertainty_m": 25.0}
+#: Metres per degree by which a region grows, on both axes.
+DEGREE_M = 111_320.0
+
+
+def with_pose_errors(cameras: DataFrame) -> DataFrame:
+    """Cameras with their three errors; columns that are missing or NULL take ``POSE_ERRORS``."""
+    held = {c: F.coalesce(F.col(c).cast("double"), F.lit(v)) if c in cameras.columns else F.lit(v) for c, v in POSE_ERRORS.items()}
+    return cameras.withColumns(held)
+
+
+def sampled_hits(
     base: DataFrame, cameras: DataFrame, dem: DataFrame, site: DataFrame, n_samples: int, step_m: float, range_m: float,
-    pan_sd: float = 3.0, tilt_sd: float = 3.0, row_sd: float = 4.0, seed: int = 3, buffer_m: float = 0.0,
+    row_sd: float = 4.0, seed: int = 3,
 ) -> DataFrame:
-    """Hull and size of the ground points seen under sampled poses, per frame, from all its columns.
+    """Ground points ``(frame_id, sample, px, lon, lat)`` seen from sampled poses; sample -1 is the reported pose.
 
-    Draws hash (frame, sample), so a sample shares one pose over its columns. Pose errors come from the
-    camera's ``pan_sd`` and ``tilt_sd`` where it has them. The size is that of the hull grown by
-    ``buffer_m`` on all sides; frames without hits keep their row with the default size.
+    Draws hash (frame, sample), so a sample shares one pose over its columns. All poses are marched together
+    and the points are written once.
     """
-    for c, v in (("pan_sd", pan_sd), ("tilt_sd", tilt_sd)):
-        cameras = cameras if c in cameras.columns else cameras.withColumn(c, F.lit(float(v)))
-    rows = base.join(cameras, "camera_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    rows = base.join(with_pose_errors(cameras), "camera_id")
+    rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(-1), F.lit(n_samples - 1))))
     pose = ("frame_id", "sample")
-    rows = rows.withColumn("pan_deg", F.col("pan_deg") + hash_normal(seed, *pose, F.lit("pan")) * F.col("pan_sd"))
-    rows = rows.withColumn("tilt_deg", F.col("tilt_deg") + hash_normal(seed, *pose, F.lit("tilt")) * F.col("tilt_sd"))
-    rows = rows.withColumn("py", F.col("py") + hash_normal(seed, *pose, "px", F.lit("row")) * row_sd)
+
+    def drawn(at: str, sd, *key) -> Column:
+        return F.col(at) + F.when(F.col("sample") >= 0, hash_normal(seed, *key) * sd).otherwise(F.lit(0.0))
+
+    rows = rows.withColumn("pan_deg", drawn("pan_deg", F.col("pan_uncertainty_deg"), *pose, F.lit("pan")))
+    rows = rows.withColumn("tilt_deg", drawn("tilt_deg", F.col("tilt_uncertainty_deg"), *pose, F.lit("tilt")))
+    rows = rows.withColumn("py", drawn("py", row_sd, *pose, "px", F.lit("row")))
     rays = rows.withColumn("_r", ray_direction(F.col("px"), F.col("py"))).select(
         "frame_id", "sample", "px", "fire_id", "lon", "lat", "elev_m", "_r.*"
     )
     hits = first_crossing(rays, dem, site, ["frame_id", "sample", "px"], step_m, range_m)
-    cloud = hits.select("frame_id", F.col("hit_lon").alias("lon"), F.col("hit_lat").alias("lat"))
-    hulls = spatial.convex_hulls(cloud, "frame_id")
-    size = F.sqrt(F.greatest(geo.polygon_area_m2("ring"), F.lit(1.0))) + 2.0 * buffer_m
-    counts = cloud.groupBy("frame_id").agg(F.count("*").alias("n_hits"))
-    every = base.select("frame_id").distinct().join(counts, "frame_id", "left").join(hulls, "frame_id", "left")
+    return cut_lineage(hits.select("frame_id", "sample", "px", F.col("hit_lon").alias("lon"), F.col("hit_lat").alias("lat")))
+
+
+def pose_cloud(
+    base: DataFrame, cameras: DataFrame, dem: DataFrame, site: DataFrame, n_samples: int, step_m: float, range_m: float,
+    row_sd: float = 4.0, seed: int = 3,
+) -> DataFrame:
+    """Front points and uncertainty region per frame, from all its columns.
+
+    The region is the hull of the sampled ground points grown by the camera's own position error (the same
+    number of degrees on both axes), ``char_m`` the root of its area. With fewer than three sampled points
+    there is no region and ``char_m`` is the position error. ``front_points`` are those of the reported pose,
+    by column. Frames without any point keep their row.
+    """
+    hits = sampled_hits(base, cameras, dem, site, n_samples, step_m, range_m, row_sd, seed)
+    cloud = hits.filter("sample >= 0").select("frame_id", "lon", "lat")
+    counts = hits.groupBy("frame_id").agg(
+        F.count_if(F.col("sample") >= 0).alias("n_hits"),
+        # At most one point a column of the picture.
+        F.array_sort(F.collect_list(F.when(F.col("sample") < 0, F.struct("px", "lon", "lat")))).alias("front_points"),
+    )
+    every = base.select("frame_id", "camera_id").distinct().join(
+        with_pose_errors(cameras).select("camera_id", "fire_id", "pose_uncertainty_m"), "camera_id"
+    )
+    every = every.join(counts, "frame_id", "left").join(spatial.convex_hulls(cloud, "frame_id"), "frame_id", "left")
+    grown = geo.grow_ring("ring", F.col("pose_uncertainty_m") / DEGREE_M, "lon", "lat")
+    every = every.withColumn("region", F.when(F.col("n_hits") >= 3, grown))
+    size = F.sqrt(F.greatest(geo.polygon_area_m2("region"), F.lit(1.0)))
     return every.select(
-        "frame_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), "ring",
-        F.when((F.col("n_hits") >= 3) & (F.size("ring") >= 3), size).otherwise(F.lit(25.0)).alias("char_m"),
+        "frame_id", "camera_id", "fire_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), "region",
+        F.when(F.col("region").isNotNull(), size).otherwise(F.col("pose_uncertainty_m")).alias("char_m"),
+        "front_points", F.coalesce(F.size("front_points"), F.lit(0)).cast("long").alias("n_points"),
+    )
+
+
+def camera_fronts(cloud: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frames' fronts as observations that ``normalise_reports`` takes.
+
+    ``frames(frame_id, t)``. The geometry is the region, else the line through two or more front points, else
+    none; a frame that sees no ground gives no row. The report's own error is ``char_m``.
+    """
+    line = F.transform("front_points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    kind = F.when(F.col("region").isNotNull(), "Polygon").when(F.col("n_points") >= 2, "LineString")
+    return cloud.filter("n_points > 0 OR region IS NOT NULL").join(frames, "frame_id").select(
+        "fire_id", "frame_id", "camera_id", "t", F.lit("camera_front").alias("kind"), kind.alias("geometry_type"),
+        F.when(F.col("region").isNotNull(), F.col("region")).when(F.col("n_points") >= 2, line).alias("ring"),
+        "front_points", "n_points", F.col("char_m").alias("own_sigma_m"), F.col("char_m").alias("source_sigma_m"),
     )
 
 

@@ -92,6 +92,21 @@ def polygon_cells(shapes: DataFrame, ring: str, keys) -> DataFrame:
     )
 
 
+def lonlat_ring_cells(shapes: DataFrame, site: DataFrame, ring: str, keys) -> DataFrame:
+    """``polygon_cells`` of lon/lat rings; ``keys`` include ``fire_id`` and spread one event over tasks."""
+    keys = as_list(keys)
+
+    def in_cells(p):
+        return F.struct(
+            (p["x"] / F.col("cell_m") + (F.col("nx") - 1) / 2.0).alias("x"),
+            (p["y"] / F.col("cell_m") + (F.col("ny") - 1) / 2.0).alias("y"),
+        )
+
+    at = attach_site(shapes.select(*keys, ring), site, keys)
+    local = F.transform(F.col(ring), lambda p: geo.to_local(p["lon"], p["lat"], F.col("center_lon"), F.col("center_lat")))
+    return polygon_cells(at.withColumn(ring, F.transform(local, in_cells)), ring, keys)
+
+
 def segment_cells(segments: DataFrame, keys, width: float = 1.0) -> DataFrame:
     """Cells whose centre is within ``width`` cells of a segment ``(i0, j0)-(i1, j1)``.
 

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from hazardgrid.operators import camera
+from hazardgrid.operators import assimilate, camera, spatial
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans import frag
 from hazardgrid.plans.registry import query, r
+from hazardgrid.session import cut_lineage
 
 STEP, RANGE = 1000.0, 25000.0
 _tilt = """CASE WHEN n < 5 THEN 0.0 ELSE ((degrees(atan2(CASE WHEN abs(b) > 1e-12 THEN b WHEN a >= c THEN 1.0 ELSE 0.0 END,
@@ -140,10 +141,54 @@ def k7(x):
     return _base(x).select("frame_id", "px", "py")
 
 
+def _cloud(x):
+    return camera.pose_cloud(_base(x), x.camera, x.grid_cell, x.site, 12, STEP, RANGE)
+
+
 @query("K8_pose_cloud")
 def k8(x):
-    out = camera.pose_cloud(_base(x), x.camera, x.grid_cell, x.site, 12, STEP, RANGE)
-    return out.select("frame_id", "n_hits", rounded("char_m", 1).alias("char_m"))
+    return _cloud(x).select("frame_id", "n_hits", rounded("char_m", 1).alias("char_m"))
+
+
+@query(
+    "K8_front_points",
+    f"""WITH low AS (SELECT frame_id, camera_id, px, MAX(py) AS py FROM mask_pixel GROUP BY frame_id, camera_id, px),
+        ray AS (SELECT frame_id, px, fire_id, lon, lat, elev_m, sin({_az}) * cos({_el}) AS e, cos({_az}) * cos({_el}) AS n, sin({_el}) AS u
+                FROM low JOIN camera c ON c.camera_id = low.camera_id),
+        {march_sql('ray', 'frame_id, px', STEP, int(RANGE // STEP))},
+        pv AS (SELECT *, elev_m + u * t - terrain AS d, lag(elev_m + u * t - terrain) OVER (PARTITION BY frame_id, px ORDER BY k) AS prev FROM mt),
+        hit AS (SELECT DISTINCT frame_id, px FROM pv WHERE d <= 0 AND prev > 0)
+        SELECT f.frame_id, f.camera_id, COUNT(hit.px) AS n_points
+        FROM (SELECT DISTINCT low.frame_id, low.camera_id, low.px FROM low JOIN camera c ON c.camera_id = low.camera_id) f
+        LEFT JOIN hit ON hit.frame_id = f.frame_id AND hit.px = f.px GROUP BY f.frame_id, f.camera_id""",
+)
+def k8_points(x):
+    """Columns of each frame whose base pixel meets the ground under the reported pose."""
+    return _cloud(x).select("frame_id", "camera_id", "n_points")
+
+
+def _fronts(x):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    later = F.make_dt_interval(mins=(F.col("frame_id") % 37 * 10).cast("int"))
+    frames = x.mask_pixel.select("frame_id").distinct().withColumn("t", start + later)
+    starts = x.site.select("fire_id", start.alias("ignition_t"))
+    return assimilate.normalise_reports(camera.camera_fronts(_cloud(x), frames), starts, 2000.0)
+
+
+@query("K8_camera_front")
+def k8_front(x):
+    """Every frame as a ``camera_front`` report."""
+    out = _fronts(x).select("fire_id", "frame_id", "minutes", "geometry_type", "n_points", "is_area", rounded("sigma_m", 1).alias("sigma_m"))
+    return out
+
+
+@query("K8_front_loglik")
+def k8_loglik(x):
+    """Log-likelihood of the members under the regions that the cameras saw, per instant."""
+    fronts = cut_lineage(_fronts(x).filter("is_area").select("fire_id", "frame_id", "minutes", "sigma_m", "ring"))
+    cells = spatial.lonlat_ring_cells(fronts, x.site, "ring", ["fire_id", "frame_id", "minutes"])
+    miss = assimilate.area_mismatch(cells, fronts.drop("ring"), x.member_arrival, x.member, 2000.0, "frame_id")
+    return assimilate.batch_loglik(miss).withColumn("loglik", rounded("loglik", 4))
 
 
 GRAY = """SELECT frame_id AS camera_id, px, py, CAST((px * 7 + py * py * 3 + frame_id) % 251 AS DOUBLE) AS v FROM {mask_pixel}"""

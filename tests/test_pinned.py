@@ -361,3 +361,54 @@ def test_skyline_seen_with_two_errors_is_recovered(spark):
     assert got[0].rms_row_error < 6 and got[2].rms_row_error is None
     moved = {r.camera_id: (r.pan_deg, r.tilt_deg, r.tilt_uncertainty_deg) for r in camera.apply_pose(cams, found).collect()}
     assert moved == {0: (3.0, -2.25, 1.0), 1: (16.0, 1.5, 1.0), 2: (40.0, 0.0, 4.0)}
+
+
+def test_grown_rings_have_exact_areas(spark):
+    rings = {"point": [(3.0, 4.0)], "pair": [(0.0, 0.0), (6.0, 8.0)], "square": [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0)],
+             "triangle": [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)]}
+    flat = {"point": (0, 0), "pair": (0, 20), "square": (25, 20), "triangle": (6, 12)}
+    df = spark.createDataFrame([(k, v) for k, v in rings.items()], "k string, ring array<struct<x:double,y:double>>")
+    grown = df.withColumn("g", geo.grow_ring("ring", 2.0))
+    got = {r.k: r for r in grown.select("k", "g", geo.ring_area("g").alias("area")).collect()}
+    disc = 32 * math.sin(math.pi / 32) * 4  # 64 chords of radius 2
+    for k, (area, around) in flat.items():
+        # A corner whose turn is no multiple of the chord angle has slightly shorter chords.
+        assert got[k].area == pytest.approx(area + around * 2.0 + disc, rel=2e-4), k
+        for p in got[k].g:
+            far = min(math.hypot(p.x - a, p.y - b) for a, b in rings[k])
+            assert far == pytest.approx(2.0)
+    assert one(df.limit(1).select(geo.grow_ring(F.lit(None).cast("array<struct<x:double,y:double>>"), 1.0).alias("g"))).g is None
+
+
+def test_camera_front_is_an_observation_that_moves_the_weights(spark):
+    """Flat ground 200 m below a camera looking north: one member burned where it looks, one in the south."""
+    n, cell = 81, 100.0
+    dem = spark.createDataFrame([(0, i, j, 0.0) for i in range(n) for j in range(n)], "fire_id int, i int, j int, elevation double")
+    site = spark.createDataFrame([(0, -122.0, 38.0, cell, n, n)], "fire_id int, center_lon double, center_lat double, cell_m double, nx int, ny int")
+    cams = spark.createDataFrame(
+        [(c, 0, -122.0, 38.0, 200.0, 0.0, tilt, 40.0, 64, 48, 0.5, 0.5, e) for c, tilt, e in ((0, -6.0, 100.0), (1, -6.0, 0.0), (2, 40.0, 70.0))],
+        "camera_id int, fire_id int, lon double, lat double, elev_m double, pan_deg double, tilt_deg double, fov_deg double, "
+        "image_width int, image_height int, pan_uncertainty_deg double, tilt_uncertainty_deg double, pose_uncertainty_m double",
+    )
+    base = spark.createDataFrame([(c * 10, c, px, 24) for c in range(3) for px in range(16, 49, 4)], "frame_id int, camera_id int, px int, py int")
+    cloud = {r.camera_id: r for r in camera.pose_cloud(base, cams, dem, site, 40, 50.0, 6000.0).collect()}
+    assert [cloud[c].n_points for c in range(3)] == [9, 9, 0] and cloud[2].region is None and cloud[2].char_m == 70.0
+    ahead = cloud[0].front_points[4]
+    assert ahead.px == 32 and ahead.lon == pytest.approx(-122.0) and (ahead.lat - 38.0) * 111_195 == pytest.approx(200 / math.tan(math.radians(6)), rel=2e-3)
+    assert cloud[1].char_m < cloud[0].char_m < cloud[1].char_m + 400  # each frame has its own draws
+    frames = spark.createDataFrame([(c * 10, "2024-01-01 01:00:00") for c in range(3)], "frame_id int, t string")
+    frames = frames.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    fronts = camera.camera_fronts(camera.pose_cloud(base, cams, dem, site, 40, 50.0, 6000.0), frames)
+    starts = spark.createDataFrame([(0, "2024-01-01 00:00:00")], "fire_id int, ignition_t string").withColumn("ignition_t", F.col("ignition_t").cast("timestamp_ntz"))
+    reports = assimilate.normalise_reports(fronts, starts, cell)
+    assert {(r.frame_id, r.minutes, r.geometry_type, r.is_area) for r in reports.collect()} == {(0, 60.0, "Polygon", True), (10, 60.0, "Polygon", True)}
+    cells = spatial.lonlat_ring_cells(reports, site, "ring", ["fire_id", "frame_id", "minutes"])
+    seen = {(r.i, r.j) for r in cells.filter("frame_id = 0").collect()}
+    assert (59, 40) in seen and all(i > 45 for i, _ in seen)
+    arrivals = spark.createDataFrame([(0, 0, i, j, 10.0) for i, j in seen] + [(0, 1, 80 - i, j, 10.0) for i, j in seen],
+                                     "fire_id int, member_id int, i int, j int, arrival_min double")
+    members = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0)], "fire_id int, member_id int, weight double")
+    miss = assimilate.area_mismatch(cells, reports.select("fire_id", "frame_id", "minutes", "sigma_m"), arrivals, members, cell, "frame_id")
+    logw = assimilate.batch_loglik(miss).withColumn("logw", F.col("loglik"))
+    w = {r.member_id: r.w for r in assimilate.normalise_log_weights(logw, ["fire_id", "minutes"]).collect()}
+    assert w[0] > 0.9 and w[0] + w[1] == pytest.approx(1.0)
