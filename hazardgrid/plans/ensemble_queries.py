@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from hazardgrid import constants as K
 from hazardgrid.functions.draws import normal_sql
-from hazardgrid.operators import ensemble
+from hazardgrid.operators import ensemble, outline
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans import frag
+from hazardgrid.plans.geo_queries import rings_sql
 from hazardgrid.plans.registry import query, r
 
 H = [15, 30, 60, 180]
@@ -90,6 +91,26 @@ def e5(x):
     return regions.groupBy("fire_id", "horizon_min", "level").agg(F.count("*").alias("n_cells"))
 
 
+_region = """rg AS (SELECT fire_id, horizon_min, level, i, j FROM prob JOIN (SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS level) b
+       ON p >= level WHERE arm = 'on')"""
+
+
+@query(
+    "E5_region_rings",
+    f"""WITH RECURSIVE {_region}, {rings_sql('rg', 'fire_id, horizon_min, level')}
+        SELECT fire_id, horizon_min, level, COUNT(*) FILTER (area_cells > 0) AS n_outer, COUNT(*) FILTER (area_cells < 0) AS n_holes,
+               SUM(area_cells) AS area_cells, CAST(SUM(n_corners) AS BIGINT) AS n_corners FROM rings GROUP BY fire_id, horizon_min, level""",
+)
+def e5_rings(x):
+    """Outlines of all threshold regions at once."""
+    keys = ["fire_id", "horizon_min", "level"]
+    rings = outline.ring_measures(outline.mask_rings(ensemble.threshold_regions(field(x)), keys), keys)
+    return rings.groupBy(*keys).agg(
+        F.count_if(F.col("area_cells") > 0).alias("n_outer"), F.count_if(F.col("area_cells") < 0).alias("n_holes"),
+        F.sum("area_cells").alias("area_cells"), F.sum("n_corners").alias("n_corners"),
+    )
+
+
 @query(
     "E6_mean_arrival",
     f"""SELECT c.fire_id, c.i, c.j, {r('''(coalesce(SUM(w.weight * m.arrival_min), 0)

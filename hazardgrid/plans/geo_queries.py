@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hazardgrid import schema
 from hazardgrid.functions import geo
-from hazardgrid.operators import ensemble, spatial
+from hazardgrid.operators import ensemble, outline, spatial
 from hazardgrid.operators.common import rounded
 from hazardgrid.plans import frag
 from hazardgrid.plans.registry import query, r
@@ -400,6 +400,46 @@ def g20(x):
     return spatial.boundary_edges(x.truth.filter("truth_min <= 120"))
 
 
+def rings_sql(mask: str, keys: str) -> str:
+    """CTEs that walk the unit sides of ``mask(keys, i, j)`` one by one, ending in ``rings``."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    of = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return f"""sd AS (SELECT {of}, h, a.j + x AS x0, a.i + y AS y0, a.j + x + CASE h WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS x1,
+                 a.i + y + CASE h WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS y1
+               FROM {mask} a, (VALUES (0, 0, 0, -1, 0), (1, 1, 0, 0, 1), (2, 1, 1, 1, 0), (3, 0, 1, 0, -1)) s(h, x, y, di, dj)
+               WHERE NOT EXISTS (SELECT 1 FROM {mask} b WHERE {on} AND b.i = a.i + di AND b.j = a.j + dj)),
+        nx AS (SELECT {of}, a.h, a.x0, a.y0, a.x1, a.y1, arg_max(b.h, (b.h = (a.h + 1) % 4)::INT) AS h2 FROM sd a
+               JOIN sd b ON {on} AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY {of}, a.h, a.x0, a.y0, a.x1, a.y1),
+        wk AS (SELECT {keys}, x0 AS sx, y0 AS sy, h AS sh, x0, y0, h, x1, y1, h2 FROM nx
+               UNION ALL SELECT {of}, a.sx, a.sy, a.sh, b.x0, b.y0, b.h, b.x1, b.y1, b.h2 FROM wk a
+               JOIN nx b ON {on} AND b.x0 = a.x1 AND b.y0 = a.y1 AND b.h = a.h2 WHERE NOT (b.x0 = a.sx AND b.y0 = a.sy AND b.h = a.sh)),
+        lead AS (SELECT {keys}, sx, sy, sh, MIN((y0, x0, h)) AS top, SUM(x0 * y1 - x1 * y0) / 2 AS area, COUNT(*) AS n, COUNT(*) FILTER (h <> h2) AS turns
+                 FROM wk GROUP BY {keys}, sx, sy, sh),
+        rings AS (SELECT {keys}, sx AS x, sy AS y, area::DOUBLE AS area_cells, n AS n_sides, turns AS n_corners FROM lead WHERE (sy, sx, sh) = top)"""
+
+
+_burned = "m AS (SELECT DISTINCT fire_id, i, j FROM truth WHERE truth_min <= 120)"
+
+
+@query(
+    "G20_perimeter_rings",
+    f"""WITH RECURSIVE {_burned}, {rings_sql('m', 'fire_id')}
+        SELECT fire_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, area_cells, n_sides, n_corners FROM rings""",
+)
+def g20_rings(x):
+    """Every ring of the burned area, named by its lowest corner; holes have a negative area."""
+    corners = outline.mask_rings(x.truth.filter("truth_min <= 120"))
+    first = corners.filter("pos = 0").select("fire_id", "ring", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return outline.ring_measures(corners).join(first, ["fire_id", "ring"]).drop("ring")
+
+
+@query("G20_ring_polygons")
+def g20_polygons(x):
+    """The same rings as lon/lat polygons with their area on the ground."""
+    polygons = outline.ring_polygons(outline.mask_rings(x.truth.filter("truth_min <= 120")), x.site)
+    return polygons.select("fire_id", "ring", "outline", rounded(geo.polygon_area_m2("outline") / 1e6, 4).alias("km2"))
+
+
 def _flat(b, rng):
     return (
         f"lon + sin(radians({b})) * {rng} / (111.32 * cos(radians(lat)))",

@@ -412,3 +412,53 @@ def test_camera_front_is_an_observation_that_moves_the_weights(spark):
     logw = assimilate.batch_loglik(miss).withColumn("logw", F.col("loglik"))
     w = {r.member_id: r.w for r in assimilate.normalise_log_weights(logw, ["fire_id", "minutes"]).collect()}
     assert w[0] > 0.9 and w[0] + w[1] == pytest.approx(1.0)
+
+
+def plain_rings(cells):
+    """Rings of a set of ``(i, j)`` by walking its sides with the mask on the left."""
+    step = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    sides = {}
+    for i, j in cells:
+        for h, (x, y, di, dj) in enumerate([(j, i, -1, 0), (j + 1, i, 0, 1), (j + 1, i + 1, 1, 0), (j, i + 1, 0, -1)]):
+            if (i + di, j + dj) not in cells:
+                sides.setdefault((x, y), set()).add(h)
+    rings = []
+    while any(sides.values()):
+        x, y = min((p for p, hs in sides.items() if hs), key=lambda p: (p[1], p[0]))
+        h, ring = min(sides[x, y]), []
+        while h in sides[x, y]:
+            sides[x, y].remove(h)
+            ring.append((x, y, h))
+            x, y = x + step[h][0], y + step[h][1]
+            turn = [(h + k) % 4 for k in (1, 0, 3)]
+            h = next((t for t in turn if t in sides[x, y]), None)
+        rings.append([(a, b) for k, (a, b, h) in enumerate(ring) if h != ring[k - 1][2]])
+    return rings
+
+
+def test_mask_rings_match_a_walk(spark):
+    from hazardgrid.operators import outline
+
+    rng = np.random.default_rng(11)
+    masks = {
+        0: {(2, 3)},
+        1: {(i, j) for i in range(6) for j in range(7)} - {(2, 2), (3, 3), (3, 4)},  # holes that touch at a corner
+        2: {(0, 0), (1, 1), (2, 2), (1, 3)},
+        3: {(i, j) for i in range(30) for j in range(30) if i % 2 == 0 or j == (29 if i % 4 == 1 else 0)},  # one long snake
+        4: {(int(a), int(b)) for a, b in rng.integers(0, 25, (400, 2))},
+    }
+    rows = [(k, i, j) for k, cells in masks.items() for i, j in cells] + [(0, 2, 3)]
+    df = spark.createDataFrame(rows, "fire_id int, i int, j int")
+    corners = outline.mask_rings(df)
+    got = corners.toPandas().sort_values(["fire_id", "ring", "pos"])
+    areas = {r.fire_id: (r.a, r.n) for r in outline.ring_measures(corners).groupBy("fire_id").agg(F.sum("area_cells").alias("a"), F.count("*").alias("n")).collect()}
+    for k, cells in masks.items():
+        mine = [list(zip(g.x, g.y)) for _, g in got[got.fire_id == k].groupby("ring")]
+        assert sorted(mine) == sorted(plain_rings(cells)), k
+        assert areas[k] == (len(cells), len(mine))
+    assert outline.mask_rings(df.limit(0)).isEmpty()
+    site = spark.createDataFrame([(k, -122.0, 38.0, 100.0, 30, 30) for k in masks], "fire_id int, center_lon double, center_lat double, cell_m double, nx int, ny int")
+    polygons = outline.ring_polygons(corners, site)
+    flat = polygons.select("fire_id", "ring", (geo.polygon_area_m2("outline") / 1e4).alias("cells"))
+    for r in flat.join(outline.ring_measures(corners), ["fire_id", "ring"]).collect():
+        assert r.cells == pytest.approx(abs(r.area_cells), rel=1e-3)
