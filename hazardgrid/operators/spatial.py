@@ -60,36 +60,30 @@ def _edges(ring: Column) -> Column:
 def polygon_cells(shapes: DataFrame, ring: str, keys) -> DataFrame:
     """Cells whose centre lies in a ring given in cell units (``x`` = j, ``y`` = i).
 
-    Even-odd scan conversion: one row per grid row the ring spans, the sorted crossings of that row,
-    then the cells between each pair of crossings. A multi-polygon is one input row per part; parts
-    are united. ``shapes`` carries ``nx, ny``.
+    Even-odd scan conversion from the sides: one crossing per side and grid row it passes, crossings ranked per
+    part and grid row, then the cells between each pair. No ring is copied, and a ring with many vertices is many
+    tasks after its first. A multi-polygon is one input row per part; parts are united and tell themselves apart
+    by the hash and size of their ring, so repeated rows change nothing. ``shapes`` carries ``nx, ny``. Rings may
+    be open or closed; NULL, empty and flat ones have no cells.
     """
     keys = as_list(keys)
-    ys = F.transform(F.col(ring), lambda p: p["y"])
-    lo = F.greatest(F.ceil(F.array_min(ys)), F.lit(0))
-    hi = F.least(F.floor(F.array_max(ys)), F.col("ny").cast("long") - 1)
-    rows = shapes.filter(lo <= hi).withColumn("i", F.explode(_span(lo, hi)))
-    hits = F.filter(
-        _edges(F.col(ring)), lambda e: (e["a"]["y"] > F.col("i")) != (e["b"]["y"] > F.col("i"))
-    )
-    cuts = F.array_sort(
-        F.transform(
-            hits,
-            lambda e: e["a"]["x"]
-            + (F.col("i") - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]),
-        )
-    )
-    spans = rows.withColumn("_cuts", cuts).filter(F.size("_cuts") >= 2)
-    pair = F.explode(F.sequence(F.lit(0), (F.size("_cuts") / 2).cast("int") - 1))
-    spans = spans.withColumn("_k", pair)
-    left = F.greatest(F.ceil(F.get("_cuts", F.col("_k") * 2)), F.lit(0))
-    right = F.least(F.ceil(F.get("_cuts", F.col("_k") * 2 + 1)) - 1, F.col("nx").cast("long") - 1)
-    return (
-        spans.filter(left <= right)
-        .withColumn("j", F.explode(_span(left, right)))
-        .select(*keys, "i", "j")
-        .distinct()
+    part = ["_part", "_size"]
+    # The hash has its own step, below the explode, so that it is taken once a ring.
+    parts = shapes.select(*keys, "nx", "ny", F.xxhash64(ring).alias("_part"), F.size(ring).alias("_size"), _edges(F.col(ring)).alias("_sides"))
+    sides = parts.select(*keys, *part, "nx", "ny", F.posexplode("_sides").alias("_e", "_s"))
+    ax, ay, bx, by = F.col("_s.a.x"), F.col("_s.a.y"), F.col("_s.b.x"), F.col("_s.b.y")
+    lo = F.greatest(F.ceil(F.least(ay, by)), F.lit(0))
+    hi = F.least(F.ceil(F.greatest(ay, by)) - 1, F.col("ny").cast("long") - 1)
+    cuts = sides.filter(lo <= hi).withColumn("i", F.explode(_span(lo, hi)))
+    cuts = cuts.select(*keys, *part, "nx", "i", "_e", (ax + (F.col("i") - ay) * (bx - ax) / (by - ay)).alias("_x"))
+    # Copies of a part share their ranks, since a side has one crossing a row.
+    rank = F.dense_rank().over(Window.partitionBy(*keys, *part, "i").orderBy("_x", "_e"))
+    spans = cuts.withColumn("_pair", F.floor((rank - 1) / 2)).groupBy(*keys, *part, "i", "_pair").agg(
+        F.min("_x").alias("_from"), F.max("_x").alias("_to"), F.max("nx").alias("nx")
     )
+    left = F.greatest(F.ceil("_from"), F.lit(0))
+    right = F.least(F.ceil("_to") - 1, F.col("nx").cast("long") - 1)
+    return spans.filter(left <= right).withColumn("j", F.explode(_span(left, right))).select(*keys, "i", "j").distinct()
 
 
 def lonlat_ring_cells(shapes: DataFrame, site: DataFrame, ring: str, keys) -> DataFrame:

@@ -462,3 +462,39 @@ def test_mask_rings_match_a_walk(spark):
     flat = polygons.select("fire_id", "ring", (geo.polygon_area_m2("outline") / 1e4).alias("cells"))
     for r in flat.join(outline.ring_measures(corners), ["fire_id", "ring"]).collect():
         assert r.cells == pytest.approx(abs(r.area_cells), rel=1e-3)
+
+
+def inside(ring, i, j):
+    """Even-odd rule for a cell centre."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > i) != (by > i) and j < ax + (i - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return odd
+
+
+def test_polygon_cells_of_parts_copies_and_odd_rings(spark):
+    star = [(20 + (18 if k % 2 else 7) * math.cos(k * math.pi / 7 + 0.1), 15 + (13 if k % 2 else 5) * math.sin(k * math.pi / 7 + 0.1)) for k in range(14)]
+    shapes = {
+        "star": [star], "copies": [star, star], "closed": [star + star[:1]],
+        "parts": [[(1.2, 1.1), (9.7, 1.4), (5.0, 8.8)], [(4.1, 0.5), (12.3, 3.3), (3.0, 12.5)], [(30.5, 20.2), (38.9, 28.0), (29.0, 33.0)]],
+        "bow": [[(2.5, 2.5), (22.5, 20.5), (22.5, 2.5), (2.5, 20.5)]], "outside": [[(-9.5, -9.5), (60.0, -3.0), (50.0, 45.0)]],
+        "flat": [[(1.0, 5.0), (9.0, 5.0)]], "empty": [[]], "none": [None],
+    }
+    rows = [(k, 40, 30, None if p is None else [(float(a), float(b)) for a, b in p]) for k, parts in shapes.items() for p in parts]
+    df = spark.createDataFrame(rows, "k string, nx int, ny int, ring array<struct<x:double,y:double>>")
+    got = {}
+    for r in spatial.polygon_cells(df, "ring", "k").collect():
+        got.setdefault(r.k, []).append((r.i, r.j))
+    for k, parts in shapes.items():
+        want = {(i, j) for p in parts if p for i in range(30) for j in range(40) if inside(p, i, j)}
+        assert sorted(got.get(k, [])) == sorted(want), k
+
+
+def test_ring_of_many_vertices_is_scanned_by_sides(spark):
+    n = 100_000
+    ring = [(150 + (120 + 20 * math.sin(9 * t)) * math.cos(t), 150 + (120 + 20 * math.sin(9 * t)) * math.sin(t)) for t in np.linspace(0, 2 * math.pi, n, endpoint=False)]
+    df = spark.createDataFrame([(0, 300, 300, ring)], "k int, nx int, ny int, ring array<struct<x:double,y:double>>")
+    cells = spatial.polygon_cells(df, "ring", "k")
+    exact = math.pi * (120**2 + 20**2 / 2)
+    assert cells.count() == pytest.approx(exact, rel=2e-3)
