@@ -13,7 +13,7 @@ from hazardgrid.plans.ensemble_queries import field
 from hazardgrid.plans.geo_queries import grad_sql
 from hazardgrid.plans.registry import query, r
 from hazardgrid.session import work_path
-from hazardgrid.sources import assets, feeds, sinks, terrain
+from hazardgrid.sources import assets, boxes, feeds, sinks, terrain
 
 BOX = {"minlon": -122.75, "minlat": 38.35, "maxlon": -122.5, "maxlat": 38.6}
 BOX_SQL = "lon BETWEEN -122.75 AND -122.5 AND lat BETWEEN 38.35 AND 38.6"
@@ -184,6 +184,19 @@ def s10(x):
     return feeds.intersecting(_features(x), box, "00").select("k")
 
 
+@query(
+    "S10_landed_box_filter",
+    """SELECT c_custkey AS k, -122.0 - CAST(c_custkey % 7 AS DOUBLE) AS minlon, -100.0 + CAST(c_custkey % 11 AS DOUBLE) AS maxlon FROM customer
+       WHERE -122 - c_custkey % 7 <= -127 AND -100 + c_custkey % 11 >= -129""",
+)
+def s10_landed(x):
+    """Perimeters landed once with box columns, then asked for a box far in the west."""
+    path = work_path(x.spark, "boxes")
+    boxes.land_boxes(_features(x).drop("ring"), path)
+    box = {"minlon": -129, "maxlon": -127, "minlat": 38.2, "maxlat": 38.4}
+    return boxes.read_boxes(x.spark, path, box).select("k", "minlon", "maxlon")
+
+
 @query(
     "S11_largest_perimeter",
     """SELECT fire_id, k, area_deg2 FROM (SELECT CAST(c_custkey % 5 AS INT) AS fire_id, c_custkey AS k,

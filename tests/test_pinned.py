@@ -498,3 +498,37 @@ def test_ring_of_many_vertices_is_scanned_by_sides(spark):
     cells = spatial.polygon_cells(df, "ring", "k")
     exact = math.pi * (120**2 + 20**2 / 2)
     assert cells.count() == pytest.approx(exact, rel=2e-3)
+
+
+def test_landed_boxes_are_pruned(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from hazardgrid.sources import boxes
+
+    def draw(salt):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) / 1e6
+
+    rows = spark.range(60_000).withColumns({"x": draw(1) * 40 - 130, "y": draw(2) * 20 + 30})
+    wide = F.when(F.col("id") % 500 == 0, 15.0).otherwise(0.02)
+    rows = rows.withColumn("x", F.when(F.col("id") % 3 == 0, -100.0).otherwise(F.col("x")))  # one hot place line
+    rows = rows.withColumn("box", F.struct(F.col("x").alias("minlon"), F.col("y").alias("minlat"), (F.col("x") + wide).alias("maxlon"), (F.col("y") + wide).alias("maxlat")))
+    path = str(tmp_path / "boxes")
+    boxes.land_boxes(rows.select("id", "box"), path, files=48)
+    box = {"minlon": -120.5, "maxlon": -120.0, "minlat": 35.0, "maxlat": 35.5}
+    found = boxes.read_boxes(spark, path, box)
+    b = F.col("box")
+    plain = rows.filter((b["minlon"] <= -120.0) & (b["maxlon"] >= -120.5) & (b["minlat"] <= 35.5) & (b["maxlat"] >= 35.0))
+    assert sorted(r.id for r in found.select("id").collect()) == sorted(r.id for r in plain.select("id").collect()) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(c in pushed for c in boxes.EDGES)
+    needed = total = 0
+    for f in (tmp_path / "boxes").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            s = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k).statistics for k in range(meta.num_columns)}
+            total += meta.row_group(g).num_rows
+            meets = s["minlon"].min <= -120.0 and s["maxlon"].max >= -120.5 and s["minlat"].min <= 35.5 and s["maxlat"].max >= 35.0
+            needed += meets * meta.row_group(g).num_rows
+    assert total == 60_000 and needed < 0.15 * total
+    assert boxes.read_boxes(spark, path, {"minlon": 10, "maxlon": 11, "minlat": 0, "maxlat": 1}).isEmpty()
