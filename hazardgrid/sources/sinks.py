@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Files that one folder of a partitioned table may get from one write.
-FILES_PER_FOLDER = 16
+def by_folder(rows: DataFrame, *folder: str) -> DataFrame:
+    """Rows dealt by the folders they will be written to, as many tasks a folder as its bytes need.
+
+    Adaptive execution splits folders beyond ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and joins small
+    ones, so the number of files follows the size, also where one event holds a third of all rows.
+    """
+    return rows.hint("rebalance", *folder)
 
 
 def write_snapshot(rows: DataFrame, path: str, event: str = "event_id", source: str = "source") -> None:
     """Feed rows stored per event and source; only the partitions that are written are replaced."""
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (event, source)]), F.lit(FILES_PER_FOLDER))
     (
-        rows.withColumn("loaded_at", F.current_timestamp())
-        .repartition(event, source, salt)
+        by_folder(rows.withColumn("loaded_at", F.current_timestamp()), event, source)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(event, source)
@@ -63,10 +66,8 @@ def picture_heads(events: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def write_picture(features: DataFrame, heads: DataFrame, path: str) -> None:
-    """Dealt by folder and a bounded salt first, so a folder gets a few files and not one per task."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(FILES_PER_FOLDER))
-    features = features.repartition("fire_id", "layer", salt)
-    features.write.mode("overwrite").partitionBy("fire_id", "layer").json(f"{path}/features")
+    """Features as JSON lines per event and layer, heads per event."""
+    by_folder(features, "fire_id", "layer").write.mode("overwrite").partitionBy("fire_id", "layer").json(f"{path}/features")
     heads.repartition("fire_id").write.mode("overwrite").partitionBy("fire_id").json(f"{path}/heads")
 
 

@@ -532,3 +532,20 @@ def test_landed_boxes_are_pruned(spark, tmp_path):
             needed += meets * meta.row_group(g).num_rows
     assert total == 60_000 and needed < 0.15 * total
     assert boxes.read_boxes(spark, path, {"minlon": 10, "maxlon": 11, "minlat": 0, "maxlat": 1}).isEmpty()
+
+
+def test_files_of_a_folder_follow_its_size(spark, tmp_path):
+    from hazardgrid.sources import sinks
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "200k")
+    try:
+        event = F.when(F.col("id") < 100, F.col("id") % 5 + 1).otherwise(0)
+        rows = spark.range(0, 200_000, 1, 8).select(event.alias("event_id"), F.lit("goes").alias("source"), F.xxhash64("id").alias("v"))
+        sinks.write_snapshot(rows, str(tmp_path / "s"))
+    finally:
+        spark.conf.set(key, held)
+    files = {k: len(list((tmp_path / "s" / f"event_id={k}").rglob("*.parquet"))) for k in range(6)}
+    assert files[0] >= 4 and all(files[k] == 1 for k in range(1, 6)), files
+    assert sinks.read_snapshot(spark, str(tmp_path / "s")).count() == 200_000
