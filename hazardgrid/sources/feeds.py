@@ -5,13 +5,12 @@ Parsing functions take a text column, so the same code serves files, streams and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hazardgrid import constants as K
 from hazardgrid.functions import geo, lookup
 from hazardgrid.operators.common import as_list, first_rows, salted_join
-from hazardgrid.session import cut_lineage
 
 ACTIVE_FIRE_SCHEMA = (
     "latitude string, longitude string, acq_date string, acq_time string, frp string"
@@ -249,16 +248,19 @@ def source_cascade(candidates: DataFrame, keys="fire_id", priority: str = "prior
 
 
 def source_status(spark: SparkSession, readers: dict) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Readers that fail give no rows; the second result lists each source and its error, if any.
+    """Readers that fail give no rows; the second result lists each source, its rows and its error, if any.
 
-    Every source is read to its end into the shared folder, so a file that breaks halfway counts as
-    a failure of its source as much as a missing one does.
+    Every source is read to its end once, all columns, and counted in that pass; nothing is written. So a
+    file that breaks halfway counts as a failure of its source as much as a missing one does. The frames
+    are read again where they are used. A failed source has no count.
     """
     frames, rows = {}, []
     for name, read in readers.items():
         try:
-            frames[name] = cut_lineage(read())
-            rows.append((name, True, None))
+            frame, seen = read(), Observation()
+            frame.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+            frames[name] = frame
+            rows.append((name, True, None, seen.get.get("n", 0)))
         except Exception as e:
-            rows.append((name, False, str(e).split("\n")[0][:200]))
-    return frames, spark.createDataFrame(rows, "source string, available boolean, error string")
+            rows.append((name, False, str(e).split("\n")[0][:200], None))
+    return frames, spark.createDataFrame(rows, "source string, available boolean, error string, n_rows long")

@@ -259,9 +259,11 @@ def test_a_source_that_breaks_while_it_is_read_counts_as_failed(spark, tmp_path)
     data = part.read_bytes()
     part.write_bytes(data[:4] + b"\xff" * (len(data) - 300) + data[len(data) - 296 :])
     read = lambda name: lambda: spark.read.schema("id long").parquet(str(tmp_path / name))
-    frames, status = feeds.source_status(spark, {"good": read("good"), "bad": read("bad"), "none": read("none")})
-    assert {r.source: r.available for r in status.collect()} == {"good": True, "bad": False, "none": False}
-    assert frames["good"].count() == 5
+    empty = lambda: spark.createDataFrame([], "id long")
+    frames, status = feeds.source_status(spark, {"good": read("good"), "bad": read("bad"), "none": read("none"), "empty": empty})
+    found = {r.source: (r.available, r.n_rows, r.error is None) for r in status.collect()}
+    assert found == {"good": (True, 5, True), "bad": (False, None, False), "none": (False, None, False), "empty": (True, 0, True)}
+    assert frames["good"].count() == 5 and set(frames) == {"good", "empty"}
 
 
 def test_nearest_point_is_carried_with_the_distance(spark):
